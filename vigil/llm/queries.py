@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import lines
+from vigil.llm import knn, lines
+from vigil.llm.knn import op4_knn
 from vigil.llm.langid import op2_langid
 from vigil.llm.lines import op10_lines
 from vigil.llm.packing import op3_packing
 from vigil.llm.pii import op8_pii
 from vigil.llm.quality import op5_quality
+from vigil.llm.substrings import op7_substrings
 from vigil.llm.toxicity import op1_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_langid, op3_packing, op5_quality, op8_pii, op10_lines)}
-ORACLE: dict[str, str] = {"op10_lines": lines.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_langid, op3_packing, op4_knn, op5_quality, op7_substrings, op8_pii, op10_lines)}
+ORACLE: dict[str, str] = {"op4_knn": knn.ORACLE, "op10_lines": lines.ORACLE}
