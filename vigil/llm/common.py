@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 SLICE_BYTES = 8 << 20  # text handled at once by numpy code
 ARROW_ROWS = 2000  # rows of an Arrow batch; texts can be long
-GROUP_BYTES = 12 << 20  # text aimed at for one group of documents
+GROUP_BYTES = 8 << 20  # text aimed at for one group of documents
 
 _SEED = np.random.default_rng(20240229)
 BYTE_HASH = _SEED.integers(1, 2**63 - 1, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)

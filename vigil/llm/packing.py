@@ -13,15 +13,14 @@ Only ids' checksums and lengths travel, no texts. A shard has a bounded number o
 pieces, whatever the corpus or its sources. Null text is empty: a piece with the
 end id alone. Repeated rows are packed each by themselves. Empty table: no rows.
 
-Words repeat, so a worker keeps the ids of the chunks it has met (a bounded
-dictionary); a chunk starts at a single space or line feed between other
-characters, where the tokenizer's own splitting always has a border. Texts with
-any other white space are encoded whole.
+The vocabulary is read from the tokenizer's own file. Its merges have the order of
+its ids, so the same ids come out of a byte-pair encoder that takes ids as ranks,
+at several times the speed; tests hold them against the file's own library.
+Special tokens' strings in a text are ordinary text.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,39 +34,34 @@ from vigil.llm import common
 CAPACITY, END_ID = 1024, 2
 SHARD_PIECES = 1 << 16
 WIDE_GAP = 8  # sequences with at least so much room go into the second round
-KNOWN_CHUNKS = 600_000
-CHUNK = re.compile(r"[ \n]?[^\s]+")
+# Fixed value: the splitting pattern of this byte-level vocabulary.
+SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def printed_bytes() -> dict[str, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes."""
 
     def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import json
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        import tiktoken
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        special = {x["content"] for x in made.get("added_tokens", [])}
+        byte = printed_bytes()
+        ranks = {bytes(byte[c] for c in token): rank for token, rank in made["model"]["vocab"].items() if token not in special}
+        self.encoding = tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
-        chunks = CHUNK.findall(text)
-        if sum(map(len, chunks)) != len(text):
-            return self.encode([text])[0]
-        known = self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            if len(known) > KNOWN_CHUNKS:
-                known.clear()
-            new = list({c for c in chunks if c not in known})
-            known.update(zip(new, self.encode(new), strict=True))
-            return b"".join([known[c] for c in chunks])
+        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
