@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import lines, packing, toxicity
+from vigil.llm import decontaminate, lines, neardup, packing, toxicity
 
-STAGES = [("toxicity", toxicity.stage), ("line_dedup", lines.stage), ("packing", packing.stage)]
+STAGES = [("toxicity", toxicity.stage), ("line_dedup", lines.stage), ("near_dedup", neardup.stage), ("decontamination", decontaminate.stage), ("packing", packing.stage)]
 
 #: SQL cannot express the models and sketches of these stages; tests hold the result against brute force.
 ORACLE_SQL = None
