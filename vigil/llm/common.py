@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 8 << 20  # text handled at once by numpy code
+SLICE_BYTES = 2 << 20  # text handled at once by numpy code
 ARROW_ROWS = 2000  # rows of an Arrow batch; texts can be long
 GROUP_BYTES = 8 << 20  # text aimed at for one group of documents
 
