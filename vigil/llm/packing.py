@@ -5,7 +5,8 @@
 2. `pack`: full pieces fill a sequence each. The others are dealt to shards of
    about SHARD_PIECES by a hash; each shard packs its pieces, longest first: a
    piece goes where the sum over all gaps of the squared number of open sequences
-   with that gap becomes smallest (a new sequence counts as a choice too).
+   with that gap becomes smallest. A new sequence is begun only where the piece
+   fits no open one: longest first, that packs tighter than weighing a new one too.
 3. Sequences that a shard leaves with a wide gap are taken as pieces of a second
    round over fewer shards, so that shards lose almost nothing against one packer.
 
@@ -107,7 +108,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
             change[0] -= 1  # filled: gap 0 has no square of its own
             change[count[size:capacity] == 0] = 1 << 40
             best = int(change.argmin()) if len(change) else 0
-            if len(change) and change[best] <= 2 * count[capacity - size] + 1:
+            if len(change) and change[best] < 1 << 39:
                 gap = best + size
         if gap == capacity:
             at, used = used, used + 1
