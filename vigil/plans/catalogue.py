@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.plans import dataset, files, guard, history, pages, urls
+from vigil.plans import dataset, files, guard, history, mails, pages, urls
 from vigil.streaming import labels
 
-_MODULES = (urls, history, dataset, files, pages, guard, labels)
+_MODULES = (urls, history, dataset, files, pages, mails, guard, labels)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE: dict[str, str] = {k: sql for m in _MODULES for k, sql in m.ORACLE.items()}
