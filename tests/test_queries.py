@@ -162,3 +162,43 @@ def test_mail_verdicts(spark):
     got = {r.id: (r.threat_label, [x.title for x in r.explanations]) for r in mail.scan(rows, spark.createDataFrame([], "registered string")).collect()}
     assert {k: v[0] for k, v in got.items()} == {1: "Malicious", 2: "Safe", 3: "Malicious", 4: "Malicious"}
     assert got[2][1] == ["nothing_found"] and got[3][1] == ["bad_link", "no_headers"]
+
+
+def test_links_resolve_like_the_standard_library(spark):
+    from urllib.parse import urljoin
+
+    from vigil.functions import links
+
+    bases = ["http://a.example.com/b/c/d.html?q=1", "https://a.example.com", "http://a.example.com/x/"]
+    hrefs = ["g", "./g", "../g", "../../g", "../../../g", "/g/../h", "g/", "?y=1", "#s", "g?y/../z", "//x.a.example.com/p", "http://a.example.com/z", "..", ".", "a/./b"]
+    rows = [(k, b, f"<a href='{h}'>x</a>", h) for k, (b, h) in enumerate((b, h) for b in bases for h in hrefs)]
+    got = {r.id: list(r.links) for r in links.with_inner_links(spark.createDataFrame(rows, "id long, url string, html string, h string")).collect()}
+    for k, b, _, h in rows:
+        assert got[k] == [urljoin(b, h)], (b, h)
+    odd = [(1, None, "<a href='/x'>"), (2, "http://a.b", None), (3, "http://a.b", "<a href='http://c.d/e'>x</a><a href='mailto:x@y'>m</a>")]
+    assert [list(r.links) for r in links.with_inner_links(spark.createDataFrame(odd, "id long, url string, html string")).collect()] == [[], [], []]
+
+
+def test_vector(spark):
+    from vigil.functions import vector
+
+    assert len(vector.names()) == 47 and list(vector.vector()) == vector.names()
+    row = vector.with_vector(spark.createDataFrame([(1,)], "id long")).select(*vector.names()).first().asDict()
+    assert row["d_age_days"] == row["d_certificate_days"] == -1 and sum(row.values()) == -2
+
+
+def test_training(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from vigil.operators import training
+
+    rows = spark.range(600).select(F.col("id"), (F.col("id") % 7).alias("a"), F.when(F.col("id") % 11 != 0, F.col("id") % 5).alias("b"), F.when(F.col("id") % 97 != 0, (F.col("id") % 7 > 3).cast("int")).alias("y"), F.concat(F.lit("u"), "id").alias("url"))
+    got = training.best_candidate(rows, ["a", "b"], "id", "y", training.learners(5, 2))
+    assert all(r.accuracy == 1.0 for r in got.metrics.collect())
+    assert [r.feature for r in training.importances(got).collect()][0] == "a"
+    got.save(str(tmp_path / "model"))
+    assert PipelineModel.load(str(tmp_path / "model")).transform(rows.na.fill(-1)).where("prediction <> y").where("y >= 0").count() == 0
+    known = rows.where("y is not null")
+    assert training.out_of_fold(rows, ["a", "b"], "id", "y", training.evidence_learner(3, 2)).count() == known.count()
+    verdict = training.leakage_verdict(known, ["a", "b"], "url", "id").first()
+    assert verdict.leaks and verdict.shallow_flagged and verdict.strong_columns == 1 and verdict.duplicates == 0
