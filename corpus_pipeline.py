@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import decontaminate, lines, neardup, packing, toxicity
+from vigil.llm import common, decontaminate, lines, neardup, packing, toxicity
 
 STAGES = [("toxicity", toxicity.stage), ("line_dedup", lines.stage), ("near_dedup", neardup.stage), ("decontamination", decontaminate.stage), ("packing", packing.stage)]
 
@@ -13,7 +13,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """Each stage reads what its predecessor wrote: stages read their input more than once."""
+    docs = common.table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, common.written(docs) if k else docs, sf_dir)
     return docs
