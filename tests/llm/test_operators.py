@@ -63,7 +63,7 @@ def test_lines(docs, empty):
             count[key] += 1
     expected = sorted((i, len((t or "").split("\n")), sum(count[strip(x)] >= 10 and bool(strip(x)) for x in (t or "").split("\n")), "\n".join(x for x in (t or "").split("\n") if not (count[strip(x)] >= 10 and strip(x)))) for i, t in everything)
     got = lines.dedup(docs)
-    assert sorted((r.doc_id, r.__n_lines if False else r["__n_lines"], r["__n_dropped"], r.text or "") for r in got.collect()) == expected
+    assert sorted((r.doc_id, r["__n_lines"], r["__n_dropped"], r.text or "") for r in got.collect()) == expected
     assert got.columns[: len(docs.columns)] == docs.columns
     assert lines.dedup(empty).count() == 0
 
@@ -298,6 +298,83 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.run(spark, sf).groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 1024
 
 
+CLASHING = ["score", "predicted", "held_out", "lang_pred", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "n_words", "n_removed", "n_shingles", "component_id", "kept", "n_lines", "n_dropped", "hash", "key", "id", "n", "grp", "shard", "band", "label", "toxic", "quality", "item_id", "edits", "spans", "words"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, sf):
+    """All documents, and rows that are null everywhere or but for their text; more columns have the names that operators use."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").withColumns({c: F.lit("clash") for c in CLASHING})
+    text = "some words in a text without an id yet long enough for windows of thirteen words"
+    none = spark.createDataFrame([(None, x) for x in (None, None, text, text)], "doc_id long, text string")
+    return d.unionByName(none, allowMissingColumns=True)
+
+
+def test_nulls_and_clashing_names(spark, sf, odd):
+    n = odd.count()
+    labels = spark.read.parquet(f"{sf}/labels.parquet").withColumns({c: F.lit("clash") for c in ("text", "score")})
+    labels = labels.unionByName(spark.createDataFrame([(None, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int"), allowMissingColumns=True)
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").withColumns({c: F.lit("clash") for c in ("doc_id", "words", "edits")})
+    items = items.unionByName(spark.createDataFrame([(None, "x y z"), (None, None)], "item_id long, text string"), allowMissingColumns=True)
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").withColumns({c: F.lit("clash") for c in ("score", "rank", "query_id", "pivot")})
+    vectors = vectors.unionByName(spark.createDataFrame([(None, [1.0] * 3), (None, None)], "vec_id long, embedding array<float>"), allowMissingColumns=True)
+    assert toxicity.score(odd, toxicity.fit(odd, labels)).count() == n
+    assert quality.score(odd, quality.fit(odd, labels)).count() == n
+    assert langid.predict(odd, langid.fit(odd)).count() == n
+    assert pii.detect(odd).count() == n
+    assert substrings.dedup(odd).count() == n
+    assert neardup.link(odd, 80).count() == n
+    assert lines.dedup(odd).count() == n
+    packed = packing.best_fit(odd, packing.default_tokenizer())
+    assert packed.where("piece = 0 and doc_id is null").count() == 4
+    leaking = {r.doc_id for r in decontaminate.leaks(odd, items).collect()}
+    assert None not in leaking and decontaminate.clean(odd, items).count() == n - odd.where(F.col("doc_id").isin(*leaking)).count()
+    assert knn.top_k(vectors, F.col("vec_id") % 50 == 0).where("vec_id is null or query_id is null").count() == 0
+
+
+def test_stages_on_odd_rows(spark, sf, odd, empty):
+    """Every stage but the last returns its columns; packing covers all rows; an empty table gives none."""
+    import corpus_pipeline
+
+    docs = odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = common.written(stage(spark, docs, sf))
+        assert got.columns == docs.columns and stage(spark, docs.limit(0), sf).count() == 0
+        docs = got
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, sf).where("piece = 0").count() == docs.count() and last(spark, docs.limit(0), sf).count() == 0
+
+
+def smallest_edits(item, text):
+    """Fewest word edits between the item and any stretch of the text, by the plain recurrence."""
+    row = [0] * (len(text) + 1)
+    for k, a in enumerate(item, 1):
+        new = [k]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j - 1] + (a != b), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_stages_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    component = brute_components(rows, 80)
+    assert sorted(r.doc_id for r in neardup.stage(spark, docs, sf).collect()) == sorted(i for i, (_, c) in component.items() if c == i)
+    split = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.translate({k: k + 32 for k in range(65, 91)}))
+    items = [split(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    clean = []
+    for i, t in rows:
+        text = split(t or "")
+        held = set(text)
+        # an item with more foreign words than edits allowed cannot leak: each costs an edit
+        likely = [x for x in items if len(x) >= decontaminate.LEAST_WORDS and sum(w not in held for w in x) <= int(decontaminate.EDIT_SHARE * len(x))]
+        if not any(smallest_edits(x, text) <= int(decontaminate.EDIT_SHARE * len(x)) for x in likely):
+            clean.append(i)
+    assert sorted(r.doc_id for r in decontaminate.stage(spark, docs, sf).collect()) == sorted(clean)
+    assert len(clean) < len(rows)
+
+
 def test_digests(spark, sf):
     got = substrings.op7_substrings(spark, sf).toPandas().set_index("doc_id")
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
