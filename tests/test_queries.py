@@ -202,3 +202,16 @@ def test_training(spark, tmp_path):
     assert training.out_of_fold(rows, ["a", "b"], "id", "y", training.evidence_learner(3, 2)).count() == known.count()
     verdict = training.leakage_verdict(known, ["a", "b"], "url", "id").first()
     assert verdict.leaks and verdict.shallow_flagged and verdict.strong_columns == 1 and verdict.duplicates == 0
+
+
+def test_site_features(spark):
+    from vigil.functions import pages
+
+    rows = [
+        (1, "https://shop.a.co.id/x", "<form action='https://pay.a.co.id/y'></form><form method=post action=\"http://u@evil.xyz:80/z\">PayPal</form>"),
+        (2, "https://www.paypal.com", "<form action='/local'>PayPal and paypals</form>"),
+        (3, "http://10.0.0.1/", "<!-- <form action='http://b.com'> --><script>netflix</script> xgrabx <form action=http://10.0.0.2/a>"),
+        (4, None, None),
+    ]
+    got = {r.id: (r.foreign_target, r.foreign_form, r.brand) for r in pages.with_site_features(spark.createDataFrame(rows, "id long, url string, html string")).collect()}
+    assert got == {1: ("evil.xyz", True, "paypal"), 2: (None, False, None), 3: ("10.0.0.2", True, None), 4: (None, False, None)}

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions import dictionaries as D
+from vigil.functions import links as L
+from vigil.functions import url as U
 from vigil.operators.rules import Rule
 
 # Words that ask for credentials; patterns of scrambled scripts.
@@ -14,6 +16,7 @@ SCRAMBLED = [r"(?i)eval\s*\(\s*(atob|unescape|decodeURIComponent)", r"(?i)docume
 PASSWORD_INPUT = r"(?is)<input[^>]*\stype\s*=\s*['\"]?password\b"
 FORM = r"(?i)<form\b"
 HIDDEN_FRAME = r"(?is)<iframe\b[^>]*(display\s*:\s*none|visibility\s*:\s*hidden|\shidden\b|\swidth\s*=\s*['\"]?0(px)?['\"\s>])"
+FORM_TARGET = r"(?is)<form\b[^>]*?\saction\s*=\s*[\"']?(https?://[^\"'\s>]+)"
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 LONGEST_TITLE = 200
 MATURE_DAYS, YOUNG_DAYS, FRESH_DAYS, LEAST_WEIGHT = 730, 30, 7, 0.15
@@ -46,6 +49,17 @@ def with_page_features(pages: DataFrame) -> DataFrame:
     ).drop("__html", "__text")
 
 
+def with_site_features(pages: DataFrame) -> DataFrame:
+    """pages: url, html. Adds foreign_target (the first form target on another registered domain, else null), foreign_form, and brand (the first brand named as a whole word whose own domain is not the page's, else null). Nulls count as empty."""
+    own = U.registered_of(L.host_of(U.normalised(F.col("url"))))
+    html = F.coalesce("html", F.lit(""))
+    out = pages.withColumns({"__own": own, "__html": html, "__text": visible(html)})
+    targets = F.transform(F.regexp_extract_all(F.regexp_replace("__html", L.UNSEEN, " "), F.lit(FORM_TARGET), F.lit(1)), lambda x: U.registered_of(L.host_of(x)))
+    named = F.coalesce(*(F.when(F.col("__text").rlike(f"(?<![a-z0-9]){b}(?![a-z0-9])") & (F.col("__own") != official), b) for b, official in D.BRANDS.items()))
+    out = out.withColumns({"foreign_target": F.get(F.filter(targets, lambda x: (x != "") & (x != F.col("__own"))), F.lit(0)), "brand": named})
+    return out.withColumn("foreign_form", F.col("foreign_target").isNotNull()).drop("__own", "__html", "__text")
+
+
 def damping(age: Column) -> Column:
     """Long-standing domains weaken what is read off a page; an unknown age does not."""
     return F.when(age >= 3 * MATURE_DAYS, 0.25).when(age >= MATURE_DAYS, 0.5).otherwise(1.0)

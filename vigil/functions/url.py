@@ -51,6 +51,15 @@ def with_host(urls: DataFrame, suffixes: Sequence[str] = D.SUFFIXES) -> DataFram
     return out.withColumn("checked", F.when(F.col("subdomain") != "", F.concat_ws(".", "subdomain", "domain")).otherwise(F.col("domain"))).drop("before")
 
 
+def registered_of(host: Column, suffixes: Sequence[str] = D.SUFFIXES) -> Column:
+    """Registered domain of a host as one expression, for use inside arrays; the host itself where it has no known suffix or is an address."""
+    last = lambda n: F.substring_index(host, ".", -n)
+    suffix = F.coalesce(*(F.when(last(n).isin(*suffixes) & (last(n) != host), last(n)) for n in (3, 2, 1)))
+    before = F.left(host, F.length(host) - F.length(suffix) - 1)
+    address = host.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$")
+    return F.when(address | suffix.isNull(), host).otherwise(F.concat(F.substring_index(before, ".", -1), F.lit("."), suffix))
+
+
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters, in bits, rounded to 4."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")

@@ -19,6 +19,12 @@ def page_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.with_page_features(pages).drop("html")
 
 
+def page_site_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = F.element_at(F.array(*map(F.lit, [*SNIPPETS, "<p>Your PayPal account</p>"])), (F.col("page_id") % (len(SNIPPETS) + 1) + 1).cast("int"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.concat("html", extra).alias("html"))
+    return P.with_site_features(pages).select("page_id", "foreign_target", "foreign_form", "brand")
+
+
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence made of event ids, so that every rule fires somewhere and every value is unknown somewhere."""
     e = F.col("event_id")
@@ -69,4 +75,4 @@ ORACLE = {
       s AS (SELECT *, round(CAST(greatest(coalesce(list_max(list_transform(r, lambda x: x.w)), 0.0), d) AS DOUBLE), 4) AS risk_score FROM r)
       SELECT id, coalesce(array_to_string(list_transform(r, lambda x: x.n), ','), '') AS rules_fired, risk_score, CASE WHEN risk_score >= 0.70 THEN 'Malicious' WHEN risk_score >= 0.40 THEN 'Suspicious' ELSE 'Safe' END AS threat_label FROM s""",
 }
-QUERIES = {f.__name__: f for f in (page_evidence, evidence_rules)}
+QUERIES = {f.__name__: f for f in (page_evidence, page_site_evidence, evidence_rules)}
