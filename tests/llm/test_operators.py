@@ -249,6 +249,26 @@ def test_decontamination_recall():
     assert found >= 54
 
 
+def test_decontamination_finds_every_leak_at_the_bound():
+    """Exactly EDIT_SHARE edits, for every item length from LEAST_WORDS, beside items of frequent words, over four seeds."""
+    common_words = WORDS[:6]
+    for seed in range(4):
+        rng = random.Random(seed)
+        lengths = list(range(decontaminate.LEAST_WORDS, 64))
+        items = [" ".join(rng.choices(common_words if k % 3 == 0 else WORDS, k=n)) for k, n in enumerate(lengths)]
+        index = decontaminate.Index(lengths, items)
+        edited = []
+        for item in items:
+            w = item.split()
+            for k, at in enumerate(sorted(rng.sample(range(len(w)), len(w) // 5), reverse=True)):
+                w[at : at + 1] = [["zz"], [], [w[at], "zz"]][(k + seed) % 3]
+            edited.append(w)
+        for before, after in ([], []), (["yy"] * 9, ["yy"] * 9):
+            found = index.leaks(pa.array([" ".join(before + w + after) for w in edited]))
+            for k, w in enumerate(edited):
+                assert found[k].get(k) == smallest_edits(items[k].split(), before + w + after), (seed, lengths[k])
+
+
 def labelled(spark, good):
     rows, labels = [], []
     for k in range(400):

@@ -1,20 +1,17 @@
-"""Benchmark decontamination with a random-walk embedding and bit sampling.
+"""Benchmark decontamination by undisturbed pieces and exact word edit distance.
 
 Words are lower-cased runs of letters and digits. A benchmark item leaks into a
 document if some stretch of the document is within an edit distance of it (over
 words) of at most EDIT_SHARE of the item's length.
 
-1. The random-walk embedding reads a word sequence from a start: in step j it
-   writes the word under the head, and a random bit of (j, word) says whether the
-   head moves on. Two sequences at a small edit distance write strings at a small
-   Hamming distance, as the walks fall into step again after an edit.
-2. A table's key samples SAMPLED of the first steps, always the first among them.
-   Items enter the tables from every start that leaves enough words; documents
-   probe from every word that items have. So an item-sized window is tried from
-   many starts in every table, and a leak is found if one of them is undisturbed.
-3. Hits give an item and the place where its window would begin. A count of common
-   words in the window drops most false hits; an exact edit distance of the item
-   against every stretch of the window decides.
+1. An item that may lose e words to edits is cut into e + 1 pieces of 2 to 5 words,
+   whatever its length from LEAST_WORDS up. Each edit disturbs one piece at most, so
+   every leak holds one of the pieces word for word: the search has recall 1, and
+   what it finds does not depend on the other items.
+2. Documents probe one table of pieces a width from every word that items have.
+   A hit gives an item and the place where its window would begin.
+3. A count of common words in the window drops most false hits; an exact edit
+   distance of the item against every stretch of the window decides.
 
 Documents are read once and never shuffled. Items are taken in blocks of at most
 ITEM_BLOCK (the broadcast's bound); each further block is a further pass.
@@ -38,10 +35,6 @@ from vigil.llm import common
 EDIT_SHARE = 0.2
 LEAST_WORDS = 5
 ITEM_BLOCK = 2000
-STEPS, SAMPLED = 12, 5
-SPANS = (7, 8, 9, 10, 12)  # steps that each table samples from
-RARITY = 17.0  # least sum of -log(frequency) over the different words of an item's key
-SEED = 31
 BITS = 20
 
 WORD = np.zeros(256, bool)
@@ -68,35 +61,23 @@ class Index:
         self.items = [self.numbers(words[first[k] : first[k + 1]]) for k in keep]
         self.length = np.array([len(x) for x in self.items], np.int64)
         self.edits = np.floor(EDIT_SHARE * self.length + 1e-9).astype(np.int64)
-        rng = np.random.default_rng(SEED)
-        self.moves = rng.integers(0, 2, (STEPS, len(self.vocabulary) + 1)).astype(np.int8)
-        self.samples = [np.r_[0, 1 + np.sort(rng.choice(span - 1, SAMPLED - 1, replace=False))] for span in SPANS]
         self.has = np.zeros((len(keep), len(self.vocabulary) + 1), bool)
         for k, item in enumerate(self.items):
             self.has[k, item] = True
         flat = np.concatenate([*self.items, np.zeros(0, np.int32)]).astype(np.int32)
-        bounds = np.r_[0, np.cumsum(self.length)]
-        owner = np.repeat(np.arange(len(keep)), self.length)
-        offset = np.arange(len(flat)) - bounds[owner]
-        useful = (offset == 0) | (self.length[owner] - offset >= STEPS // 2)
-        start = np.flatnonzero(useful)
-        rarity = -np.log(np.bincount(flat, minlength=len(self.vocabulary) + 1).clip(1) / max(len(flat), 1))
-        rarity[0] = 0
-        self.tables = []
-        written, keys = self.keys(flat, start, bounds[owner[start] + 1])
-        for key, sample in zip(keys, self.samples, strict=True):
-            # a key of a few frequent words stands in every text; an item keeps such keys only if it has no better ones
-            symbols = np.sort(np.stack([written[j] for j in sample], 1).astype(np.int64), axis=1)
-            fresh = np.c_[np.ones(len(symbols), bool), symbols[:, 1:] != symbols[:, :-1]]
-            weight = (rarity[symbols] * fresh).sum(1) if len(symbols) else np.zeros(0)
-            best = np.zeros(len(keep))
-            np.maximum.at(best, owner[start], weight)
-            good = weight >= np.minimum(RARITY, best[owner[start]])
-            key, own, off = key[good], owner[start][good], offset[start][good]
+        begin = np.cumsum(self.length) - self.length
+        parts = self.edits + 1
+        owner = np.repeat(np.arange(len(keep)), parts)
+        piece = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        offset, end = (k * self.length[owner] // parts[owner] for k in (piece, piece + 1))
+        self.tables = {}
+        for width in np.unique(end - offset).tolist():
+            own, off = owner[end - offset == width], offset[end - offset == width]
+            key = self.keys(flat, begin[own] + off, width)
             order = np.argsort(key, kind="stable")
             bitmap = np.zeros(1 << BITS, bool)
             bitmap[(key >> np.uint64(64 - BITS)).astype(np.int64)] = True
-            self.tables.append((bitmap, key[order], own[order], off[order]))
+            self.tables[width] = (bitmap, key[order], own[order], off[order])
 
     def numbers(self, words: np.ndarray) -> np.ndarray:
         """Number of each word in the items' vocabulary; 0 for other words."""
@@ -107,23 +88,13 @@ class Index:
             out[maybe] = np.where(self.vocabulary[at] == words[maybe], at + 1, 0)
         return out
 
-    def keys(self, numbers: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """What each start's walk writes in each step, and its key in each table; a walk past the end writes 0."""
-        head = start.copy()
-        written = []
-        padded = np.r_[numbers, 0].astype(np.int32)
-        for j in range(STEPS):
-            symbol = np.where(head < end, padded[np.minimum(head, len(numbers))], 0)
-            written.append(symbol.astype(np.uint64))
-            head += self.moves[j][symbol]
-        out = []
-        for t, sample in enumerate(self.samples):
-            key = np.full(len(start), np.uint64(t + 1))
-            for j in sample:
-                key = (key + written[j]) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
-            out.append(common.mixed(key))
-        return written, out
+    def keys(self, numbers: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+        """Key of the words from each start; all of them are in the array."""
+        key = np.full(len(start), np.uint64(width))
+        for j in range(width):
+            key = (key + numbers[start + j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        return common.mixed(key)
 
     def leaks(self, column: pa.Array) -> list[dict[int, int]]:
         """For each document: item (by position) and its smallest edit distance, where it leaks."""
@@ -133,28 +104,31 @@ class Index:
             return found
         numbers = self.numbers(words)
         start = np.flatnonzero(numbers)
-        doc = np.searchsorted(first, start, "right") - 1
-        end = first[doc + 1]
-        pairs = []
-        for (bitmap, known, owner, offset), key in zip(self.tables, self.keys(numbers, start, end)[1], strict=True):
+        # words of items in a row, from each start to its document's end or the next other word
+        other = np.unique(np.r_[np.flatnonzero(numbers == 0), first[1:]])
+        room = other[np.searchsorted(other, start, "right")] - start
+        most = int(self.length.max())
+        span = len(numbers) + most + 1
+        codes = []
+        for width, (bitmap, known, owner, offset) in self.tables.items():
+            fits = start[room >= width]
+            key = self.keys(numbers, fits, width)
             hit = np.flatnonzero(bitmap[(key >> np.uint64(64 - BITS)).astype(np.int64)])
             lo, hi = np.searchsorted(known, key[hit], "left"), np.searchsorted(known, key[hit], "right")
             n = hi - lo
-            row = np.repeat(hit, n)
+            row = np.repeat(fits[hit], n)
             at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            pairs.append(np.c_[owner[at], start[row] - offset[at]])
-        pairs = np.concatenate(pairs)
-        code = np.unique(pairs[:, 0] * (len(numbers) + int(self.length.max()) + 1) + pairs[:, 1] + int(self.length.max()))
-        span = len(numbers) + int(self.length.max()) + 1
-        begin, item_of = code % span - int(self.length.max()), code // span
+            doc = np.searchsorted(first, row, "right") - 1
+            codes.append((owner[at] * len(found) + doc) * span + row - offset[at] + most)
+        code = np.unique(np.concatenate(codes))
+        begin, doc_of, item_of = code % span - most, code // span % len(found), code // span // len(found)
         padded = np.r_[numbers, 0]
         for item in np.unique(item_of):
             length, edits = int(self.length[item]), int(self.edits[item])
             lo, hi = np.searchsorted(item_of, [item, item + 1])
             for c in range(lo, hi, 4096):
                 at = begin[c : min(c + 4096, hi)]
-                # the window's document is that of the item's middle word
-                d = np.searchsorted(first, np.clip(at + length // 2, 0, len(numbers) - 1), "right") - 1
+                d = doc_of[c : min(c + 4096, hi)]
                 place = at[:, None] - edits + np.arange(length + 2 * edits)
                 inside = (place >= first[d][:, None]) & (place < first[d + 1][:, None])
                 window = np.where(inside, padded[np.clip(place, 0, len(numbers))], 0)
