@@ -192,6 +192,19 @@ def test_encoder_matches_the_library():
         assert encoder.ids(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_packing_ids_are_those_of_an_unchanged_library(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f"{end}start", f"stop{end}", f"one  {end}\n\n{end} two ", f"é{end}日本 <|endoftext| > <|ENDOFTEXT|>", f"<|{end}|>", f"{prose(2000)} {end} {prose(900)}", *TEXTS]
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), packing.default_tokenizer()).collect()
+    ids = [np.array([*tokenizer.encode(x or "", add_special_tokens=False).ids, 2], "<u4") for x in texts]
+    assert {r.doc_id for r in got} == set(range(len(texts))) and sum(r.length for r in got) == sum(map(len, ids))
+    for r in got:
+        assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32, texts[r.doc_id]
+
+
 def test_knn(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(0, 1, (300, 8)).astype(np.float32).tolist()
