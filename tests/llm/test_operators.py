@@ -235,6 +235,17 @@ def test_pii_against_plain_patterns(docs):
     assert pii.detect(docs).count() == docs.count()
 
 
+def test_iban_beside_other_capitals_and_numbers():
+    spans = lambda text: [x[1:] for x in pii.spans(text) if x[0] == "iban"]
+    assert spans("DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX") == [(0, 27)]
+    assert spans("DE89370400440532013000 12 EUR") == [(0, 22)] and spans("GB82WEST12345698765432 A") == [(0, 22)]
+    assert spans("NO93 8601 1117 947 IS FINE") == [(0, 18)] and spans("NO9386011117947") == [(0, 15)]
+    assert spans("DE89370400440532013000 GB82WEST12345698765432") == [(0, 22), (23, 45)]
+    assert spans("AB12 CD34 GB82WEST12345698765432 X1 Y2") == [(10, 32)]
+    assert spans("DE88 3704 0044 0532 0130 00 BIC COBADEFFXXX") == [] and spans("xDE89370400440532013000") == []
+    assert spans("DE89370400440532013000x 12") == [] and spans("DE89370400440532013000, MT84MALT011000012345MTLCAST001S Z") == [(0, 22), (24, 55)]
+
+
 def test_decontamination(spark, docs, empty):
     item = prose(30)
     w = item.split()

@@ -3,7 +3,9 @@
 Base kinds: email, ip, card, phone. Each pattern is matched leftmost and without
 overlaps within its kind; a match that fails its check (address parts at most
 255, Luhn, digit counts) is dropped without a retry. The method adds `iban`
-spans, confirmed by the remainder modulo 97. Offsets are code points.
+spans: the length that the country has, then the ends of words within a match from
+the last to the first, until the remainder modulo 97 confirms one. After a confirmed span the search goes
+on at its end, after none at the next word of the match. Offsets are code points.
 
 Scores start from the kind's prior; words such as "mail" or "card" within 40
 characters before the span raise it, words such as "version" or "order" lower it.
@@ -31,6 +33,13 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+# Lengths by country; a country that is not listed may have any.
+IBAN_LENGTH = {k: n for n, names in {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for k in names.split()}
 MAIL_CHARACTERS = re.compile(r"[A-Za-z0-9._%+@-]")
 
 KINDS = ["email", "ip", "card", "phone", "iban"]
@@ -50,6 +59,21 @@ def mod97(text: str) -> bool:
     return 15 <= len(text) <= 34 and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    m = IBAN.search(text)
+    while m:
+        start, end = m.span()
+        # a longest match holds every shorter one that ends with a word
+        ends = [end, *(k for k in range(end - 1, start, -1) if text[k] == " ")]
+        length = IBAN_LENGTH.get(text[start : start + 2])
+        ends.sort(key=lambda k: k - start - text.count(" ", start, k) != length)
+        end = next((k for k in ends if mod97(text[start:k])), 0)
+        if end:
+            yield start, end
+        blank = text.find(" ", start, m.end())
+        m = IBAN.search(text, end or (blank if blank >= 0 else m.end()))
+
+
 def _emails(text: str) -> list[tuple[int, int]]:
     """A match lies in one run of the characters that it may hold, so only runs around an @ are searched."""
     out, at = [], text.find("@")
@@ -96,9 +120,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
         for m in PHONE.finditer(text):
             if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                 out.append(("phone", *m.span()))
-    for m in IBAN.finditer(text):
-        if mod97(m[0]):
-            out.append(("iban", *m.span()))
+    out += [("iban", *x) for x in _ibans(text)]
     return out
 
 
