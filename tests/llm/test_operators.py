@@ -311,6 +311,20 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, toxicity.fit(table, labels.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize(("few", "apart", "count"), [(1, 0, 6), (1, 1, 6), (0, 0, 6), (1, 0, 1), (0, 1, 1)])
+def test_toxicity_with_few_labels_on_one_side(spark, few, apart, count):
+    """A class whose rows fall all on one side of the calibration split still gives scores that differ; few toxic rows are enough to rank by (few ordinary ones show little of ordinary prose)."""
+    table, labels = labelled(spark, " zzvvq zzvvq " * 4)
+    side = (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).cast("int")
+    rare = labels.where((F.col("toxic") == few) & (side == apart) & (common.remainder("doc_id", 5) != 0)).orderBy("doc_id").limit(count)
+    assert rare.count() == count
+    model = toxicity.fit(table, labels.where(F.col("toxic") == 1 - few).unionByName(rare))
+    got = toxicity.score(table, model).where("doc_id < 400").toPandas()
+    toxic = got.doc_id % 4 == 0
+    assert got.score.nunique() > 100
+    assert few == 0 or np.mean(got.score[toxic].to_numpy()[:, None] > got.score[~toxic].to_numpy()) > 0.95
+
+
 def test_quality(spark, empty):
     table, labels = labelled(spark, " !! $$$ " * 12)
     got = quality.score(table, quality.fit(table, labels)).toPandas().set_index("doc_id")
