@@ -77,27 +77,28 @@ def without(history: DataFrame, ids: DataFrame) -> DataFrame:
     return history.join(ids, (history["id"] == ids["id"]) & (history["user_id"] == ids["user_id"]), "left_anti")
 
 
-def _in_order(rows: DataFrame, key: str, step: Callable[[dict, int], tuple], schema: str, names: list[str]) -> DataFrame:
+def _in_order(rows: DataFrame, key: str, step: Callable[..., tuple], schema: str, names: list[str], *more: Column) -> DataFrame:
     """A fold over each key's rows in the order of time and id.
 
     Rows are dealt by key and sorted by Spark, which spills; Python sees one batch at
     a time and keeps the state of the current key alone, so a key with a large part
     of all rows needs no more memory than any other.
     """
-    schema_of_key = dict(rows.dtypes)[key]
+    schema_of_key, wide = dict(rows.dtypes)[key], bool(more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = object(), {}
         for batch in batches:
             keys, times = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            others = zip(*(x.to_pylist() for x in batch.columns[3:])) if wide else [()] * len(keys)
             made = []
-            for k, t in zip(keys, times, strict=True):
+            for k, t, other in zip(keys, times, others, strict=True):
                 if k != current:
                     current, state = k, {}
-                made.append(step(state, t))
+                made.append(step(state, t, *other))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([m[i] for m in made], t) for i, t in enumerate(_ARROW[x] for x in schema.split(",")))], names=[key, "event_id", *names])
 
-    ordered = rows.select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id").repartition(key).sortWithinPartitions(key, "t", "event_id")
+    ordered = rows.select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id", *(c.alias(f"more{i}") for i, c in enumerate(more))).repartition(key).sortWithinPartitions(key, "t", "event_id")
     return ordered.mapInArrow(run, f"{key} {schema_of_key}, event_id long, " + ", ".join(f"{n} {t}" for n, t in zip(names, schema.split(","), strict=True)))
 
 
@@ -127,13 +128,13 @@ def cache_lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return out.withColumn("hit", F.coalesce(F.col("there") & (F.col("expires_at").isNull() | (F.col("expires_at") >= F.col("ts"))), F.lit(False))).drop("there")
 
 
-def cache_misses(requests: DataFrame, days: int) -> DataFrame:
-    """Per domain, the requests that probe anew: hits do not extend what is stored. State: when the stored row runs out."""
+def cache_misses(requests: DataFrame, days: int, known: Column | None = None) -> DataFrame:
+    """Per domain, the requests that probe anew: hits do not extend what is stored, and a probe that is not `known` (it failed) is not stored. State: when the stored row runs out."""
 
-    def step(state: dict, t: int) -> tuple:
+    def step(state: dict, t: int, stored: bool = True) -> tuple:
         miss = "until" not in state or state["until"] < t
-        if miss:
+        if miss and stored:
             state["until"] = t + days * 86_400_000_000
         return (miss,)
 
-    return _in_order(requests, "domain", step, "boolean", ["miss"])
+    return _in_order(requests, "domain", step, "boolean", ["miss"], *([] if known is None else [F.coalesce(known, F.lit(False))]))
