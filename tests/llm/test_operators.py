@@ -55,12 +55,13 @@ def test_words_and_hashes():
 
 
 def test_lines(docs, empty):
-    count = defaultdict(int)
+    count = defaultdict(set)
     strip = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({k: k + 32 for k in range(65, 91)})
     everything = [(r.doc_id, r.text) for r in docs.collect()]
-    for _, t in everything:
+    for i, t in everything:
         for key in {strip(x) for x in (t or "").split("\n")}:
-            count[key] += 1
+            count[key].add(i)
+    count = {k: len(v) for k, v in count.items()}
     expected = sorted((i, len((t or "").split("\n")), sum(count[strip(x)] >= 10 and bool(strip(x)) for x in (t or "").split("\n")), "\n".join(x for x in (t or "").split("\n") if not (count[strip(x)] >= 10 and strip(x)))) for i, t in everything)
     got = lines.dedup(docs)
     assert sorted((r.doc_id, r["__n_lines"], r["__n_dropped"], r.text or "") for r in got.collect()) == expected
@@ -75,38 +76,98 @@ def test_perfect_hash():
     assert lines.PerfectHash(keys[:0]).index(keys[:3]).tolist() == [-1, -1, -1]
 
 
-def test_substrings(docs, empty):
-    everything = [(r.doc_id, words(r.text)) for r in docs.collect()]
+def brute_substrings(everything, width=13):
     least = {}
-    for i, w in everything:
-        for k in range(len(w) - 12):
-            g = tuple(w[k : k + 13])
+    listed = [(i, words(t)) for i, t in everything]
+    for i, w in listed:
+        for k in range(len(w) - width + 1):
+            g = tuple(w[k : k + width])
             least[g] = min(least.get(g, i), i)
     expected = []
-    for i, w in everything:
+    for i, w in listed:
         gone = set()
-        for k in range(len(w) - 12):
-            if least[tuple(w[k : k + 13])] < i:
-                gone.update(range(k, k + 13))
+        for k in range(len(w) - width + 1):
+            if least[tuple(w[k : k + width])] < i:
+                gone.update(range(k, k + width))
         expected.append((i, " ".join(x for k, x in enumerate(w) if k not in gone), len(w), len(gone)))
-    assert sorted(tuple(r) for r in substrings.dedup(docs).collect()) == sorted(expected)
+    return sorted(expected)
+
+
+def test_substrings(docs, empty):
+    expected = brute_substrings([(r.doc_id, r.text) for r in docs.collect()])
+    assert sorted(tuple(r) for r in substrings.dedup(docs).collect()) == expected
     assert any(x[3] for x in expected)
     assert substrings.dedup(empty).count() == 0
 
 
 def test_symbols_are_consistent():
-    """Equal windows get equal symbols wherever they stand, runs and periods included."""
+    """Equal windows pick equal symbols wherever they stand, runs and periods included."""
     rng = np.random.default_rng(3)
     for _ in range(200):
-        window = rng.integers(1, 4, 13).astype(np.uint64)
+        window = rng.integers(1, 4, 13)
         picked = set()
         for _ in range(3):
-            around = [rng.integers(1, 4, rng.integers(0, 20)).astype(np.uint64) for _ in range(2)]
-            text = common.mixed(np.r_[around[0], window, around[1]])
-            picked.add(int(substrings.picked_symbols(text, np.array([0, len(text)]), np.array([len(around[0])]))[0]))
+            around = [rng.integers(1, 4, rng.integers(0, 20)) for _ in range(2)]
+            text = " ".join(map(str, np.r_[around[0], window, around[1]]))
+            table = pa.table({"text": [text], "__order": [1]})
+            asked = substrings.ask_names((pa.scalar(0),), table)
+            shared = pa.table({"kind": asked["kind"], "x": asked["x"], "y": asked["y"], "z": common.mixed(asked["x"].to_numpy().view(np.uint64) * common.ODD + asked["y"].to_numpy().view(np.uint64)).view(np.int64)})
+            group = substrings.Group(table, shared.filter(pa.compute.equal(shared["kind"], substrings.SYMBOL)))
+            group.name()
+            start, pick = group.windows(np.zeros(1, bool))
+            picked.add(int(pick[list(start).index(len(around[0]))]))
         assert len(picked) == 1
 
 
+def test_substrings_stand_on_their_symbols(spark, monkeypatch):
+    """Where symbols do not agree between documents, repeats are no longer found: removal goes through them."""
+    passage = prose(40)
+    table = spark.createDataFrame([(1, prose(9) + " " + passage + " " + prose(9)), (2, prose(30) + " " + passage)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substrings.dedup(table).collect()} == {1: 0, 2: 40}
+    real = substrings.ask_names
+
+    def wrong(key, table):
+        asked = real(key, table)
+        return asked.set_column(1, "x", pa.array(asked["x"].to_numpy() ^ (asked["lo"].to_numpy() << 20)))
+
+    monkeypatch.setattr(substrings, "ask_names", wrong)
+    assert sum(r.n_removed for r in substrings.dedup(table).collect()) == 0
+
+
+def alternating(n, a, b):
+    """The Thue-Morse sequence of two symbols: it and its complement have equal polynomial hashes modulo 2**64."""
+    return [b if bin(k).count("1") % 2 else a for k in range(n)]
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_structured_texts_are_told_apart(spark, n):
+    one, other = ("".join(alternating(n, *x)) for x in ("ab", "ba"))
+    made = lines.dedup(spark.createDataFrame([(k, one if k < 9 else other) for k in range(10)], "doc_id long, text string"))
+    assert made.agg(F.sum("__n_dropped")).first()[0] == 0
+    got = neardup.link(spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string"), 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1}
+    words_of_two = [" ".join(["x"] * 6 + [w] + ["y"] * 6) for w in (one, other)]
+    got = substrings.dedup(spark.createDataFrame(list(enumerate([*words_of_two, words_of_two[0]])), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {0: 0, 1: 0, 2: 13}
+    many = [" ".join(alternating(n, *x)) for x in ("ab", "ba")]
+    rows = [(k, t) for k, t in enumerate([*many, many[0], many[1][: n // 2]])]
+    got = sorted(tuple(r) for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_substrings(rows)
+
+
+def test_lines_count_documents(spark):
+    """Rows that repeat an id are one document; rows without one are documents of their own."""
+    rows = [(k % 3, "often\nown") for k in range(12)] + [(None, "nameless")] * 10 + [(k, "ten") for k in range(20, 30)]
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r["__n_dropped"]) for r in got} == {(k, 0) for k in range(3)} | {(None, 1)} | {(k, 1) for k in range(20, 30)}
+
+
+def test_lines_of_one_hash_are_counted_apart():
+    key = np.array([5, 5, 5, 7, 7, 5], np.uint64)
+    mark = np.array([1, 2, 1, 3, 3, 2], np.uint32)
+    assert lines.frequent(key, mark, np.array([6, 9, 4, 5, 4, 2]), 10).tolist() == [True, True, True, False, False, True]
+
+
 def brute_components(rows, percent):
     lower = {k: k + 32 for k in range(65, 91)}
     sets = {}
@@ -434,8 +495,7 @@ def test_stages_against_brute_force(spark, sf):
 
 
 def test_digests(spark, sf):
-    got = substrings.op7_substrings(spark, sf).toPandas().set_index("doc_id")
-    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    for i, r in got.iterrows():
-        if not r.n_removed:
-            assert r.kept_sha256 == hashlib.sha256(" ".join(words(text[i])).encode()).hexdigest()
+    got = substrings.op7_substrings(spark, sf).collect()
+    expected = brute_substrings([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
+    assert sorted(tuple(r) for r in got) == [(i, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for i, kept, n, gone in expected]
+    assert any(x[3] for x in expected)

@@ -5,7 +5,7 @@ Everything here works on one bounded slice of an Arrow batch at a time.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,10 +20,8 @@ SLICE_BYTES = 2 << 20  # text handled at once by numpy code
 ARROW_ROWS = 2000  # rows of an Arrow batch; texts can be long
 GROUP_BYTES = 8 << 20  # text aimed at for one group of documents
 
-_SEED = np.random.default_rng(20240229)
-BYTE_HASH = _SEED.integers(1, 2**63 - 1, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = 0x9E3779B97F4A7C15 | 1
-WORD_BASE = 0xD1342543DE82EF95 | 1
+ODD = np.uint64(0x9E3779B97F4A7C15)
+BYTE_SEEDS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD1342543DE82EF95))  # two unrelated names a word
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -37,11 +35,13 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, in the cluster's shared folder (spark.checkpoint.dir; a temporary one where unset, as in tests)."""
+    """The checkpoint folder of the session, in the cluster's shared folder (spark.checkpoint.dir). Only a local master may do without the setting: its one machine then gets a temporary folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+        if not shared and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -103,21 +103,6 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, np.searchsorted(start, offsets)
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        m = max(n, 1 << 16)
-        steps = [np.full(m, np.uint64(x)) for x in (base, pow(base, -1, 2**64))]
-        for x in steps:
-            x[0] = 1
-        _POWERS[base] = tuple(np.cumprod(x) for x in steps)
-    p, q = _POWERS[base]
-    return p[:n], q[:n]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spreads a 64-bit value over all its bits."""
     h = h ^ (h >> np.uint64(32))
@@ -127,29 +112,42 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each pair, by prefix sums of a polynomial."""
-    p, q = powers(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * p[: len(values)], out=sums[1:])
-    return mixed((sums[end] - sums[start]) * q[start])
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for spans that do not overlap, in order: the sum of a scrambled number for each (place, byte).
+
+    Unlike a polynomial modulo 2**64, no structure of a text (periods, alternating
+    blocks) makes two texts agree: every (place, byte) has a number of its own.
+    """
+    size = end - start
+    total = int(size.sum())
+    if not total:
+        return np.zeros(len(start), np.uint64)
+    place = np.arange(total, dtype=np.int64) - np.repeat(np.cumsum(size) - size, size)
+    each = mixed(((place.astype(np.uint64) << np.uint64(8)) | data[np.repeat(start, size) + place]) * ODD + BYTE_SEEDS[seed])
+    sums = np.zeros(total + 1, np.uint64)
+    np.cumsum(each, out=sums[1:])
+    last = np.cumsum(size)
+    return mixed((sums[last] - sums[last - size]) ^ size.astype(np.uint64))
+
+
+def chained(values: np.ndarray, start: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """Hash of values[i:i+width] for each i in start, by a chain of scrambling steps."""
+    key = np.full(len(start), BYTE_SEEDS[seed] + np.uint64(width))
+    for j in range(width):
+        key = mixed(key * ODD + values[start + j])
+    return key
 
 
-def hashed_words(column: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hashed_words(column: pa.Array, lower: bool, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of words split at ASCII white space, first word of each document, byte span of each word."""
     data, offsets = utf8(column)
     start, end, first = runs(~SPACE[data], offsets)
-    table = BYTE_HASH[LOWER] if lower else BYTE_HASH
-    return span_hashes(table[data], start, end, BASE), first, start, end
+    return byte_hashes(LOWER[data] if lower else data, start, end, seed), first, start, end
 
 
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """Hash of words[i:i+width] for each i where it fits the array; callers leave out those that cross documents."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return span_hashes(words, at, at + width, WORD_BASE)
+    return chained(words, np.arange(max(len(words) - width + 1, 0)), width, seed)
 
 
 def inside_documents(first: np.ndarray, width: int) -> np.ndarray:

@@ -1,25 +1,18 @@
 """Global questions about hashes, without joining texts.
 
-Documents are dealt into groups of about GROUP_BYTES of text. Each group sends, to
-each shard of the hash space, one packed row with its distinct hashes. A shard
-merges what it gets from all groups and answers each with a packed row, in the
-order of the question. Groups then read their documents again (the same exchange)
-beside the answers. Nothing passes the driver, and a hash in a third of all
-documents costs one entry a group.
+Documents are dealt into groups of about GROUP_BYTES of text. Each group sends one
+row for each of its distinct keys, Spark brings the rows of a key together, and the
+answers go back to the groups that need them. Groups then read their documents again
+(the same exchange) beside the answers. Rows grow with the text, nothing passes the
+driver, and a key in a third of all documents costs one row a group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ASKED = "grp long, shard int, asked binary, extra binary"
-ANSWERED = "grp long, shard int, answer binary"
-
 
 def squeeze(sorted_hashes: np.ndarray) -> bytes:
     """Sorted distinct 64-bit hashes as fixed-width differences."""
@@ -43,41 +36,7 @@ def expand(packed: bytes) -> np.ndarray:
     return np.cumsum(step, dtype=np.uint64)
 
 
-def by_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
-    """Bounds of each shard's part of sorted hashes: shards are equal ranges of the hash space."""
-    return np.searchsorted(hashes, np.array([(k << 64) // shards for k in range(1, shards)], dtype=np.uint64)) if shards > 1 else np.zeros(0, np.int64)
-
-
-def question(group: int, hashes: np.ndarray, shards: int, extra: np.ndarray | None = None) -> Iterator[dict]:
-    """Rows that ask about sorted distinct hashes; extra is a fixed-width array beside them."""
-    cut = [0, *by_shard(hashes, shards).tolist(), len(hashes)]
-    for k in range(shards):
-        a, b = cut[k], cut[k + 1]
-        if b > a:
-            yield {"grp": group, "shard": k, "asked": squeeze(hashes[a:b]), "extra": b"" if extra is None else extra[a:b].tobytes()}
-
-
-def rows(found: Iterator[dict], names: list[tuple[str, pa.DataType]]) -> pa.Table:
-    found = list(found)
-    return pa.table({n: pa.array([x[n] for x in found], t) for n, t in names})
-
-
-ASKED_ARROW = [("grp", pa.int64()), ("shard", pa.int32()), ("asked", pa.binary()), ("extra", pa.binary())]
-ANSWERED_ARROW = [("grp", pa.int64()), ("shard", pa.int32()), ("answer", pa.binary())]
-
-
-def answered(questions: DataFrame, answer: Callable[[list[np.ndarray], list[bytes], np.ndarray], list[bytes]]) -> DataFrame:
-    """answer(hashes of each group, their extras, group numbers), all of one shard, to a packed answer each."""
-
-    def run(asked: pa.Table) -> pa.Table:
-        asked = asked.sort_by("grp")
-        hashes = [expand(x) for x in asked.column("asked").to_pylist()]
-        got = answer(hashes, asked.column("extra").to_pylist(), asked.column("grp").to_numpy())
-        return pa.table({"grp": asked.column("grp"), "shard": asked.column("shard"), "answer": pa.array(got, pa.binary())})
-
-    return questions.groupBy("shard").applyInArrow(run, ANSWERED)
-
-
-def dealt(docs: DataFrame, groups: int, number) -> DataFrame:
-    """The documents with their group's number, dealt out by it."""
-    return docs.withColumn("grp", F.coalesce(number, F.lit(0)).cast("long")).repartition(groups, "grp")
+def dealt(docs: DataFrame, groups: int) -> DataFrame:
+    """The documents with their group's number `grp`, dealt out by it: rows of one doc_id together, rows without one by their text."""
+    number = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(groups))
+    return docs.withColumn("grp", number.cast("long")).repartition(groups, "grp")

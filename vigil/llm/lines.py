@@ -1,27 +1,35 @@
 """Line dedup with a sharded minimal perfect hash.
 
-1. Each group of documents sends its distinct line-key hashes, with the number of
-   its documents that hold the key, to shards of the hash space.
-2. A shard adds the counts up, builds a minimal perfect hash over its distinct
-   hashes and fills two compact arrays at the hash's index: a 32-bit fingerprint
-   and a saturating 16-bit count. Groups' lines probe these arrays, and each group
-   gets one bit a line key: in at least `least` documents or not.
-3. Documents drop the lines so marked and are put together again.
-
-Lines never join lines; texts move once, and what is sent a line is a few bytes.
+1. Each group of documents sends, for each distinct line key, its 64-bit hash, an
+   unrelated 32-bit fingerprint and the number of its documents that hold the key, to
+   the shard of the hash's range.
+2. A shard builds a minimal perfect hash over its distinct hashes and fills two
+   compact arrays at the hash's index: the fingerprint and a saturating 16-bit count.
+   The groups' lines then probe the arrays. A line that finds another fingerprint at
+   its place is a different line with the same 64-bit hash; such lines are counted
+   exactly beside the arrays.
+3. What comes back to a group is only its keys found in at least `least` documents;
+   documents drop the lines so marked and are put together again.
+
+Lines never join lines; texts move once. Two different lines are taken for one only
+where 96 bits agree.
 
 A line's key is the line without ASCII white space at both ends, A-Z lower-cased.
 Keys shorter than one character are never dropped. Null or empty text is one empty
-line. Each row counts as a document, repeated rows too; a row without doc_id
-counts like any other. Empty tables give no rows. Other columns pass through.
+line. A document is a doc_id: rows that repeat an id count once for a key they share; a
+row without doc_id is a document of its own. A very long text is a group by itself or
+with few others, and lines of any length are one key. Empty tables give no rows. Other
+columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +38,7 @@ from vigil.llm import common, grouping
 
 LEAST = 10
 SPREAD = 2.0  # bits a key in each level of the perfect hash
-TOP = np.uint64(0xFFFF)
+TOP = 0xFFFF
 
 
 class PerfectHash:
@@ -65,8 +73,8 @@ class PerfectHash:
         return out
 
 
-def _line_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Key hash, whether the key has a character, document, and byte bounds of every line; the bytes."""
+def _line_keys(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Key hash and fingerprint, whether the key has a character, document, and byte bounds of every line; the bytes."""
     data, offsets = common.utf8(column)
     n = len(offsets) - 1
     feeds = np.flatnonzero(data == 10)
@@ -87,94 +95,103 @@ def _line_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     has = b > a
     k_start = np.where(has, solid[np.minimum(a, max(len(solid) - 1, 0))] if len(solid) else 0, start)
     k_end = np.where(has, solid[np.maximum(b - 1, 0)] + 1 if len(solid) else 0, k_start)
-    return common.span_hashes((common.BYTE_HASH[common.LOWER])[data], k_start, k_end, common.BASE), has, doc, start, end, data
-
-
-def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct key hashes of a group and the number of its documents that hold each."""
-    found = []
-    base = 0
-    for batch in table.select(["text"]).combine_chunks().to_batches(max_chunksize=common.ARROW_ROWS):
-        for part in common.slices(batch):
-            key, has, doc, *_ = _line_keys(part.column("text"))
-            key, doc = key[has], doc[has]
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-            found.append(np.unique(key[new], return_counts=True))
-            base += part.num_rows
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, at = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([x[1] for x in found]), len(keys)).astype(np.int64)
-
-
-def _shard_answer(least: int):
-    def answer(hashes: list[np.ndarray], extras: list[bytes], groups: np.ndarray) -> list[bytes]:
-        keys = np.unique(np.concatenate(hashes))
-        perfect = PerfectHash(keys)
-        fingerprint = np.zeros(perfect.size, np.uint32)
-        count = np.zeros(perfect.size, np.uint16)
-        fingerprint[perfect.index(keys)] = (keys >> np.uint64(32)).astype(np.uint32) ^ keys.astype(np.uint32)
-        for own, extra in zip(hashes, extras, strict=True):
-            at = perfect.index(own)
-            count[at] = np.minimum(count[at].astype(np.uint64) + np.frombuffer(extra, "<u4"), TOP).astype(np.uint16)
-        out = []
-        for own in hashes:
-            at = perfect.index(own)
-            known = fingerprint[at] == ((own >> np.uint64(32)).astype(np.uint32) ^ own.astype(np.uint32))
-            out.append(np.packbits(known & (count[at] >= least)).tobytes())
-        return out
-
-    return answer
-
-
-def dedup(docs: DataFrame, least: int = LEAST, shards: int | None = None) -> DataFrame:
+    low = common.LOWER[data]
+    mark = (common.byte_hashes(low, k_start, k_end, 1) >> np.uint64(32)).astype(np.uint32)
+    return common.byte_hashes(low, k_start, k_end), mark, has, doc, start, end, data
+
+
+def _parts(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    for batch in table.combine_chunks().to_batches(max_chunksize=common.ARROW_ROWS):
+        yield from common.slices(batch)
+
+
+def _identity(table: pa.Table) -> np.ndarray:
+    """A number for the document of each row: the same for rows of one id."""
+    ids = table.column("doc_id").combine_chunks().dictionary_encode()
+    number = pc.fill_null(ids.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.where(number < 0, -1 - np.arange(len(number)), number)
+
+
+def _distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of a group (hash and fingerprint) and the number of its documents that hold each."""
+    identity, row, found = _identity(table), 0, []
+    for part in _parts(table.select(["text"])):
+        key, mark, has, doc, *_ = _line_keys(part.column("text"))
+        found.append((key[has], mark[has], identity[row + doc[has]]))
+        row += part.num_rows
+    key, mark, doc = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    order = np.lexsort((doc, mark, key))
+    key, mark, doc = key[order], mark[order], doc[order]
+    line = np.r_[True, (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])][: len(key)]
+    held = line | np.r_[True, doc[1:] != doc[:-1]][: len(key)]
+    at = np.flatnonzero(line)
+    return key[at], mark[at], np.add.reduceat(held.astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+
+
+def frequent(key: np.ndarray, mark: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
+    """Which of a shard's questions (hash, fingerprint, documents of one group) are about lines of at least so many documents."""
+    perfect = PerfectHash(np.unique(key))
+    fingerprint, count = np.zeros(perfect.size, np.uint32), np.zeros(perfect.size, np.uint16)
+    at = perfect.index(key)
+    fingerprint[at] = mark  # of several with one hash the last stays
+    own = fingerprint[at] == mark
+    count[:] = np.minimum(np.bincount(at[own], n[own], perfect.size), TOP).astype(np.uint16)
+    often = own & (count[at] >= least)
+    beside: dict[tuple[int, int], int] = defaultdict(int)  # lines whose hash another line has
+    for k in np.flatnonzero(~own):
+        beside[int(key[k]), int(mark[k])] += int(n[k])
+    for k in np.flatnonzero(~own):
+        often[k] = beside[int(key[k]), int(mark[k])] >= least
+    return often
+
+
+def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents' own columns with the kept lines as text, and __n_lines, __n_dropped."""
     spark = docs.sparkSession
     common.tune(spark)
-    if least > int(TOP):
+    if least > TOP:
         raise ValueError("counts saturate at 65535")
-    groups = common.groups_for(spark, common.text_bytes(docs))
-    shards = shards or max(groups, 64)
     columns = docs.columns
-    spread = grouping.dealt(docs.withColumnsRenamed({"grp": "__grp"}) if "grp" in columns else docs, groups, F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    groups = common.groups_for(spark, common.text_bytes(docs))
+    spread = grouping.dealt(docs.withColumnsRenamed({"grp": "__grp"}) if "grp" in columns else docs, groups)
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        keys, count = _distinct(table)
-        return grouping.rows(grouping.question(key[0].as_py(), keys, shards, np.minimum(count, 2**32 - 1).astype("<u4")), grouping.ASKED_ARROW)
+        key_hash, mark, n = _distinct(table)
+        shard = (key_hash >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
+        return pa.table({"shard": shard.astype(np.int64), "grp": np.full(len(n), key[0].as_py(), np.int64), "key": key_hash.view(np.int64), "mark": mark.view(np.int32), "n": n.astype(np.int32)})
+
+    def answer(asked: pa.Table) -> pa.Table:
+        key, mark, n = (asked.column(x).to_numpy() for x in ("key", "mark", "n"))
+        often = frequent(key.view(np.uint64), mark.view(np.uint32), n, least)
+        return asked.select(["grp", "key", "mark"]).filter(pa.array(often))
 
-    answers = grouping.answered(spread.groupBy("grp").applyInArrow(ask, grouping.ASKED), _shard_answer(least))
+    asked = spread.groupBy("grp").applyInArrow(ask, "shard long, grp long, key long, mark int, n int")
+    answers = asked.repartition(groups, "shard").groupBy("shard").applyInArrow(answer, "grp long, key long, mark int")
     kept = [x for x in spread.columns if x != "grp"]
     schema = T.StructType([*spread.select(*kept).schema.fields, T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())])
 
-    def drop(table: pa.Table, answer: pa.Table) -> pa.Table:
+    def drop(table: pa.Table, marked: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({f.name: pa.array([], f.type) for f in table.schema if f.name != "grp"} | {"__n_lines": pa.array([], pa.int64()), "__n_dropped": pa.array([], pa.int64())})
-        keys, _ = _distinct(table)
-        mark = np.zeros(len(keys), bool)
-        cut = [0, *grouping.by_shard(keys, shards).tolist(), len(keys)]
-        for k, packed in zip(answer.column("shard").to_pylist(), answer.column("answer").to_pylist(), strict=True):
-            mark[cut[k] : cut[k + 1]] = np.unpackbits(np.frombuffer(packed, np.uint8), count=cut[k + 1] - cut[k]).astype(bool)
+        hashes = np.unique(marked.column("key").to_numpy().view(np.uint64)) if marked.num_rows else np.zeros(0, np.uint64)
+        pairs = set(zip(marked.column("key").to_numpy().view(np.uint64).tolist(), marked.column("mark").to_numpy().view(np.uint32).tolist(), strict=True)) if marked.num_rows else set()
         out = []
-        for batch in table.combine_chunks().to_batches(max_chunksize=common.ARROW_ROWS):
-            for part in common.slices(batch):
-                key, has, doc, start, end, data = _line_keys(part.column("text"))
-                gone = np.zeros(len(key), bool)
-                if len(keys):
-                    gone[has] = mark[np.searchsorted(keys, key[has])]
-                n = part.num_rows
-                lines, dropped = np.bincount(doc, minlength=n), np.bincount(doc[gone], minlength=n)
-                texts = part.column("text").to_pylist()
-                raw = data.tobytes()
-                bounds = np.searchsorted(doc, np.arange(n + 1))
-                for d in np.flatnonzero(dropped):
-                    stay = np.flatnonzero(~gone[bounds[d] : bounds[d + 1]]) + bounds[d]
-                    texts[d] = b"\n".join([raw[start[i] : end[i]] for i in stay]).decode("utf-8")
-                names = [x for x in part.schema.names if x != "grp"]
-                made = [pa.array(texts, pa.string()) if x == "text" else part.column(x) for x in names]
-                out.append(pa.RecordBatch.from_arrays([*made, pa.array(lines.astype(np.int64)), pa.array(dropped.astype(np.int64))], names=[*names, "__n_lines", "__n_dropped"]))
+        for part in _parts(table):
+            key, mark, has, doc, start, end, data = _line_keys(part.column("text"))
+            gone = has & np.isin(key, hashes)
+            at = np.flatnonzero(gone)
+            gone[at] = [x in pairs for x in zip(key[at].tolist(), mark[at].tolist(), strict=True)]
+            n = part.num_rows
+            lines, dropped = np.bincount(doc, minlength=n), np.bincount(doc[gone], minlength=n)
+            texts = part.column("text").to_pylist()
+            raw = data.tobytes()
+            bounds = np.searchsorted(doc, np.arange(n + 1))
+            for d in np.flatnonzero(dropped):
+                stay = np.flatnonzero(~gone[bounds[d] : bounds[d + 1]]) + bounds[d]
+                texts[d] = b"\n".join([raw[start[i] : end[i]] for i in stay]).decode("utf-8")
+            names = [x for x in part.schema.names if x != "grp"]
+            made = [pa.array(texts, pa.string()) if x == "text" else part.column(x) for x in names]
+            out.append(pa.RecordBatch.from_arrays([*made, pa.array(lines.astype(np.int64)), pa.array(dropped.astype(np.int64))], names=[*names, "__n_lines", "__n_dropped"]))
         return pa.Table.from_batches(out)
 
     done = spread.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(drop, schema)

@@ -60,7 +60,7 @@ def sets(column: pa.Array) -> list[np.ndarray]:
         if b - a >= SHINGLE:
             out.append(np.unique(shingle[a : b - SHINGLE + 1]))
         elif b > a:
-            out.append(common.span_hashes(words, np.array([a]), np.array([b]), common.WORD_BASE) ^ np.uint64(b - a))
+            out.append(common.chained(words, np.array([a]), b - a))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

@@ -50,7 +50,7 @@ def _statistics(column: pa.Array) -> list[np.ndarray]:
     upper, digit, symbol, bar, bang, point, wide, line = (over(c[data]) for c in _CLASS)
     start, end, first = common.runs(~common.SPACE[data], offsets)
     words = np.diff(first)
-    hashes = common.span_hashes(common.BYTE_HASH[data], start, end, common.BASE)
+    hashes = common.byte_hashes(data, start, end)
     doc = np.repeat(np.arange(len(size)), words)
     per = lambda mask: np.bincount(doc[mask], minlength=len(size))
     order = np.lexsort((hashes, doc))
@@ -61,7 +61,7 @@ def _statistics(column: pa.Array) -> list[np.ndarray]:
     again[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
     l_start, l_end, l_first = common.runs(data != 10, offsets)
     lines = np.diff(l_first)
-    l_hash = common.span_hashes(common.BYTE_HASH[data], l_start, l_end, common.BASE)
+    l_hash = common.byte_hashes(data, l_start, l_end)
     l_doc = np.repeat(np.arange(len(size)), lines)
     l_order = np.lexsort((l_hash, l_doc))
     l_new = np.ones(len(l_hash), bool)

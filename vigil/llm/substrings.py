@@ -1,209 +1,292 @@
 """Substring dedup by recompression.
 
-Words of a text are symbols. Two kinds of rounds shorten it: runs of a repeated
-symbol become one run symbol, then adjacent symbols merge to a pair symbol where a
-random bit of the left one is 1 and of the right one 0. Names are 64-bit
-fingerprints of what they stand for, so they are the same in every document
-without a shuffle of each round's alphabet. After ROUNDS rounds a pair symbol
-spans at most 4 words, and it depends on 3 words of context at each side only:
-two equal windows of 13 words have equal symbols in their middle 7 words.
-
-1. Reveal (Spark round): each window picks the interior symbol with the smallest
-   name; the distinct picked symbols, named with their context, are sent to shards
-   of the hash space, which tell each group of documents which ones are shared.
-   A window without a whole pair symbol inside has its middle word in a run; the
-   run's symbol stands for it.
-2. Verify (Spark round): only windows whose symbol is shared are sent, as hashes of
-   all their words; groups hold ranges of doc_id, so a shard tells a group whether a
-   group of smaller ids has the window. Within a group it is counted on the spot.
-3. Words in windows that an earlier document has are removed.
-
-Windows have 64-bit names: two different ones among n agree with probability
-n * n / 2**65. Null or empty text has no words. A null doc_id counts as larger than
-any other. Rows that repeat a doc_id are the same document, so none precedes the
-other. Texts shorter than a window stay as they are. Empty tables give no rows.
+Words of a text are symbols. Rounds shorten the text: runs of a repeated symbol become
+one run symbol, then adjacent symbols merge to a pair symbol where a random bit of the
+left one is 1 and of the right one 0. What a round does at a place depends on the
+symbols beside it only, so equal stretches get equal symbols but for their margins:
+after two rounds a pair symbol spans at most 4 words and depends on at most 3 words of
+context at each side. Two equal windows of 13 words have equal symbols within their
+middle 7 words, and where no run fills them at least one lies whole in there.
+
+Each step is a Spark round over all documents: groups of documents send their distinct
+things with the smallest and largest doc_id that has them, Spark brings equal ones
+together, and answers go back for those that two different documents share.
+
+1. Name: runs, pairs of words and whole texts. Spark gives the shared ones their global
+   name. A run or pair without a name occurs in one document only: no window around it
+   can repeat elsewhere, and nothing is built on it. A text that is a smaller doc_id's
+   whole text again is settled here.
+2. Reveal: pairs of named symbols merge once more; each window left picks the interior
+   symbol with the smallest name, in its context. Spark tells which picks are shared.
+3. Verify: windows with a shared pick are compared over all their words, by two
+   unrelated 64-bit names of the 13 words; Spark finds the smallest doc_id of each.
+4. Words in windows that a smaller doc_id has are removed.
+
+So a window is removed only if its runs, pairs and pick are shared and all its words
+agree, in a group of documents or across groups alike. Two different windows are taken
+for one only where 128 bits agree.
+
+Null or empty text has no words. A null doc_id, or one that is not a number, counts as
+larger than any other. Rows that repeat a doc_id are the same document, so none precedes
+the other. Texts shorter than a window stay as they are. A very long text is a group by
+itself or with few others. Other columns are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigil.llm import common, grouping
 
 WINDOW = 13
-ROUNDS = 2
 CONTEXT = 3
+INNER = WINDOW - 2 * CONTEXT
+LONGEST = 4  # words of a pair symbol after both rounds
 NONE = np.uint64(2**64 - 1)
+RUN = np.uint64(0x52554E)
 LAST = 2**63 - 1
-
-
-def recompressed(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start of each symbol after the rounds, its name, and whether it is a run."""
-    n = len(words)
-    same = np.zeros(n + 1, bool)
-    same[1:-1] = (words[1:] == words[:-1]) & (doc[1:] == doc[:-1])
-    run = same[:-1] | same[1:]
-    start = np.flatnonzero(~same[:-1])
-    name = np.where(run[start], common.mixed(words[start] ^ np.uint64(0x52554E)), words[start])
-    frozen = run[start]
-    for r in range(ROUNDS):
-        bit = (common.mixed(name + np.uint64(r + 1)) >> np.uint64(63)).astype(bool)
-        pair = np.zeros(len(start), bool)
-        pair[:-1] = bit[:-1] & ~bit[1:] & ~frozen[:-1] & ~frozen[1:] & (doc[start[1:]] == doc[start[:-1]])
-        with_next = np.flatnonzero(pair)
-        name = name.copy()
-        name[with_next] = common.mixed(name[with_next] * np.uint64(0x9E3779B97F4A7C15) + name[with_next + 1] * np.uint64(3) + np.uint64(r))
-        stay = np.ones(len(start), bool)
-        stay[with_next + 1] = False
-        start, name, frozen = start[stay], name[stay], frozen[stay]
-    return start, name, frozen
-
-
-def picked_symbols(words: np.ndarray, first: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """For each window start, the name (with context) of the interior symbol that stands for it."""
-    n = len(words)
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    start, name, frozen = recompressed(words, doc)
-    end = np.r_[start[1:], n]
-    lowest, highest = first[doc[start]], first[doc[start] + 1]
-    fits = ~frozen & (start - CONTEXT >= lowest) & (end + CONTEXT <= highest)
-    a, b = start[fits], end[fits]
-    named = common.span_hashes(words, a - CONTEXT, b + CONTEXT, common.WORD_BASE) ^ common.mixed(name[fits])
-    inner = WINDOW - 2 * CONTEXT
-    best = np.full(len(window), NONE)
-    for length in range(1, 2**ROUNDS + 1):
-        at = np.full(n, NONE)
-        own = b - a == length
-        at[a[own]] = named[own]
-        for k in range(inner - length + 1):
-            np.minimum(best, at[window + CONTEXT + k], out=best)
-    bare = best == NONE
-    if bare.any():
-        best[bare] = common.mixed(words[window[bare] + WINDOW // 2] ^ np.uint64(0x52554E)) >> np.uint64(1)
-    return best
-
-
-class _Group:
-    """One group of documents: words, windows and ranks by doc_id."""
-
-    def __init__(self, table: pa.Table):
-        ids = table.column("__order").to_numpy()
-        self.rank = np.unique(ids, return_inverse=True)[1] if len(ids) else np.zeros(0, np.int64)
-        parts, counts = [], []
-        for batch in table.select(["text"]).combine_chunks().to_batches(max_chunksize=common.ARROW_ROWS):
+WHOLE, SYMBOL, PICK, SAME = range(4)
+
+ASKED = "kind int, x long, y long, grp long, lo long, hi long"
+ANSWERED = "grp long, kind int, x long, y long, z long"
+
+
+class Symbols:
+    """The symbols of a group's texts, in order: first word, name, whether it is a run, whether one document alone has it."""
+
+    def __init__(self, words: np.ndarray, doc: np.ndarray):
+        n = len(words)
+        same = np.zeros(n + 1, bool)
+        same[1:-1] = (words[1:] == words[:-1]) & (doc[1:] == doc[:-1])
+        self.start = np.flatnonzero(~same[:-1])
+        self.run = (same[:-1] | same[1:])[self.start]
+        self.name = np.where(self.run, common.mixed(words[self.start] ^ RUN), words[self.start])
+        self.dead = np.zeros(len(self.start), bool)
+        self.words, self.doc = n, doc
+
+    def end(self) -> np.ndarray:
+        return np.r_[self.start[1:], self.words].astype(np.int64)
+
+    def pairs(self, turn: int) -> np.ndarray:
+        """Index of the left symbol of each pair that merges."""
+        bit = (common.mixed(self.name + np.uint64(turn)) >> np.uint64(63)).astype(bool)
+        still = self.run | self.dead
+        side = self.doc[self.start]
+        return np.flatnonzero(bit[:-1] & ~bit[1:] & ~still[:-1] & ~still[1:] & (side[1:] == side[:-1])) if len(bit) > 1 else np.zeros(0, np.int64)
+
+    def merge(self, left: np.ndarray, name: np.ndarray, dead: np.ndarray) -> None:
+        self.name[left], self.dead[left] = name, dead
+        stay = np.ones(len(self.start), bool)
+        stay[left + 1] = False
+        self.start, self.name, self.run, self.dead = self.start[stay], self.name[stay], self.run[stay], self.dead[stay]
+
+
+class Answers:
+    """What Spark answered to one group, by kind; find() gives the position of each (x, y), -1 where there is none."""
+
+    def __init__(self, table: pa.Table | None, kind: int):
+        own = table.filter(pc.equal(table.column("kind"), kind)) if table is not None and table.num_rows else None
+        x, y, z = ((own.column(c).to_numpy() for c in "xyz") if own is not None else (np.zeros(0, np.int64) for _ in range(3)))
+        x, y = x.view(np.uint64), y.view(np.uint64)
+        mark = self._mark(x, y)
+        order = np.argsort(mark, kind="stable")
+        self.mark, self.x, self.y, self.z = mark[order], x[order], y[order], z[order]
+        self.longest = int(np.diff(np.r_[np.flatnonzero(np.r_[True, self.mark[1:] != self.mark[:-1]]), len(order)]).max()) if len(order) else 0
+
+    @staticmethod
+    def _mark(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return common.mixed(x * common.ODD + y)
+
+    def find(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), -1, np.int64)
+        if len(self.mark):
+            at = np.searchsorted(self.mark, self._mark(x, y))
+            for step in range(self.longest):  # more than one only where marks agree by chance
+                j = np.minimum(at + step, len(self.mark) - 1)
+                out[(self.x[j] == x) & (self.y[j] == y)] = j[(self.x[j] == x) & (self.y[j] == y)]
+        return out
+
+
+class Group:
+    """One group of documents and what is known of its symbols so far."""
+
+    def __init__(self, table: pa.Table, answer: pa.Table | None = None):
+        self.table = table
+        self.order = table.column("__order").to_numpy()
+        self.words, self.first = self._tokens(0)
+        self.doc = np.repeat(np.arange(len(self.order)), np.diff(self.first))
+        self.symbols = Symbols(self.words, self.doc) if len(self.words) else None
+        self.answer = answer
+
+    def _tokens(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        parts, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+        for batch in self.table.select(["text"]).combine_chunks().to_batches(max_chunksize=common.ARROW_ROWS):
             for part in common.slices(batch):
-                words, first, _, _ = common.hashed_words(part.column("text"), lower=False)
+                words, first, _, _ = common.hashed_words(part.column("text"), lower=False, seed=seed)
                 parts.append(words)
                 counts.append(np.diff(first))
-        self.words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        self.first = np.r_[0, np.cumsum(np.concatenate(counts))].astype(np.int64) if counts else np.zeros(1, np.int64)
-        self.window = common.inside_documents(self.first, WINDOW)
-        self.symbol = picked_symbols(self.words, self.first, self.window) if len(self.window) else np.zeros(0, np.uint64)
-        self.symbols = np.unique(self.symbol)
-
-    def shared(self, answers: dict[int, bytes], shards: int) -> np.ndarray:
-        """Which windows have a symbol that another group has too."""
-        return _bits(self.symbols, answers, shards)[np.searchsorted(self.symbols, self.symbol)] if len(self.symbols) else np.zeros(0, bool)
-
-    def names(self) -> np.ndarray:
-        return common.span_hashes(self.words, self.window, self.window + WINDOW, common.WORD_BASE)
-
-
-def _bits(keys: np.ndarray, answers: dict[int, bytes], shards: int) -> np.ndarray:
-    out = np.zeros(len(keys), bool)
-    cut = [0, *grouping.by_shard(keys, shards).tolist(), len(keys)]
-    for k, packed in answers.items():
-        out[cut[k] : cut[k + 1]] = np.unpackbits(np.frombuffer(packed, np.uint8), count=cut[k + 1] - cut[k]).astype(bool)
-    return out
-
-
-def _in_several_groups(hashes: list[np.ndarray], extras: list[bytes], groups: np.ndarray) -> list[bytes]:
-    keys, n = np.unique(np.concatenate(hashes), return_counts=True)
-    return [np.packbits(n[np.searchsorted(keys, own)] > 1).tobytes() for own in hashes]
-
-
-def _in_earlier_group(hashes: list[np.ndarray], extras: list[bytes], groups: np.ndarray) -> list[bytes]:
-    keys, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    group = np.repeat(np.asarray(groups), [len(x) for x in hashes])
-    least = np.full(len(keys), np.iinfo(np.int64).max)
-    np.minimum.at(least, at, group)
-    return [np.packbits(least[np.searchsorted(keys, own)] < g).tobytes() for own, g in zip(hashes, groups, strict=True)]
-
-
-def _answers(table: pa.Table, kind: int) -> dict[int, bytes]:
-    return {s: a for s, a, k in zip(table.column("shard").to_pylist(), table.column("answer").to_pylist(), table.column("kind").to_pylist(), strict=True) if k == kind}
+        return np.concatenate(parts), np.cumsum(np.concatenate(counts))
+
+    def wholes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Documents that hold a window, and two names of their whole texts."""
+        count = np.diff(self.first)
+        place = np.arange(len(self.words)) - np.repeat(self.first[:-1], count)
+        names = []
+        for seed in common.BYTE_SEEDS:
+            sums = np.r_[np.uint64(0), np.cumsum(common.mixed(self.words * common.ODD + common.mixed(place.astype(np.uint64) + seed)))]
+            names.append(common.mixed((sums[self.first[1:]] - sums[self.first[:-1]]) ^ count.astype(np.uint64)))
+        some = np.flatnonzero(count >= WINDOW)
+        return some, names[0][some], names[1][some]
+
+    def repeats(self) -> np.ndarray:
+        """Whether each document is the whole text of a smaller doc_id again."""
+        doc, x, y = self.wholes()
+        found = Answers(self.answer, WHOLE)
+        at = found.find(x, y)
+        out = np.zeros(len(self.order), bool)
+        out[doc[at >= 0]] = found.z[at[at >= 0]] < self.order[doc[at >= 0]]
+        return out
+
+    def name(self) -> None:
+        """Gives runs and pairs of words their global names; those without one are dead."""
+        s, named = self.symbols, Answers(self.answer, SYMBOL)
+        runs = np.flatnonzero(s.run)
+        s.dead[runs] = named.find(s.name[runs], np.full(len(runs), RUN)) < 0
+        left = s.pairs(1)
+        at = named.find(s.name[left], s.name[left + 1])
+        s.merge(left, np.where(at >= 0, named.z.view(np.uint64)[np.maximum(at, 0)] if len(named.z) else NONE, NONE), at < 0)
+
+    def windows(self, settled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start of each window without a dead symbol in its middle, and its pick."""
+        s = self.symbols
+        left = s.pairs(2)
+        s.merge(left, common.mixed(s.name[left] * common.ODD + s.name[left + 1]), np.zeros(len(left), bool))
+        start, end = s.start, s.end()
+        step = np.zeros(len(self.words) + 1, np.int32)
+        short = s.dead & (end - start <= INNER)
+        # a symbol lies in the middle of windows from end - CONTEXT - INNER to start - CONTEXT
+        lo, hi = np.maximum(end[short] - CONTEXT - INNER, 0), np.maximum(start[short] - CONTEXT + 1, 0)
+        np.add.at(step, lo, 1)
+        np.add.at(step, np.maximum(hi, lo), -1)
+        window = common.inside_documents(self.first, WINDOW)
+        window = window[(np.cumsum(step)[window] == 0) & ~settled[self.doc[window]]]
+        fits = ~s.run & ~s.dead & (start - CONTEXT >= self.first[self.doc[start]]) & (end + CONTEXT <= self.first[self.doc[start] + 1])
+        best = np.full(len(window), NONE)
+        for length in range(1, LONGEST + 1):
+            own = np.flatnonzero(fits & (end - start == length))
+            at = np.full(len(self.words), NONE)
+            at[start[own]] = common.chained(self.words, start[own] - CONTEXT, length + 2 * CONTEXT) ^ common.mixed(s.name[own])
+            for k in range(INNER - length + 1):
+                np.minimum(best, at[window + CONTEXT + k], out=best)
+        bare = best == NONE  # a run fills the middle
+        best[bare] = common.mixed(self.words[window[bare] + WINDOW // 2] ^ RUN)
+        return window, best
+
+    def candidates(self, settled: np.ndarray) -> np.ndarray:
+        """Starts of the windows whose pick another document has too."""
+        window, pick = self.windows(settled)
+        return window[Answers(self.answer, PICK).find(pick, np.zeros(len(pick), np.uint64)) >= 0]
+
+    def names(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return common.chained(self.words, window, WINDOW), common.chained(self._tokens(1)[0], window, WINDOW, 1)
+
+
+def _question(group: int, parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+    """One row for each distinct (x, y) of a kind, with its smallest and largest order."""
+    out = []
+    for kind, x, y, order in parts:
+        by = np.lexsort((y, x))
+        x, y, order = x[by], y[by], order[by]
+        at = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(x)])
+        lo, hi = (f.reduceat(order, at) if len(at) else order[:0] for f in (np.minimum, np.maximum))
+        out.append((np.full(len(at), kind, np.int32), x[at].view(np.int64), y[at].view(np.int64), np.full(len(at), group, np.int64), lo.astype(np.int64), hi.astype(np.int64)))
+    return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], names=["kind", "x", "y", "grp", "lo", "hi"])
+
+
+def _shared(asked: DataFrame) -> DataFrame:
+    """For each question about something that two documents have: its global name, or the smallest doc_id (whole texts and windows, where it matters)."""
+    same = W.partitionBy("x", "y", "kind")
+    whole = F.col("kind").isin(WHOLE, SAME)
+    found = asked.withColumns({"least": F.min("lo").over(same), "most": F.max("hi").over(same)}).where(F.col("least") < F.when(whole, F.col("hi")).otherwise(F.col("most")))
+    return found.select("grp", "kind", "x", "y", F.when(whole, F.col("least")).otherwise(F.xxhash64("x", "y")).alias("z"))
+
+
+def ask_names(key: tuple, table: pa.Table) -> pa.Table:
+    group = Group(table)
+    none = np.zeros(0, np.uint64)
+    parts = [(WHOLE, none, none, np.zeros(0, np.int64)), (SYMBOL, none, none, np.zeros(0, np.int64))]
+    if group.symbols is not None:
+        s, order = group.symbols, group.order[group.doc]
+        doc, x, y = group.wholes()
+        runs, left = np.flatnonzero(s.run), s.pairs(1)
+        at = s.start[np.r_[runs, left]]
+        parts = [(WHOLE, x, y, group.order[doc]), (SYMBOL, s.name[np.r_[runs, left]], np.r_[np.full(len(runs), RUN), s.name[left + 1]], order[at])]
+    return _question(key[0].as_py(), parts)
+
+
+def _later(kind: int):
+    def ask(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
+        x = y = np.zeros(0, np.uint64)
+        order = np.zeros(0, np.int64)
+        if table.num_rows and (group := Group(table, answer)).symbols is not None:
+            settled = group.repeats()
+            group.name()
+            if kind == PICK:
+                window, x = group.windows(settled)
+                y = np.zeros(len(x), np.uint64)
+            else:
+                window = group.candidates(settled)
+                x, y = group.names(window)
+            order = group.order[group.doc[window]]
+        return _question(key[0].as_py(), [(kind, x, y, order)])
+
+    return ask
+
+
+def removed_words(group: Group) -> np.ndarray:
+    """Whether each word of the group lies in a window that a smaller doc_id has."""
+    settled = group.repeats()
+    group.name()
+    window = group.candidates(settled)
+    same = Answers(group.answer, SAME)
+    at = same.find(*group.names(window))
+    seen = np.flatnonzero(at >= 0)
+    gone = window[seen[same.z[at[seen]] < group.order[group.doc[window[seen]]]]]
+    step = np.zeros(len(group.words) + 1, np.int32)
+    np.add.at(step, gone, 1)
+    np.add.at(step, gone + WINDOW, -1)
+    return (np.cumsum(step[:-1]) > 0) | settled[group.doc]
+
+
+def _remove(table: pa.Table, answer: pa.Table) -> pa.Table:
+    group = Group(table, answer)
+    removed = removed_words(group) if group.symbols is not None else np.zeros(0, bool)
+    n_removed = np.diff(np.r_[0, np.cumsum(removed)][group.first])
+    kept = []
+    for k, text in enumerate(table.column("text")):
+        words = (text.as_py() or "").encode("utf-8").split()
+        if n_removed[k]:
+            words = [words[i] for i in np.flatnonzero(~removed[group.first[k] : group.first[k + 1]])]
+        kept.append(b" ".join(words).decode("utf-8"))
+    return pa.table({"doc_id": table.column("doc_id"), "kept": pa.array(kept, pa.string()), "n_words": np.diff(group.first).astype(np.int64), "n_removed": n_removed.astype(np.int64)})
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, kept (the words that stay, joined by one space), n_words, n_removed."""
     spark = docs.sparkSession
     common.tune(spark)
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__order"))
-    groups = common.groups_for(spark, common.text_bytes(docs))
-    bounds = np.unique(rows.approxQuantile("__order", [k / groups for k in range(1, groups)], 0.1 / groups)) if groups > 1 else np.zeros(0)
-
-    @F.pandas_udf("long")
-    def range_of(order):
-        import pandas as pd
-
-        return pd.Series(np.searchsorted(bounds, order.to_numpy().astype(float), "right"))
-
-    shards = max(groups, 64)
-    spread = grouping.dealt(rows, groups, range_of("__order"))
-
-    def reveal(key: tuple, table: pa.Table) -> pa.Table:
-        return grouping.rows(grouping.question(key[0].as_py(), _Group(table).symbols, shards), grouping.ASKED_ARROW)
-
-    shared = grouping.answered(spread.groupBy("grp").applyInArrow(reveal, grouping.ASKED), _in_several_groups).withColumn("kind", F.lit(1))
-
-    def verify(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
-        if not table.num_rows or not answer.num_rows:
-            return grouping.rows(iter(()), grouping.ASKED_ARROW)
-        group = _Group(table)
-        names = group.names()[group.shared(_answers(answer, 1), shards)]
-        return grouping.rows(grouping.question(key[0].as_py(), np.unique(names), shards), grouping.ASKED_ARROW)
-
-    asked = spread.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(verify, grouping.ASKED)
-    earlier = grouping.answered(asked, _in_earlier_group).withColumn("kind", F.lit(2))
-
-    def remove(table: pa.Table, answer: pa.Table) -> pa.Table:
-        group = _Group(table)
-        names = group.names() if len(group.window) else np.zeros(0, np.uint64)
-        gone = np.zeros(len(names), bool)
-        if answer.num_rows:
-            several = group.shared(_answers(answer, 1), shards)
-            keys = np.unique(names[several])
-            if len(keys):
-                gone[several] = _bits(keys, _answers(answer, 2), shards)[np.searchsorted(keys, names[several])]
-        # within the group: a document of smaller rank has the same window
-        rank = group.rank[np.repeat(np.arange(len(group.rank)), np.maximum(np.diff(group.first) - WINDOW + 1, 0))]
-        order = np.argsort(names)
-        sorted_names = names[order]
-        new = np.r_[True, sorted_names[1:] != sorted_names[:-1]] if len(names) else np.zeros(0, bool)
-        if len(names):
-            least = np.minimum.reduceat(rank[order], np.flatnonzero(new))
-            gone[order] |= rank[order] > least[np.cumsum(new) - 1]
-        step = np.zeros(len(group.words) + 1, np.int32)
-        np.add.at(step, group.window[gone], 1)
-        np.add.at(step, group.window[gone] + WINDOW, -1)
-        removed = np.cumsum(step[:-1]) > 0
-        total = np.r_[0, np.cumsum(removed)]
-        n_removed = total[group.first[1:]] - total[group.first[:-1]]
-        kept, k = [], 0
-        for text in table.column("text"):
-            words = (text.as_py() or "").encode("utf-8").split()
-            if n_removed[k]:
-                stay = ~removed[group.first[k] : group.first[k + 1]]
-                words = [words[i] for i in np.flatnonzero(stay)]
-            kept.append(b" ".join(words).decode("utf-8"))
-            k += 1
-        return pa.table({"doc_id": table.column("doc_id"), "kept": pa.array(kept, pa.string()), "n_words": np.diff(group.first).astype(np.int64), "n_removed": n_removed.astype(np.int64)})
-
-    done = spread.groupBy("grp").cogroup(shared.unionByName(earlier).groupBy("grp")).applyInArrow(remove, f"doc_id {dict(docs.dtypes)['doc_id']}, kept string, n_words long, n_removed long")
-    return done
+    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").try_cast("long"), F.lit(LAST)).alias("__order"))
+    spread = grouping.dealt(rows, common.groups_for(spark, common.text_bytes(docs)))
+    answers = _shared(spread.groupBy("grp").applyInArrow(ask_names, ASKED))
+    for kind in (PICK, SAME):
+        asked = spread.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_later(kind), ASKED)
+        answers = answers.unionByName(_shared(asked))
+    return spread.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_remove, f"doc_id {dict(docs.dtypes)['doc_id']}, kept string, n_words long, n_removed long")
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
