@@ -9,13 +9,14 @@ context at each side. Two equal windows of 13 words have equal symbols within th
 middle 7 words, and where no run fills them at least one lies whole in there.
 
 Each step is a Spark round over all documents: groups of documents send their distinct
-things with the smallest and largest doc_id that has them, Spark brings equal ones
-together, and answers go back for those that two different documents share.
-
-1. Name: runs, pairs of words and whole texts. Spark gives the shared ones their global
-   name. A run or pair without a name occurs in one document only: no window around it
-   can repeat elsewhere, and nothing is built on it. A text that is a smaller doc_id's
-   whole text again is settled here.
+things, Spark brings equal ones together, and answers go back for those that two
+different documents share. A symbol's global name is a fingerprint of what it stands
+for, so it is the same wherever Spark meets it.
+
+1. Name: runs, pairs of words and whole texts. Those that two documents share keep
+   their name; a run or pair without one occurs in one document only, so no window
+   around it can repeat elsewhere, and nothing is built on it. A text that is a smaller
+   doc_id's whole text again is settled here.
 2. Reveal: pairs of named symbols merge once more; each window left picks the interior
    symbol with the smallest name, in its context. Spark tells which picks are shared.
 3. Verify: windows with a shared pick are compared over all their words, by two
@@ -52,8 +53,11 @@ RUN = np.uint64(0x52554E)
 LAST = 2**63 - 1
 WHOLE, SYMBOL, PICK, SAME = range(4)
 
-ASKED = "kind int, x long, y long, grp long, lo long, hi long"
-ANSWERED = "grp long, kind int, x long, y long, z long"
+ASKED = "kind int, x long, y long, grp long, lo long, span long"
+
+
+def pair_name(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return common.mixed(common.mixed(left * common.ODD) + right)
 
 
 class Symbols:
@@ -152,20 +156,25 @@ class Group:
         out[doc[at >= 0]] = found.z[at[at >= 0]] < self.order[doc[at >= 0]]
         return out
 
-    def name(self) -> None:
-        """Gives runs and pairs of words their global names; those without one are dead."""
-        s, named = self.symbols, Answers(self.answer, SYMBOL)
-        runs = np.flatnonzero(s.run)
-        s.dead[runs] = named.find(s.name[runs], np.full(len(runs), RUN)) < 0
+    def name(self, known: bool) -> None:
+        """Merges pairs of words. known: runs and pairs that Spark did not find in two documents are dead.
+
+        Nothing in a window that repeats elsewhere is dead, so its symbols are the same either way.
+        """
+        s = self.symbols
         left = s.pairs(1)
-        at = named.find(s.name[left], s.name[left + 1])
-        s.merge(left, np.where(at >= 0, named.z.view(np.uint64)[np.maximum(at, 0)] if len(named.z) else NONE, NONE), at < 0)
+        name = pair_name(s.name[left], s.name[left + 1])
+        if known:
+            named = Answers(self.answer, SYMBOL)
+            runs = np.flatnonzero(s.run)
+            s.dead[runs] = named.find(s.name[runs], np.zeros(len(runs), np.uint64)) < 0
+        s.merge(left, name, named.find(name, np.zeros(len(name), np.uint64)) < 0 if known else np.zeros(len(left), bool))
 
     def windows(self, settled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start of each window without a dead symbol in its middle, and its pick."""
         s = self.symbols
         left = s.pairs(2)
-        s.merge(left, common.mixed(s.name[left] * common.ODD + s.name[left + 1]), np.zeros(len(left), bool))
+        s.merge(left, pair_name(s.name[left], s.name[left + 1]), np.zeros(len(left), bool))
         start, end = s.start, s.end()
         step = np.zeros(len(self.words) + 1, np.int32)
         short = s.dead & (end - start <= INNER)
@@ -197,23 +206,29 @@ class Group:
 
 
 def _question(group: int, parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
-    """One row for each distinct (x, y) of a kind, with its smallest and largest order."""
+    """One row for each distinct (x, y) of a kind, with the smallest order (lo) and what the largest is above it (span).
+
+    Symbols and picks only need to be told whether two documents have them. Rows of a
+    doc_id are in one group, so the group's number does for an order, and rows are small.
+    """
     out = []
     for kind, x, y, order in parts:
-        by = np.lexsort((y, x))
+        by = np.lexsort((y, x)) if kind in (WHOLE, SAME) else np.argsort(x, kind="stable")
         x, y, order = x[by], y[by], order[by]
         at = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(x)])
         lo, hi = (f.reduceat(order, at) if len(at) else order[:0] for f in (np.minimum, np.maximum))
-        out.append((np.full(len(at), kind, np.int32), x[at].view(np.int64), y[at].view(np.int64), np.full(len(at), group, np.int64), lo.astype(np.int64), hi.astype(np.int64)))
-    return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], names=["kind", "x", "y", "grp", "lo", "hi"])
+        if kind in (SYMBOL, PICK):
+            lo, hi = np.full(len(at), 2 * group), 2 * group + (lo < hi)
+        out.append((np.full(len(at), kind, np.int32), x[at].view(np.int64), y[at].view(np.int64), np.full(len(at), group, np.int64), lo.astype(np.int64), (hi - lo).astype(np.int64)))
+    return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], names=["kind", "x", "y", "grp", "lo", "span"])
 
 
 def _shared(asked: DataFrame) -> DataFrame:
-    """For each question about something that two documents have: its global name, or the smallest doc_id (whole texts and windows, where it matters)."""
+    """The questions about something that two documents have, with the smallest doc_id z of whole texts and windows (where it matters)."""
     same = W.partitionBy("x", "y", "kind")
-    whole = F.col("kind").isin(WHOLE, SAME)
-    found = asked.withColumns({"least": F.min("lo").over(same), "most": F.max("hi").over(same)}).where(F.col("least") < F.when(whole, F.col("hi")).otherwise(F.col("most")))
-    return found.select("grp", "kind", "x", "y", F.when(whole, F.col("least")).otherwise(F.xxhash64("x", "y")).alias("z"))
+    whole, most = F.col("kind").isin(WHOLE, SAME), F.col("lo") + F.col("span")
+    found = asked.withColumns({"least": F.min("lo").over(same), "most": F.max(most).over(same)}).where(F.col("least") < F.when(whole, most).otherwise(F.col("most")))
+    return found.select("grp", "kind", "x", "y", F.when(whole, F.col("least")).otherwise(0).alias("z"))
 
 
 def ask_names(key: tuple, table: pa.Table) -> pa.Table:
@@ -224,37 +239,44 @@ def ask_names(key: tuple, table: pa.Table) -> pa.Table:
         s, order = group.symbols, group.order[group.doc]
         doc, x, y = group.wholes()
         runs, left = np.flatnonzero(s.run), s.pairs(1)
-        at = s.start[np.r_[runs, left]]
-        parts = [(WHOLE, x, y, group.order[doc]), (SYMBOL, s.name[np.r_[runs, left]], np.r_[np.full(len(runs), RUN), s.name[left + 1]], order[at])]
+        names = np.r_[s.name[runs], pair_name(s.name[left], s.name[left + 1])]
+        parts = [(WHOLE, x, y, group.order[doc]), (SYMBOL, names, np.zeros(len(names), np.uint64), order[s.start[np.r_[runs, left]]])]
     return _question(key[0].as_py(), parts)
 
 
-def _later(kind: int):
-    def ask(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
-        x = y = np.zeros(0, np.uint64)
-        order = np.zeros(0, np.int64)
-        if table.num_rows and (group := Group(table, answer)).symbols is not None:
-            settled = group.repeats()
-            group.name()
-            if kind == PICK:
-                window, x = group.windows(settled)
-                y = np.zeros(len(x), np.uint64)
-            else:
-                window = group.candidates(settled)
-                x, y = group.names(window)
-            order = group.order[group.doc[window]]
-        return _question(key[0].as_py(), [(kind, x, y, order)])
+def ask_picks(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
+    pick, order = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if table.num_rows and (group := Group(table, answer)).symbols is not None:
+        settled = group.repeats()
+        group.name(True)
+        window, pick = group.windows(settled)
+        order = group.order[group.doc[window]]
+    return _question(key[0].as_py(), [(PICK, pick, np.zeros(len(pick), np.uint64), order)])
+
 
-    return ask
+def ask_windows(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
+    x = y = np.zeros(0, np.uint64)
+    order = np.zeros(0, np.int64)
+    if table.num_rows and (group := Group(table, answer)).symbols is not None:
+        settled = group.repeats()
+        group.name(False)
+        window = group.candidates(settled)
+        x, y = group.names(window)
+        order = group.order[group.doc[window]]
+    return _question(key[0].as_py(), [(SAME, x, y, order)])
 
 
 def removed_words(group: Group) -> np.ndarray:
-    """Whether each word of the group lies in a window that a smaller doc_id has."""
+    """Whether each word of the group lies in a window that a smaller doc_id has. Only windows with a shared pick have an answer."""
     settled = group.repeats()
-    group.name()
-    window = group.candidates(settled)
     same = Answers(group.answer, SAME)
-    at = same.find(*group.names(window))
+    window = common.inside_documents(group.first, WINDOW)
+    window = window[~settled[group.doc[window]]]
+    some = np.unique(same.x)
+    if len(some):
+        one = common.chained(group.words, window, WINDOW)
+        window = window[some[np.minimum(np.searchsorted(some, one), len(some) - 1)] == one]
+    at = same.find(*group.names(window)) if len(some) else np.full(len(window), -1)
     seen = np.flatnonzero(at >= 0)
     gone = window[seen[same.z[at[seen]] < group.order[group.doc[window[seen]]]]]
     step = np.zeros(len(group.words) + 1, np.int32)
@@ -282,10 +304,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     common.tune(spark)
     rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").try_cast("long"), F.lit(LAST)).alias("__order"))
     spread = grouping.dealt(rows, common.groups_for(spark, common.text_bytes(docs)))
-    answers = _shared(spread.groupBy("grp").applyInArrow(ask_names, ASKED))
-    for kind in (PICK, SAME):
-        asked = spread.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_later(kind), ASKED)
-        answers = answers.unionByName(_shared(asked))
+    named = _shared(spread.groupBy("grp").applyInArrow(ask_names, ASKED))
+    picks = _shared(spread.groupBy("grp").cogroup(named.groupBy("grp")).applyInArrow(ask_picks, ASKED))
+    wholes = named.where(F.col("kind") == WHOLE)
+    windows = _shared(spread.groupBy("grp").cogroup(wholes.unionByName(picks).groupBy("grp")).applyInArrow(ask_windows, ASKED))
+    answers = wholes.unionByName(windows)
     return spread.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_remove, f"doc_id {dict(docs.dtypes)['doc_id']}, kept string, n_words long, n_removed long")
 
 
