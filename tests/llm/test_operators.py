@@ -111,7 +111,7 @@ def test_symbols_are_consistent():
             text = " ".join(map(str, np.r_[around[0], window, around[1]]))
             table = pa.table({"text": [text], "__order": [1]})
             asked = substrings.ask_names((pa.scalar(0),), table)
-            shared = pa.table({"kind": asked["kind"], "x": asked["x"], "y": asked["y"], "z": asked["lo"]})
+            shared = pa.table({"kind": pa.array(np.where(asked["y"].to_numpy() == 0, substrings.SYMBOL, substrings.WHOLE)), "x": asked["x"], "y": asked["y"], "z": asked["lo"]})
             group = substrings.Group(table, shared)
             group.name(True)
             start, pick = group.windows(np.zeros(1, bool))
@@ -128,7 +128,7 @@ def test_substrings_stand_on_their_symbols(spark, monkeypatch):
 
     def wrong(key, table, answer):
         asked = real(key, table, answer)
-        return asked.set_column(1, "x", pa.array(asked["x"].to_numpy() ^ 1))
+        return asked.set_column(0, "x", pa.array(asked["x"].to_numpy() ^ 1))
 
     monkeypatch.setattr(substrings, "ask_picks", wrong)
     assert sum(r.n_removed for r in substrings.dedup(table).collect()) == 0

@@ -20,12 +20,12 @@ for, so it is the same wherever Spark meets it.
 2. Reveal: pairs of named symbols merge once more; each window left picks the interior
    symbol with the smallest name, in its context. Spark tells which picks are shared.
 3. Verify: windows with a shared pick are compared over all their words, by two
-   unrelated 64-bit names of the 13 words; Spark finds the smallest doc_id of each.
+   unrelated names of the 13 words, of 64 and 32 bits; Spark finds the smallest doc_id of each.
 4. Words in windows that a smaller doc_id has are removed.
 
 So a window is removed only if its runs, pairs and pick are shared and all its words
 agree, in a group of documents or across groups alike. Two different windows are taken
-for one only where 128 bits agree.
+for one only where 96 bits agree.
 
 Null or empty text has no words. A null doc_id, or one that is not a number, counts as
 larger than any other. Rows that repeat a doc_id are the same document, so none precedes
@@ -38,7 +38,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,7 +53,7 @@ RUN = np.uint64(0x52554E)
 LAST = 2**63 - 1
 WHOLE, SYMBOL, PICK, SAME = range(4)
 
-ASKED = "kind int, x long, y long, grp long, lo long, span long"
+ASKED = "x long, y long, grp long, lo long, span long"
 
 
 def pair_name(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -95,7 +95,7 @@ class Answers:
 
     def __init__(self, table: pa.Table | None, kind: int):
         own = table.filter(pc.equal(table.column("kind"), kind)) if table is not None and table.num_rows else None
-        x, y, z = ((own.column(c).to_numpy() for c in "xyz") if own is not None else (np.zeros(0, np.int64) for _ in range(3)))
+        x, y, z = ((pc.fill_null(own.column(c), 0).to_numpy() for c in "xyz") if own is not None else (np.zeros(0, np.int64) for _ in range(3)))
         x, y = x.view(np.uint64), y.view(np.uint64)
         mark = self._mark(x, y)
         order = np.argsort(mark, kind="stable")
@@ -145,7 +145,7 @@ class Group:
             sums = np.r_[np.uint64(0), np.cumsum(common.mixed(self.words * common.ODD + common.mixed(place.astype(np.uint64) + seed)))]
             names.append(common.mixed((sums[self.first[1:]] - sums[self.first[:-1]]) ^ count.astype(np.uint64)))
         some = np.flatnonzero(count >= WINDOW)
-        return some, names[0][some], names[1][some]
+        return some, names[0][some], names[1][some] >> np.uint64(32) | np.uint64(1)
 
     def repeats(self) -> np.ndarray:
         """Whether each document is the whole text of a smaller doc_id again."""
@@ -202,46 +202,46 @@ class Group:
         return window[Answers(self.answer, PICK).find(pick, np.zeros(len(pick), np.uint64)) >= 0]
 
     def names(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return common.chained(self.words, window, WINDOW), common.chained(self._tokens(1)[0], window, WINDOW, 1)
+        return common.chained(self.words, window, WINDOW), common.chained(self._tokens(1)[0], window, WINDOW, 1) >> np.uint64(32)
 
 
-def _question(group: int, parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
-    """One row for each distinct (x, y) of a kind, with the smallest order (lo) and what the largest is above it (span).
+def _question(group: int, x: np.ndarray, y: np.ndarray, order: np.ndarray, ordered: np.ndarray) -> pa.Table:
+    """One row for each distinct (x, y), with the smallest order (lo) and what the largest is above it (span).
 
-    Symbols and picks only need to be told whether two documents have them. Rows of a
-    doc_id are in one group, so the group's number does for an order, and rows are small.
+    What is not ordered (symbols and picks) only needs to be told whether two documents
+    have it: lo is 0 and span says whether the group alone answers that. Rows of a
+    doc_id are in one group, so other groups' documents are others.
     """
-    out = []
-    for kind, x, y, order in parts:
-        by = np.lexsort((y, x)) if kind in (WHOLE, SAME) else np.argsort(x, kind="stable")
-        x, y, order = x[by], y[by], order[by]
-        at = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(x)])
-        lo, hi = (f.reduceat(order, at) if len(at) else order[:0] for f in (np.minimum, np.maximum))
-        if kind in (SYMBOL, PICK):
-            lo, hi = np.full(len(at), 2 * group), 2 * group + (lo < hi)
-        out.append((np.full(len(at), kind, np.int32), x[at].view(np.int64), y[at].view(np.int64), np.full(len(at), group, np.int64), lo.astype(np.int64), (hi - lo).astype(np.int64)))
-    return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], names=["kind", "x", "y", "grp", "lo", "span"])
-
-
-def _shared(asked: DataFrame) -> DataFrame:
-    """The questions about something that two documents have, with the smallest doc_id z of whole texts and windows (where it matters)."""
-    same = W.partitionBy("x", "y", "kind")
-    whole, most = F.col("kind").isin(WHOLE, SAME), F.col("lo") + F.col("span")
-    found = asked.withColumns({"least": F.min("lo").over(same), "most": F.max(most).over(same)}).where(F.col("least") < F.when(whole, most).otherwise(F.col("most")))
-    return found.select("grp", "kind", "x", "y", F.when(whole, F.col("least")).otherwise(0).alias("z"))
+    by = np.lexsort((y, x))
+    x, y, order, ordered = x[by], y[by], order[by], ordered[by]
+    at = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(x)])
+    lo, hi = (f.reduceat(order, at) if len(at) else order[:0] for f in (np.minimum, np.maximum))
+    ordered = ordered[at]
+    lo, span = np.where(ordered, lo, 0), np.where(ordered, hi - lo, lo < hi)
+    return pa.table([x[at].view(np.int64), y[at].view(np.int64), np.full(len(at), group, np.int64), lo.astype(np.int64), span.astype(np.int64)], names=["x", "y", "grp", "lo", "span"])
+
+
+def _shared(asked: DataFrame, kind: Column, ordered: Column) -> DataFrame:
+    """The questions about something that two documents have; z is the smallest doc_id where there is an order (and one of the group is larger), else null."""
+    same = W.partitionBy("x", "y")
+    found = asked.withColumns({"least": F.min("lo").over(same), "several": (F.min("grp").over(same) < F.max("grp").over(same)) | (F.max("span").over(same) > 0)})
+    z = F.when(ordered, F.col("least"))
+    return found.where(F.when(ordered, F.col("least") < F.col("lo") + F.col("span")).otherwise(F.col("several"))).select("grp", kind.cast("int").alias("kind"), "x", "y", z.alias("z"))
 
 
 def ask_names(key: tuple, table: pa.Table) -> pa.Table:
+    """Symbols have y = 0, whole texts an odd y."""
     group = Group(table)
-    none = np.zeros(0, np.uint64)
-    parts = [(WHOLE, none, none, np.zeros(0, np.int64)), (SYMBOL, none, none, np.zeros(0, np.int64))]
+    x = y = np.zeros(0, np.uint64)
+    order = np.zeros(0, np.int64)
     if group.symbols is not None:
-        s, order = group.symbols, group.order[group.doc]
-        doc, x, y = group.wholes()
+        s = group.symbols
+        doc, one, other = group.wholes()
         runs, left = np.flatnonzero(s.run), s.pairs(1)
         names = np.r_[s.name[runs], pair_name(s.name[left], s.name[left + 1])]
-        parts = [(WHOLE, x, y, group.order[doc]), (SYMBOL, names, np.zeros(len(names), np.uint64), order[s.start[np.r_[runs, left]]])]
-    return _question(key[0].as_py(), parts)
+        x, y = np.r_[one, names], np.r_[other, np.zeros(len(names), np.uint64)]
+        order = group.order[np.r_[doc, group.doc[s.start[np.r_[runs, left]]]]]
+    return _question(key[0].as_py(), x, y, order, y > 0)
 
 
 def ask_picks(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
@@ -251,7 +251,7 @@ def ask_picks(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
         group.name(True)
         window, pick = group.windows(settled)
         order = group.order[group.doc[window]]
-    return _question(key[0].as_py(), [(PICK, pick, np.zeros(len(pick), np.uint64), order)])
+    return _question(key[0].as_py(), pick, np.zeros(len(pick), np.uint64), order, np.zeros(len(pick), bool))
 
 
 def ask_windows(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
@@ -263,7 +263,7 @@ def ask_windows(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
         window = group.candidates(settled)
         x, y = group.names(window)
         order = group.order[group.doc[window]]
-    return _question(key[0].as_py(), [(SAME, x, y, order)])
+    return _question(key[0].as_py(), x, y, order, np.ones(len(x), bool))
 
 
 def removed_words(group: Group) -> np.ndarray:
@@ -304,10 +304,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     common.tune(spark)
     rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").try_cast("long"), F.lit(LAST)).alias("__order"))
     spread = grouping.dealt(rows, common.groups_for(spark, common.text_bytes(docs)))
-    named = _shared(spread.groupBy("grp").applyInArrow(ask_names, ASKED))
-    picks = _shared(spread.groupBy("grp").cogroup(named.groupBy("grp")).applyInArrow(ask_picks, ASKED))
-    wholes = named.where(F.col("kind") == WHOLE)
-    windows = _shared(spread.groupBy("grp").cogroup(wholes.unionByName(picks).groupBy("grp")).applyInArrow(ask_windows, ASKED))
+    whole = F.col("y") != 0
+    named = _shared(spread.groupBy("grp").applyInArrow(ask_names, ASKED), F.when(whole, WHOLE).otherwise(SYMBOL), whole)
+    picks = _shared(spread.groupBy("grp").cogroup(named.groupBy("grp")).applyInArrow(ask_picks, ASKED), F.lit(PICK), F.lit(False))
+    wholes = named.where("z is not null")
+    windows = _shared(spread.groupBy("grp").cogroup(wholes.unionByName(picks).groupBy("grp")).applyInArrow(ask_windows, ASKED), F.lit(SAME), F.lit(True))
     answers = wholes.unionByName(windows)
     return spread.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_remove, f"doc_id {dict(docs.dtypes)['doc_id']}, kept string, n_words long, n_removed long")
 
