@@ -364,6 +364,54 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, toxicity.fit(table, labels.limit(0))).count() == 0
 
 
+def brute_evidence(rows, toxic):
+    """Evidence of each document by a plain model over dictionaries; rows: (id, text); toxic: label by id."""
+    lower = {k: k + 32 for k in range(65, 91)}
+    split = lambda t: re.findall(r"[a-z\x80-\U0010ffff]+", (t or "").translate(lower))
+    side = lambda w: int(common.byte_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0] >> np.uint64(58)) if w else 0
+    count, contexts = [defaultdict(int), defaultdict(int)], defaultdict(set)
+    for i, t in rows:
+        if i in toxic and t is not None:
+            w = split(t)
+            for before, x in zip(["", *w], w):
+                count[toxic[i]][x] += 1
+                contexts[x].add(side(before))
+    count = [dict(c) for c in count]
+    d, total = toxicity.DISCOUNT, [sum(c.values()) for c in count]
+    among = sum(map(len, contexts.values()))
+
+    def evidence(x):
+        if x not in contexts:
+            return 0.0
+        shared = (len(contexts[x]) - d + d * len(contexts) / (len(contexts) + 1)) / among
+        p = [(max(c.get(x, 0) - d, 0) + d * len(c) * shared) / n for c, n in zip(count, total)]
+        return float(np.log(p[1] / p[0]))
+
+    out = {}
+    for i, t in rows:
+        each = np.array([evidence(x) for x in split(t)] or [0.0])
+        out[i] = (each.mean(), np.mean(np.maximum(each, 0) ** 3) ** (1 / 3))
+    return out
+
+
+@pytest.mark.parametrize("frequent", [1 << 18, 50])
+def test_toxicity_against_a_plain_model(spark, sf, monkeypatch, frequent):
+    """Evidence and score, with the whole model broadcast and with most of it joined."""
+    monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    docs = docs.unionByName(docs.where("doc_id < 3"))  # rows that come twice
+    model = toxicity.fit(docs, labels)
+    toxic = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    expected, got = brute_evidence(rows, toxic), toxicity.score(docs, model).collect()
+    assert len(got) == len(rows) and model.whole == (frequent > 50)
+    for r in got:
+        assert (r.mean_evidence, r.toxic_evidence) == pytest.approx(expected[r.doc_id], abs=1e-5)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(model.weights @ [1, r.mean_evidence, r.toxic_evidence]))), abs=1e-9)
+    kept = {r.doc_id for r in toxicity.stage(spark, docs, sf).collect()}
+    assert kept == {r.doc_id for r in got if r.score < 0.5} and docs.count() > len(kept)
+
+
 @pytest.mark.parametrize(("few", "apart", "count"), [(1, 0, 6), (1, 1, 6), (0, 0, 6), (1, 0, 1), (0, 1, 1)])
 def test_toxicity_with_few_labels_on_one_side(spark, few, apart, count):
     """A class whose rows fall all on one side of the calibration split still gives scores that differ; few toxic rows are enough to rank by (few ordinary ones show little of ordinary prose)."""
