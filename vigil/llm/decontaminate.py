@@ -6,8 +6,9 @@ words) of at most EDIT_SHARE of the item's length, rounded down; items under fiv
 words leak only word for word.
 
 1. Windows as long as the item, at every word of a document that any item has. Each
-   edit brings at most one foreign word, so a window with more foreign words than
-   edits allowed is left out: no leak is lost by that.
+   edit brings at most one foreign word, and e edits leave one of e + 1 stretches of
+   the item as it was; windows with more foreign words than edits allowed, or without
+   such a stretch of any item of their length, are left out. No leak is lost by that.
 2. The CGK embedding turns edit distance into Hamming distance: a walk writes the word
    under its pointer and moves on if a random bit of (step, word) says so. After an
    edit the walks over item and window meet again soon and agree from there.
@@ -47,6 +48,7 @@ MOST_WALKS = 128
 ITEM_BLOCK, BLOCK_WORDS = 2000, 200_000
 CELLS = 1 << 22  # numbers that one chunk of work holds, about
 BITS = 20
+WIDEST = 4  # words of an undisturbed stretch that are looked up, at most
 
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
@@ -164,6 +166,12 @@ class Index:
         self.walks = Walks(max(walks_for(_ladder(n)) for n in self.lengths), max(self.lengths))
         padded = np.r_[np.concatenate(self.items), 0].astype(np.int32)
         begin = np.cumsum(self.length) - self.length
+        # words of a stretch that stands undisturbed, by length, and what such stretches there are
+        self.width = {n: min(WIDEST, n // (int(edits_for(n)) + 1)) for n in self.lengths}
+        self.stretches = {}
+        for width in set(self.width.values()):
+            own = [begin[k] + np.arange(n - width + 1) for k, n in enumerate(self.length.tolist()) if self.width[n] == width]
+            self.stretches[width] = np.unique(common.chained(padded.astype(np.uint64), np.concatenate(own), width))
         keys, owner = [], []
         for part, symbol, pointer in self._embedded(padded, begin, begin + self.length):
             for n in self.lengths:
@@ -198,10 +206,19 @@ class Index:
         start = np.flatnonzero(numbers)
         end = first[np.searchsorted(first, start, "right")]
         foreign = np.r_[0, np.cumsum(numbers == 0)]
+        whole = {}
+        for width, known in self.stretches.items():
+            at = start[start + width <= end]
+            at = at[foreign[at + width] == foreign[at]]
+            key = common.chained(numbers.astype(np.uint64), at, width)
+            stands = np.zeros(len(numbers) + 1, np.int64)
+            stands[at[known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key] + 1] = 1
+            whole[width] = np.cumsum(stands)
         fits = np.zeros((len(self.lengths), len(start)), bool)
         for k, n in enumerate(self.lengths):
-            stop = np.minimum(start + n, end)
-            fits[k] = foreign[stop] - foreign[start] + (start + n - stop) <= edits_for(n)
+            edits, width = int(edits_for(n)), self.width[n]
+            stop, last = np.minimum(start + n, end), np.minimum(start + n + edits, end) - width + 1
+            fits[k] = (foreign[stop] - foreign[start] + (start + n - stop) <= edits) & (whole[width][np.maximum(last, start)] > whole[width][start])
         some = fits.any(0)
         return start[some], end[some], [np.flatnonzero(x) for x in fits[:, some]]
 
