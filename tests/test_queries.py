@@ -214,4 +214,30 @@ def test_site_features(spark):
         (4, None, None),
     ]
     got = {r.id: (r.foreign_target, r.foreign_form, r.brand) for r in pages.with_site_features(spark.createDataFrame(rows, "id long, url string, html string")).collect()}
-    assert got == {1: ("evil.xyz", True, "paypal"), 2: (None, False, None), 3: ("10.0.0.2", True, None), 4: (None, False, None)}
+    assert got == {1: ("evil.xyz", True, "paypal"), 2: (None, False, None), 3: (None, False, None), 4: (None, False, None)}
+
+
+def test_scripts_and_entities(spark):
+    from vigil.functions import pages
+
+    rows = [(1, "<title> A &amp; B </title><p>eval(atob('x'))</p>"), (2, "<!-- <script>eval(atob('x'))</script> -->"), (3, "<script>// <!--\neval(atob('x'))\n//--></script>"), (4, "<p>" + "x" * 200_001 + " password</p>")]
+    got = {r.id: r for r in pages.with_page_features(spark.createDataFrame(rows, "id long, html string")).collect()}
+    assert [got[k].scrambled for k in (1, 2, 3, 4)] == [False, False, True, False]
+    assert got[1].title == "A & B" and got[4].credential_words == 0
+
+
+def test_zip_names_and_text_ends(spark):
+    import io
+    import zipfile
+
+    from vigil.functions import files
+
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as z:
+        for name in ("exe", "dir/" + "n" * 100 + ".scr", "in.tgz", "in.gz", "readme"):
+            z.writestr(name, "x")
+    got = files.zip_listing(made.getvalue())
+    assert (got["entries"], got["inner_runnable"], got["example"], got["nested"], got["damaged"]) == (5, 2, "exe", 1, False)
+    assert files.zip_listing(b"PK\x03\x04 nothing")["damaged"]
+    rows = spark.createDataFrame([(1, "a", b"abc\x85"), (2, "a", b"abc\n"), (3, "a", b"abc\n\x00")], "id long, name string, content binary")
+    assert {r.id: r.kind for r in files.with_file_features(rows).collect()} == {1: "unknown", 2: "text", 3: "unknown"}

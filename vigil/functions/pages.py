@@ -18,27 +18,45 @@ FORM = r"(?i)<form\b"
 HIDDEN_FRAME = r"(?is)<iframe\b[^>]*(display\s*:\s*none|visibility\s*:\s*hidden|\shidden\b|\swidth\s*=\s*['\"]?0(px)?['\"\s>])"
 FORM_TARGET = r"(?is)<form\b[^>]*?\saction\s*=\s*[\"']?(https?://[^\"'\s>]+)"
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-LONGEST_TITLE = 200
+LONGEST_TITLE, LONGEST_TEXT, LONGEST_SCRIPT = 200, 200_000, 300_000
+SCRIPT = r"(?is)<script\b[^>]*>(.*?)</script\s*>"
+COMMENT_OR_SCRIPT = r"(?is)(<script\b[^>]*>.*?</script\s*>)|<!--.*?-->"
 MATURE_DAYS, YOUNG_DAYS, FRESH_DAYS, LEAST_WEIGHT = 730, 30, 7, 0.15
 
 
+# The named entities that pages use most; & comes last, so that nothing is decoded twice.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'", "&nbsp;": "\u00a0", "&copy;": "\u00a9", "&reg;": "\u00ae", "&ndash;": "\u2013", "&mdash;": "\u2014", "&hellip;": "\u2026", "&raquo;": "\u00bb", "&laquo;": "\u00ab", "&amp;": "&"}
+
+
+def decoded(text: Column) -> Column:
+    """The text with the listed entities decoded; numeric ones beyond them stay."""
+    for name, char in ENTITIES.items():
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
 def visible(html: Column) -> Column:
-    """Text without comments, scripts, styles and tags, in lower case."""
+    """Text without comments, scripts, styles and tags, with the common entities decoded, in lower case, the first LONGEST_TEXT characters."""
     text = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", " ")
-    return F.lower(F.regexp_replace(text, r"<[^>]*>", " "))
+    return F.left(F.lower(decoded(F.regexp_replace(text, r"<[^>]*>", " "))), F.lit(LONGEST_TEXT))
+
+
+def scripts(html: Column) -> Column:
+    """The text of all scripts outside comments, the first LONGEST_SCRIPT characters."""
+    return F.left(F.array_join(F.regexp_extract_all(F.regexp_replace(html, COMMENT_OR_SCRIPT, "$1"), F.lit(SCRIPT), F.lit(1)), " "), F.lit(LONGEST_SCRIPT))
 
 
 def with_page_features(pages: DataFrame) -> DataFrame:
     """pages: html. Null html counts as an empty page."""
     html = F.coalesce("html", F.lit(""))
-    out = pages.withColumn("__html", html).withColumn("__text", visible(F.col("__html")))
+    out = pages.withColumn("__html", html).withColumn("__text", visible(F.col("__html"))).withColumn("__scripts", scripts(F.col("__html")))
     words = lambda xs: sum((F.when(F.contains("__text", F.lit(w)), 1).otherwise(0) for w in xs), F.lit(0))
     scrambled = F.lit(False)
     for p in SCRAMBLED:
-        scrambled = scrambled | F.col("__html").rlike(p)
+        scrambled = scrambled | F.col("__scripts").rlike(p)
     return out.select(
         "*",
-        F.left(F.trim(F.regexp_extract("__html", TITLE, 1)), F.lit(LONGEST_TITLE)).alias("title"),
+        F.left(F.trim(decoded(F.regexp_extract("__html", TITLE, 1))), F.lit(LONGEST_TITLE)).alias("title"),
         F.regexp_count("__html", F.lit(PASSWORD_INPUT)).alias("password_fields"),
         F.regexp_count("__html", F.lit(FORM)).alias("forms"),
         F.regexp_count("__html", F.lit(HIDDEN_FRAME)).alias("hidden_frames"),
@@ -46,17 +64,17 @@ def with_page_features(pages: DataFrame) -> DataFrame:
         words(CREDENTIAL_WORDS).alias("credential_words"),
         words(D.GAMBLING_WORDS).alias("gambling_words"),
         words(D.STRONG_GAMBLING_WORDS).alias("strong_gambling_words"),
-    ).drop("__html", "__text")
+    ).drop("__html", "__text", "__scripts")
 
 
 def with_site_features(pages: DataFrame) -> DataFrame:
-    """pages: url, html. Adds foreign_target (the first form target on another registered domain, else null), foreign_form, and brand (the first brand named as a whole word whose own domain is not the page's, else null). Nulls count as empty."""
-    own = U.registered_of(L.host_of(U.normalised(F.col("url"))))
+    """pages: url, html. Adds foreign_target (the first form target on another registered domain, else null), foreign_form, and brand (the first brand named as a whole word whose own domain is not the page's, else null). Addresses and hosts without a known suffix have no registered domain: they neither send to another one nor are one. Nulls count as empty."""
+    own = U.registered_or_none(L.host_of(U.normalised(F.col("url"))))
     html = F.coalesce("html", F.lit(""))
     out = pages.withColumns({"__own": own, "__html": html, "__text": visible(html)})
-    targets = F.transform(F.regexp_extract_all(F.regexp_replace("__html", L.UNSEEN, " "), F.lit(FORM_TARGET), F.lit(1)), lambda x: U.registered_of(L.host_of(x)))
+    targets = F.transform(F.regexp_extract_all(F.regexp_replace("__html", L.UNSEEN, " "), F.lit(FORM_TARGET), F.lit(1)), lambda x: U.registered_or_none(L.host_of(x)))
     named = F.coalesce(*(F.when(F.col("__text").rlike(f"(?<![a-z0-9]){b}(?![a-z0-9])") & (F.col("__own") != official), b) for b, official in D.BRANDS.items()))
-    out = out.withColumns({"foreign_target": F.get(F.filter(targets, lambda x: (x != "") & (x != F.col("__own"))), F.lit(0)), "brand": named})
+    out = out.withColumns({"foreign_target": F.get(F.filter(targets, lambda x: (x != "") & (F.col("__own") != "") & (x != F.col("__own"))), F.lit(0)), "brand": named})
     return out.withColumn("foreign_form", F.col("foreign_target").isNotNull()).drop("__own", "__html", "__text")
 
 

@@ -60,6 +60,12 @@ def registered_of(host: Column, suffixes: Sequence[str] = D.SUFFIXES) -> Column:
     return F.when(address | suffix.isNull(), host).otherwise(F.concat(F.substring_index(before, ".", -1), F.lit("."), suffix))
 
 
+def registered_or_none(host: Column, suffixes: Sequence[str] = D.SUFFIXES) -> Column:
+    """Registered domain of a host; empty where it has no known suffix or is an address."""
+    found = registered_of(host, suffixes)
+    return F.when((found == host) & (host.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$") | ~F.coalesce(*(F.when(F.substring_index(host, ".", -n).isin(*suffixes) & (F.substring_index(host, ".", -n) != host), F.lit(True)) for n in (3, 2, 1)), F.lit(False))), "").otherwise(found)
+
+
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters, in bits, rounded to 4."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")

@@ -1,4 +1,4 @@
-"""Which addresses may be fetched: scheme, port and literal IPv4 hosts. Names are resolved by the fetcher, not here."""
+"""Which addresses may be fetched: scheme, port and literal IPv4 and IPv6 hosts. Names are resolved by the fetcher, not here."""
 
 from __future__ import annotations
 
@@ -15,21 +15,44 @@ def number(ip: str) -> int:
     return ((a * 256 + b) * 256 + c) * 256 + d
 
 
+def part_number(part: Column) -> Column:
+    """A part of an address as a number: decimal, octal (leading 0) or hexadecimal (0x); null where it is none of these."""
+    hexadecimal, octal = part.rlike(r"^0x[0-9a-f]{1,8}$"), part.rlike(r"^0[0-7]{1,11}$")
+    return F.when(hexadecimal, F.conv(F.substring(part, 3, 8), 16, 10)).when(octal, F.conv(part, 8, 10)).when(part.rlike(r"^(0|[1-9][0-9]{0,9})$"), part).try_cast("long")
+
+
 def ip_number(host: Column) -> Column:
-    """The address as a number; null unless it is four parts of at most 255."""
-    parts = F.transform(F.split(host, r"\."), lambda x: x.try_cast("long"))
-    fine = host.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$") & F.forall(parts, lambda x: x <= 255)
-    return F.when(fine, F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a * 256 + x))
+    """The IPv4 address that a numeric host stands for: one to four parts, of which the last fills the bytes that are left; null if it is none."""
+    parts = F.transform(F.split(host, r"\."), part_number)
+    n = F.size(parts)
+    leading, last = F.slice(parts, 1, F.greatest(n - 1, F.lit(1))), F.element_at(parts, -1)
+    head = F.when(n == 1, F.lit(0).cast("long")).otherwise(F.aggregate(leading, F.lit(0).cast("long"), lambda a, x: a * 256 + x))
+    room = F.pow(F.lit(256.0), 5 - n).cast("long")
+    fine = (n <= 4) & F.forall(parts, lambda x: x.isNotNull()) & ((n == 1) | F.forall(leading, lambda x: x <= 255)) & (last < room)
+    return F.when(fine, head * room + last)
+
+
+def public_ip6(host: Column) -> Column:
+    """Whether the text is an IPv6 address of the public range (2000::/3 without its special blocks). What cannot be read is not."""
+    group = lambda k: F.coalesce(F.conv(F.nullif(F.get(F.split(host, ":"), F.lit(k)), F.lit("")), 16, 10).try_cast("int"), F.lit(0))
+    readable = host.rlike(r"^[23][0-9a-f]{3}(:[0-9a-f]{0,4}){2,7}$") & ~host.rlike(":::|::.*::|[^:]:$") & (host.contains("::") | (F.size(F.split(host, ":")) == 8))
+    special = (group(0) == 0x2002) | (group(0) == 0x3FFF) | ((group(0) == 0x2001) & ((group(1) < 0x200) | (group(1) == 0xDB8)))
+    return readable & ~special
 
 
 def blocked(hosts: DataFrame) -> Column:
-    """The reason that blocks a row of `with_host`, or null."""
+    """The reason that blocks a row of `with_host`, or null. Hosts and ports that cannot be read are blocked."""
     scheme = F.lower(F.regexp_extract("text", r"^([a-zA-Z][a-zA-Z0-9+.-]*)://", 1))
-    given = F.regexp_extract("authority", r":([0-9]+)$", 1).try_cast("int")
-    port = F.coalesce(given, F.when(scheme == "https", 443).otherwise(80))
-    ip = ip_number(F.col("host"))
+    authority = F.lower("authority")
+    six = authority.startswith("[")
+    split = r"^\[([^\]]*)\](?::(.*))?$"
+    host = F.regexp_replace(F.when(six, F.regexp_extract(authority, split, 1)).otherwise(F.substring_index(authority, ":", 1)), r"\.$", "")
+    given = F.when(six, F.regexp_extract(authority, split, 2)).otherwise(F.regexp_extract(authority, r"^[^:]*:(.*)$", 1))
+    port = F.when(given == "", F.when(scheme == "https", 443).otherwise(80)).when(given.rlike("^[0-9]{1,5}$"), given.try_cast("int"))
+    numeric = host.rlike(r"^(0x[0-9a-f]*|[0-9]+)(\.(0x[0-9a-f]*|[0-9]+))*$")
+    ip = ip_number(host)
     inner = F.lit(False)
     for a, b in NOT_PUBLIC:
         inner = inner | ip.between(number(a), number(b))
-    inner = F.coalesce(inner, F.lit(False)) | F.col("host").isin("localhost") | (F.col("is_ip") & ip.isNull())
-    return F.when(~scheme.isin("http", "https"), "scheme").when(F.col("host") == "", "host").when(~port.isin(*PORTS), "port").when(inner, "not public")
+    inner = F.when(six, ~public_ip6(host)).when(numeric, ip.isNull() | inner).otherwise((host == "localhost") | host.endswith(".localhost"))
+    return F.when(~scheme.isin("http", "https"), "scheme").when(host == "", "host").when(~F.coalesce(port.isin(*PORTS), F.lit(False)), "port").when(inner, "not public")

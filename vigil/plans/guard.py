@@ -8,11 +8,21 @@ from vigil.functions import url as U
 from vigil.operators import guard as G
 from vigil.plans import urls
 
+# addresses that SQL below works out by itself
 SEEDS = ["http://127.0.0.1/", "http://169.254.169.254/latest", "http://10.0.0.5:8080", "http://192.168.1.1", "http://172.20.0.1", "http://172.32.0.1", "http://8.8.8.8", "https://1.1.1.1:8443/x", "http://8.8.8.8:22", "file:///etc/passwd", "gopher://8.8.8.8", "ftp://8.8.8.8", "http://localhost:5000", "http://0.0.0.0", "http://255.255.255.255", "http://300.1.1.1", "https://example.com:9999", "http://100.100.1.1", "http://224.0.0.1"]
 
 
+# Addresses with the answer worked out by hand.
+ANSWERS = {
+    "http://[::1]/": "not public", "http://[::ffff:127.0.0.1]/": "not public", "http://[fe80::1]:8080/": "not public", "http://[fc00::7]/": "not public", "http://[2001:db8::1]/": "not public", "http://[2002:7f00:1::]/": "not public",
+    "http://[2606:4700:4700::1111]/": None, "http://[2606:4700:4700::1111]:22/": "port", "http://[2606::4700::1111]/": "not public", "http://[2606:4700:4700::1111%25eth0]/": "not public",
+    "http://2130706433/": "not public", "http://0x7f.0.0.1/": "not public", "http://0177.0.0.1/": "not public", "http://127.1/": "not public", "http://0x7f000001/": "not public", "http://010.8.8.8/": None, "http://08.8.8.8/": "not public",
+    "http://134744072/": None, "http://8.8.2056/": None, "http://1.2.3.4.5/": "not public", "http://localhost./": "not public", "http://a.localhost/": "not public", "http://example.com:abc/": "port", "http://example.com:8080/": None, "http://example.com.:80/": None,
+}
+
+
 def ssrf_literal_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = spark.createDataFrame([(-1000 - k, s) for k, s in enumerate(SEEDS)], "id long, url string")
+    seeds = spark.createDataFrame([(-1000 - k, s) for k, s in enumerate([*SEEDS, *ANSWERS])], "id long, url string")
     rows = U.with_host(urls.inputs(spark, sf_dir).unionByName(seeds))
     return rows.select("id", G.blocked(rows).alias("blocked"))
 
@@ -23,6 +33,7 @@ ORACLE = {
     "ssrf_literal_guard": rf"""WITH {urls.HOSTS_SQL.replace(urls.SOURCE_SQL, urls.SOURCE_SQL + _MORE)},
       n AS (SELECT *, lower(regexp_extract(text, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1)) AS scheme, TRY_CAST(regexp_extract(authority, ':([0-9]+)$', 1) AS INTEGER) AS given, list_transform(string_split(host, '.'), lambda x: TRY_CAST(x AS BIGINT)) AS q FROM hosts),
       m AS (SELECT *, coalesce(given, CASE WHEN scheme = 'https' THEN 443 ELSE 80 END) AS port, CASE WHEN is_ip AND greatest(q[1], q[2], q[3], q[4]) <= 255 THEN ((q[1] * 256 + q[2]) * 256 + q[3]) * 256 + q[4] END AS ip FROM n)
-      SELECT id, CASE WHEN scheme NOT IN ('http', 'https') THEN 'scheme' WHEN host = '' THEN 'host' WHEN port NOT IN ({", ".join(map(str, G.PORTS))}) THEN 'port' WHEN coalesce({_INNER}, FALSE) OR host = 'localhost' OR (is_ip AND ip IS NULL) THEN 'not public' END AS blocked FROM m"""
+      SELECT id, CASE WHEN scheme NOT IN ('http', 'https') THEN 'scheme' WHEN host = '' THEN 'host' WHEN port NOT IN ({", ".join(map(str, G.PORTS))}) THEN 'port' WHEN coalesce({_INNER}, FALSE) OR host = 'localhost' OR (is_ip AND ip IS NULL) THEN 'not public' END AS blocked FROM m
+      UNION ALL SELECT CAST(id AS BIGINT), blocked FROM (VALUES {", ".join(f"({-1000 - len(SEEDS) - k}, {repr(v) if v else 'NULL'})" for k, v in enumerate(ANSWERS.values()))}) AS known(id, blocked)"""
 }
 QUERIES = {"ssrf_literal_guard": ssrf_literal_guard}

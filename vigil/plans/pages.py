@@ -9,7 +9,7 @@ from vigil.functions import dictionaries as D
 from vigil.functions import pages as P
 from vigil.operators import rules as R
 
-SNIPPETS = ["", "<form action='https://a.org/x'><input name=p type=\"password\"></form>", "<iframe src=x width=\"0\"></iframe><IFRAME style='display: none'></IFRAME>", "<script>eval(atob('x'))</script> LOGIN password otp cvv token", "<p>slot gacor maxwin toto bonus</p><!-- password -->"]
+SNIPPETS = ["", "<form action='https://a.org/x'><input name=p type=\"password\"></form>", "<iframe src=x width=\"0\"></iframe><IFRAME style='display: none'></IFRAME>", "<script>eval(atob('x'))</script> LOGIN password otp cvv token", "<p>slot gacor maxwin toto bonus</p><!-- password -->", "<p>eval(atob('x')) A &amp; B&nbsp;login</p><!-- <script>eval(atob('x'))</script> -->"]
 _q = lambda x: "'" + x.replace("'", "''") + "'"
 
 
@@ -41,6 +41,12 @@ def evidence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.array_join(F.transform("rules", lambda x: x["name"]), ",").alias("rules_fired"), score.alias("risk_score"), R.label(score).alias("threat_label"))
 
 
+def _decoded(text: str) -> str:
+    for name, char in P.ENTITIES.items():
+        text = f"replace({text}, {_q(name)}, {_q(char)})"
+    return text
+
+
 def _words(xs) -> str:
     return " + ".join(f"CAST(contains(t, {_q(w)}) AS INTEGER)" for w in xs)
 
@@ -63,9 +69,10 @@ _RULES = [
 _some = lambda m, r, n: f"CASE WHEN event_id % 11 <> {r} THEN event_id % {m} = 0 END AS {n}"
 ORACLE = {
     "page_evidence": rf"""WITH h AS (SELECT page_id, html || [{", ".join(map(_q, SNIPPETS))}][page_id % {len(SNIPPETS)} + 1] AS h FROM pages),
-      v AS (SELECT *, lower(regexp_replace(regexp_replace(h, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g')) AS t FROM h)
-      SELECT page_id, left(trim(regexp_extract(h, {_q(P.TITLE)}, 1)), {P.LONGEST_TITLE}) AS title, CAST(len(regexp_extract_all(h, {_q(P.PASSWORD_INPUT)})) AS INTEGER) AS password_fields, CAST(len(regexp_extract_all(h, {_q(P.FORM)})) AS INTEGER) AS forms,
-      CAST(len(regexp_extract_all(h, {_q(P.HIDDEN_FRAME)})) AS INTEGER) AS hidden_frames, {" OR ".join(f"regexp_matches(h, {_q(p)})" for p in P.SCRAMBLED)} AS scrambled,
+      v AS (SELECT *, left(lower({_decoded("regexp_replace(regexp_replace(h, '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g')")}), 200000) AS t,
+        left(array_to_string(regexp_extract_all(regexp_replace(h, {_q(P.COMMENT_OR_SCRIPT)}, '\1', 'g'), {_q(P.SCRIPT)}, 1), ' '), 300000) AS s FROM h)
+      SELECT page_id, left(trim({_decoded(f"regexp_extract(h, {_q(P.TITLE)}, 1)")}), {P.LONGEST_TITLE}) AS title, CAST(len(regexp_extract_all(h, {_q(P.PASSWORD_INPUT)})) AS INTEGER) AS password_fields, CAST(len(regexp_extract_all(h, {_q(P.FORM)})) AS INTEGER) AS forms,
+      CAST(len(regexp_extract_all(h, {_q(P.HIDDEN_FRAME)})) AS INTEGER) AS hidden_frames, {" OR ".join(f"regexp_matches(s, {_q(p)})" for p in P.SCRAMBLED)} AS scrambled,
       {_words(P.CREDENTIAL_WORDS)} AS credential_words, {_words(D.GAMBLING_WORDS)} AS gambling_words, {_words(D.STRONG_GAMBLING_WORDS)} AS strong_gambling_words FROM v""",
     "evidence_rules": f"""WITH e AS (SELECT event_id AS id, CASE WHEN event_id % 13 <> 0 THEN event_id * 37 % 3000 END AS age_days, {_some(3, 1, "password")}, CASE WHEN event_id % 4 = 0 THEN 'paypal' END AS brand, {_some(5, 2, "foreign_form")}, {_some(7, 3, "moved")},
       CASE WHEN event_id % 6 <> 0 THEN event_id % 5 <> 0 END AS has_certificate, CASE WHEN event_id % 6 <> 1 THEN event_id % 8 <> 0 END AS certificate_fits, {_some(9, 4, "scrambled")}, event_id % 5 AS frames, event_id % 6 AS asks, event_id % 10 AS words,
