@@ -241,3 +241,14 @@ def test_zip_names_and_text_ends(spark):
     assert files.zip_listing(b"PK\x03\x04 nothing")["damaged"]
     rows = spark.createDataFrame([(1, "a", b"abc\x85"), (2, "a", b"abc\n"), (3, "a", b"abc\n\x00")], "id long, name string, content binary")
     assert {r.id: r.kind for r in files.with_file_features(rows).collect()} == {1: "unknown", 2: "text", 3: "unknown"}
+
+
+def test_notes_beside_rules(spark):
+    from vigil.operators import rules as R
+
+    rule = "array(named_struct('name', 'port', 'reason', 'x', 'weight', 0.4D, 'ord', 0))"
+    rows = spark.sql(f"""SELECT 1 AS id, slice({rule}, 1, 0) AS rules, 0.0D AS rule_score, false AS allowlisted, 0.1D AS ml, 0.7D AS deep, array('whois') AS failed, 'empty' AS kind
+        UNION ALL SELECT 2, slice({rule}, 1, 0), 0.0D, true, 0.6D, 0.59D, slice(array('x'), 1, 0), 'pdf' UNION ALL SELECT 3, {rule}, 0.4D, true, 0.9D, null, null, 'pdf' UNION ALL SELECT 4, slice({rule}, 1, 0), 0.0D, true, 0.2D, null, null, 'zip'""")
+    titles = lambda notes: {r.id: [x.title for x in r.n] for r in rows.select("id", notes.alias("n")).collect()}
+    assert titles(R.url_notes(F.col("ml"), F.col("deep"), F.col("failed"))) == {1: ["evidence_model", "nothing_found", "failed_checks"], 2: ["popular", "unusual_name"], 3: ["popular_but_flagged"], 4: ["popular"]}
+    assert titles(R.file_notes()) == {1: ["empty_file"], 2: ["clean_file"], 3: [], 4: ["clean_file"]}

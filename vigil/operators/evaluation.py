@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def confusion(scored: DataFrame) -> DataFrame:
-    """score, y: counts, accuracy, precision, recall, F1; Suspicious (0.4 and more) counts as detected."""
-    hit = F.col("score") >= 0.40
+def confusion(scored: DataFrame, cut: float = 0.40) -> DataFrame:
+    """score, y: counts, accuracy, precision, recall, F1; from the cut on a row counts as detected, by default from Suspicious (0.4)."""
+    hit = F.col("score") >= cut
     bad = F.col("y") == 1
     c = scored.agg(F.count_if(hit & bad).alias("tp"), F.count_if(hit & ~bad).alias("fp"), F.count_if(~hit & bad).alias("fn"), F.count_if(~hit & ~bad).alias("tn"))
     ratio = lambda a, b: F.coalesce(F.round(a / F.nullif(b, F.lit(0)), 6), F.lit(0.0))

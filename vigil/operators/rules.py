@@ -52,6 +52,45 @@ def explained(column: str) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: F.struct(x["name"].alias("title"), x["reason"].alias("reason"), (-x["w"]).alias("weight")))
 
 
+NOTES = {
+    "popular": "The domain is among the most visited ones; it was hardly registered to deceive.",
+    "popular_but_flagged": "The domain is popular, but a firm rule fired, and popularity does not undo that.",
+    "evidence_model": "Weighing all evidence at once, the model finds the address risky.",
+    "unusual_name": "No firm rule is broken, but the model finds the name unusual; a weak sign.",
+    "nothing_found": "No rule is broken and the name looks ordinary.",
+    "failed_checks": "Some checks failed; the result rests on the others.",
+    "empty_file": "There is no content to check.",
+    "clean_file": "The content fits the name and carries no macro or program.",
+}
+
+
+def noted(*notes: tuple[str, Column, Column]) -> Column:
+    """Notes (name, condition, weight) that hold, in the order given, with the fields of `explained`."""
+    each = [F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(n).alias("title"), F.lit(NOTES[n]).alias("reason"), weight.cast("double").alias("weight"))) for n, when, weight in notes]
+    return F.filter(F.array(*each), lambda x: x.isNotNull())
+
+
+def url_notes(ml_score: Column, deep_score: Column | None = None, failures: Column | None = None) -> Column:
+    """What is said beside the rules of a fused row: allow-list, evidence model, what there is to say without a rule, failed checks. Unknown scores say nothing."""
+    c, zero = F.col, F.lit(0.0)
+    deep = F.lit(None).cast("double") if deep_score is None else deep_score
+    none, unusual = F.size("rules") == 0, F.coalesce(ml_score >= 0.6, F.lit(False))
+    return noted(
+        ("popular", c("allowlisted") & (c("rule_score") < SUSPICIOUS), zero),
+        ("popular_but_flagged", c("allowlisted") & (c("rule_score") >= SUSPICIOUS), zero),
+        ("evidence_model", deep >= 0.60, F.round(deep, 3)),
+        ("unusual_name", none & unusual, F.round(ml_score, 3)),
+        ("nothing_found", none & ~unusual & ~c("allowlisted"), zero),
+        ("failed_checks", F.lit(False) if failures is None else F.size(failures) > 0, zero),
+    )
+
+
+def file_notes() -> Column:
+    """What is said of a file beside its rules."""
+    empty = F.col("kind") == "empty"
+    return noted(("empty_file", empty, F.lit(0.0)), ("clean_file", ~empty & (F.size("rules") == 0), F.lit(0.0)))
+
+
 def label(score: Column) -> Column:
     return F.when(score >= MALICIOUS, "Malicious").when(score >= SUSPICIOUS, "Suspicious").otherwise("Safe")
 

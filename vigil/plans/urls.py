@@ -103,7 +103,7 @@ def url_rules_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = _fused(spark, sf_dir).withColumn("why", R.explained("rules"))
+    listed = _fused(spark, sf_dir).withColumn("why", F.concat(R.explained("rules"), R.url_notes(F.pmod(F.col("id") * 37, F.lit(100)) / 100)))
     return listed.select("id", F.array_join(F.transform("why", lambda x: x["title"]), ">").alias("titles"), F.size("why").alias("n_reasons"), F.coalesce(F.element_at(F.transform("why", lambda x: x["reason"]), F.when(F.size("why") > 0, 1)), F.lit("")).alias("first_reason"))
 
 
@@ -150,8 +150,10 @@ ORACLE = {
     "url_brand_match": f"WITH {FEATURES_SQL} SELECT id, brand, contains_brand, brand_impersonation, brand_edit_distance FROM features",
     "url_keyword_counts": f"WITH {FEATURES_SQL} SELECT id, phishing_keyword_count, has_phishing_keyword, judol_keyword_count, has_judol_keyword, judol_strong_count FROM features",
     "url_rules_fused": f"WITH {FUSED_SQL} SELECT id, coalesce(array_to_string(list_transform(r, lambda x: x.n), ','), '') AS rules_fired, allowlisted, risk_score, CASE WHEN risk_score >= 0.70 THEN 'Malicious' WHEN risk_score >= 0.40 THEN 'Suspicious' ELSE 'Safe' END AS threat_label FROM final",
-    "url_explanations": f"""WITH {FUSED_SQL}, why AS (SELECT id, list_sort(list_transform(r, lambda x: {{'w': -x.w, 'o': x.o, 'n': x.n}})) AS y FROM final)
-      SELECT id, coalesce(array_to_string(list_transform(y, lambda x: x.n), '>'), '') AS titles, len(y) AS n_reasons, coalesce(CASE y[1].n {" ".join(f"WHEN {_quote(n)} THEN {_quote(r)}" for n, r in R.REASONS.items())} END, '') AS first_reason FROM why""",
+    "url_explanations": f"""WITH {FUSED_SQL}, m AS (SELECT id, r, allowlisted, coalesce(list_max(list_transform(r, lambda x: x.w)), 0) AS top, CAST((id * 37 % 100 + 100) % 100 AS DOUBLE) / 100 AS ml FROM final),
+      why AS (SELECT id, list_concat(list_transform(list_sort(list_transform(r, lambda x: {{'w': -x.w, 'o': x.o, 'n': x.n}})), lambda x: x.n), list_filter([CASE WHEN allowlisted AND top < 0.4 THEN 'popular' WHEN allowlisted THEN 'popular_but_flagged' END,
+        CASE WHEN len(r) = 0 AND ml >= 0.6 THEN 'unusual_name' WHEN len(r) = 0 AND NOT allowlisted THEN 'nothing_found' END], lambda x: x IS NOT NULL)) AS y FROM m)
+      SELECT id, coalesce(array_to_string(y, '>'), '') AS titles, len(y) AS n_reasons, coalesce(CASE y[1] {" ".join(f"WHEN {_quote(n)} THEN {_quote(r)}" for n, r in {**R.REASONS, **R.NOTES}.items())} END, '') AS first_reason FROM why""",
 }
 
 QUERIES = {f.__name__: f for f in (url_hosts, url_validate, url_lexical_core, url_runs_tokens, url_host_flags, url_brand_match, url_keyword_counts, url_rules_fused, url_explanations)}
