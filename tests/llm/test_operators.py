@@ -215,7 +215,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    tokenizer.encode_special_tokens = True
     got = packing.best_fit(docs, packing.default_tokenizer()).toPandas()
     expected = defaultdict(list)
     for r in docs.collect():
@@ -247,10 +246,9 @@ def test_encoder_matches_the_library():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    tokenizer.encode_special_tokens = True
     encoder = packing.Encoder(packing.default_tokenizer())
     for text in [*filter(None, TEXTS), "don't I'LL  two\n\n\tx ½² 😀 <|endoftext|> \r\n"]:
-        assert encoder.ids(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert encoder.ids_with_added(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_packing_ids_are_those_of_an_unchanged_library(spark):
@@ -534,6 +532,42 @@ def test_stages_against_brute_force(spark, sf):
     assert len(clean) < len(rows)
 
 
+def brute_lines(rows, least=10):
+    strip = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({k: k + 32 for k in range(65, 91)})
+    held = defaultdict(set)
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            held[strip(x)].add(i)
+    stays = lambda x: not strip(x) or len(held[strip(x)]) < least
+    return [(i, t if t is None else "\n".join(filter(stays, t.split("\n")))) for i, t in rows]
+
+
+def test_pipeline_against_brute_force(spark, sf):
+    """All stages one after the other: what toxicity keeps is checked by its own tests, every later stage by plain code on its own input."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs = common.written(toxicity.stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf))
+    rows = brute_lines([(r.doc_id, r.text) for r in docs.collect()])
+    component = brute_components(rows, 80)
+    rows = [(i, t) for i, t in rows if component[i][1] == i]
+    split = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.translate({k: k + 32 for k in range(65, 91)}))
+    items = [split(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    expected = {}
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    for i, t in rows:
+        text = split(t or "")
+        held = set(text)
+        likely = [x for x in items if x and sum(w not in held for w in x) <= int(decontaminate.EDIT_SHARE * len(x))]
+        if not any(smallest_edits(x, text) <= int(decontaminate.EDIT_SHARE * len(x)) for x in likely):
+            expected[i] = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+    got = corpus_pipeline.run(spark, sf).toPandas()
+    assert set(got.doc_id) == set(expected) and 0 < len(expected) < docs.count()
+    for r in got.itertuples():
+        assert zlib.crc32(expected[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
+    assert got.length.sum() == sum(map(len, expected.values())) and got.groupby("sequence_id").length.sum().max() <= 1024
+
+
 def test_digests(spark, sf):
     got = substrings.op7_substrings(spark, sf).collect()
     expected = brute_substrings([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
