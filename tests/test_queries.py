@@ -61,7 +61,7 @@ def scored(spark, urls):
 
 def test_verdicts(spark):
     safe = ["https://www.google.com", "https://github.com/a/b", "wikipedia.org"]
-    bad = ["slot-gacor88.com", "paypal-login.xyz", "http://10.1.2.3/a", "roblox.com.am", "gooogle.com", "https://xn--a-b.com"]
+    bad = ["togel-emas88.com", "paypal-login.xyz", "http://10.1.2.3/a", "spotify.com.am", "gooogle.com", "https://xn--a-b.com"]
     got = scored(spark, safe + bad)
     assert all(got[u][1] == "Safe" for u in safe) and all(got[u][1] == "Malicious" for u in bad)
     assert all(0 <= s <= 1 for s, _ in got.values())

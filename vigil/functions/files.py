@@ -109,3 +109,12 @@ def file_rules() -> list[Rule]:
         Rule("high_entropy", (c("entropy") >= HIGH_ENTROPY) & c("kind").isin("executable-windows", "executable-linux", "ole", "unknown"), 0.45, "The content looks packed or encrypted."),
         Rule("damaged_archive", F.coalesce("damaged", F.lit(False)), 0.40, "The archive cannot be read."),
     ]
+
+
+# Content types that are taken in.
+ADMITTED = ["application/pdf", "image/jpeg", "image/png", "text/plain", "application/msword", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"]
+
+
+def admission(content_type: Column, size: Column, limit: int = 10 * 1024 * 1024) -> Column:
+    """200, or the status that turns an upload away: 415 for a type that is not listed letter by letter or not given, 413 for too many bytes, 400 for none."""
+    return F.when(~F.coalesce(content_type.isin(*ADMITTED), F.lit(False)), 415).when(size > limit, 413).when(F.coalesce(size, F.lit(0)) == 0, 400).otherwise(200)

@@ -24,15 +24,23 @@ def confident(scored: DataFrame, thresholds=(0.5, 0.7, 0.8, 0.9, 0.95), least: i
 
 
 def recall_threshold(scored: DataFrame, target: float) -> DataFrame:
-    """The score whose recall is nearest to the target (the larger score on ties), by running counts over distinct scores."""
-    by = scored.groupBy("score").agg(F.sum("y").alias("bad"))
-    # one row for each distinct score, rounded to four places: at most 10,001 rows
+    """The score, of four places, whose recall is nearest to the target (the larger score on ties), by running counts over distinct scores."""
+    # one row for each distinct score of four places: at most 10,001 rows
+    by = scored.groupBy(F.round("score", 4).alias("score")).agg(F.sum("y").alias("bad"))
     run = by.select("score", F.sum("bad").over(W.orderBy(F.desc("score"))).alias("found"), F.sum("bad").over(W.partitionBy(F.lit(1))).alias("all_bad"))
     return run.select("score", F.round(F.col("found") / F.col("all_bad"), 6).alias("recall")).orderBy(F.abs(F.col("recall") - target), F.desc("score")).limit(1)
 
 
 def auc(scored: DataFrame) -> DataFrame:
-    """Area under the curve by rank sums over distinct scores; ties count half."""
-    by = scored.groupBy("score").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
+    """Area under the curve by rank sums over distinct scores of four places, at most 10,001 rows; ties count half."""
+    by = scored.groupBy(F.round("score", 4).alias("score")).agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
     run = by.withColumn("below", F.coalesce(F.sum("good").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     return run.agg(F.round(F.sum(F.col("bad") * (F.col("below") + F.col("good") / 2)) / (F.sum("bad") * F.sum("good")), 6).alias("auc"))
+
+
+def compared(verdicts: DataFrame) -> DataFrame:
+    """y and the labels `fast` and `deep`: how often each was right, and what the deep scan gains. Malicious and Suspicious count as found."""
+    right = lambda x: F.count_if(F.col(x).isin("Malicious", "Suspicious") == (F.col("y") == 1))
+    both = verdicts.agg(F.count("*").alias("n"), right("fast").alias("right_fast"), right("deep").alias("right_deep"))
+    share = lambda x: F.coalesce(F.round(F.col(x) / F.nullif(F.col("n"), F.lit(0)), 6), F.lit(0.0))
+    return both.select("*", share("right_fast").alias("accuracy_fast"), share("right_deep").alias("accuracy_deep"), (F.col("right_deep") - F.col("right_fast")).alias("gained"))

@@ -50,6 +50,18 @@ def percent(score: Column) -> Column:
     return F.floor(score * 100 + 0.5)
 
 
+def snippet(text: Column, length: int = 200) -> Column:
+    return F.left(text, F.lit(length))
+
+
+def shown(history: DataFrame) -> DataFrame:
+    """History rows as a client reads them: names of its own, no lists that are null, and whether the scan was deep."""
+    have = lambda x, t: F.col(x) if x in history.columns else F.lit(None).cast(t)
+    none = F.array().cast("array<string>")
+    details = {"shapValues": have("shap_values", "string"), "metadata": have("features_json", "string"), "explanations": F.coalesce(have("explanations", "array<string>"), none), "evidenceSummary": F.coalesce(have("evidence_summary", "array<string>"), none), "deepScan": F.coalesce(have("deep_scan", "boolean"), F.lit(False))}
+    return history.select("id", F.col("scan_type").alias("type"), F.col("input_value").alias("input"), F.col("risk_score").alias("score"), display_status(F.col("threat_label")).alias("status"), F.col("created_at").alias("timestamp"), F.struct(*(v.alias(k) for k, v in details.items())).alias("details"))
+
+
 def latest_feedback(feedback: DataFrame) -> DataFrame:
     """One row a scan: the latest, by time and then id."""
     w = W.partitionBy("scan_id").orderBy(F.desc("created_at"), F.desc("feedback_id"))

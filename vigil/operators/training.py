@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators import dataset, evaluation
@@ -56,6 +57,17 @@ class Trained:
         PipelineModel([VectorAssembler(inputCols=self.columns, outputCol="features"), self.model]).write().overwrite().save(path)
 
 
+def load(path: str) -> PipelineModel | None:
+    """A saved scorer; None where there is none, and then rules decide alone (`fused` with a null score)."""
+    try:
+        SparkSession.active().read.text(f"{path}/metadata").limit(0).collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return PipelineModel.load(path)
+
+
 def best_candidate(rows: DataFrame, columns: list[str], key: str, label: str = "y", candidates: dict | None = None) -> Trained:
     """Fits the candidates on four fifths and keeps the one with the higher F1 on the rest, at the learners' own cut of 0.5. metrics: one row a candidate.
 
@@ -86,8 +98,6 @@ def out_of_fold(rows: DataFrame, columns: list[str], key: str, label: str, learn
 
 def importances(trained: Trained, most: int = 15) -> DataFrame:
     """feature, importance, of the most telling columns; ties by name."""
-    from pyspark.sql import SparkSession
-
     listed = sorted(((float(v), n) for n, v in zip(trained.columns, trained.model.featureImportances.toArray(), strict=True)), key=lambda x: (-x[0], x[1]))[:most]
     return SparkSession.active().createDataFrame([(n, round(v, 6)) for v, n in listed], "feature string, importance double")
 
@@ -102,7 +112,7 @@ def shallow_accuracy(rows: DataFrame, columns: list[str], key: str, label: str =
 
 def leakage_verdict(rows: DataFrame, columns: list[str], url: str, key: str, label: str = "y") -> DataFrame:
     """One row: what each check found, and whether any found something. Each check is one row before they meet."""
-    single = dataset.best_cuts(rows, columns, label).agg(F.count_if(F.col("accuracy") >= SINGLE_LIMIT).alias("strong_columns"))
+    single = dataset.held_out_cuts(rows, columns, label, fold(key), FOLDS).agg(F.count_if(F.col("accuracy") >= SINGLE_LIMIT).alias("strong_columns"))
     found = dataset.separators(rows, columns, label).agg(F.count("*").alias("separators"))
     for other in (single, dataset.duplicates(rows, url, label), shallow_accuracy(rows, columns, key, label)):
         found = found.unionByName(other, allowMissingColumns=True)

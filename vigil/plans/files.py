@@ -39,6 +39,15 @@ def file_rules_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("id", F.array_join(F.transform("rules", lambda x: x["name"]), ",").alias("rules_fired"), score.alias("risk_score"), R.label(score).alias("threat_label"))
 
 
+TYPES = [*X.ADMITTED, "application/x-msdownload", "TEXT/PLAIN", "text/plain; charset=utf-8", ""]
+LARGEST = 20_000
+
+
+def file_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("id") % 17 != 0, F.element_at(F.array(*map(F.lit, TYPES)), (F.col("id") % len(TYPES) + 1).cast("int")))
+    return _files(spark, sf_dir).select("id", kind.alias("content_type"), X.admission(kind, F.length("content"), LARGEST).alias("status"))
+
+
 _pick = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + f"][doc_id % {len(xs)} + 1]"
 _in = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 _FILES = f"""raw AS (SELECT doc_id AS id, {_pick(NAMES)} AS name, CASE WHEN doc_id % 29 = 0 THEN '' ELSE {_pick(PREFIXES)} || hex(encode(coalesce(text, ''))) END AS h FROM documents),
@@ -48,6 +57,8 @@ g AS (SELECT *, CASE WHEN h = '' THEN 'empty' {" ".join(f"WHEN starts_with(h, '{
 _MATCH = "CASE " + " ".join(f"WHEN kind = '{k}' AND extension <> '' THEN extension IN {_in(v)}" for k, v in X.EXPECTED.items()) + " END"
 ORACLE = {
     "file_hash_sniff": f"WITH {_FILES} SELECT id, name, CAST(length(h) / 2 AS INTEGER) AS size, sha256(content) AS sha256, md5(content) AS md5, kind, extension, extension IN {_in(X.RUNNABLE)} AS runnable, bef IN {_in(X.SAFE_LOOKING)} AND extension IN {_in(X.RUNNABLE)} AS double_extension, {_MATCH} AS matches FROM g",
+    "file_admission": f"""WITH {_FILES}, t AS (SELECT id, length(h) / 2 AS size, CASE WHEN id % 17 <> 0 THEN {_pick(TYPES).replace("doc_id", "id")} END AS content_type FROM g)
+      SELECT id, content_type, CASE WHEN content_type IS NULL OR content_type NOT IN {_in(X.ADMITTED)} THEN 415 WHEN size > {LARGEST} THEN 413 WHEN size = 0 THEN 400 ELSE 200 END AS status FROM t""",
     "file_entropy": f"WITH {_FILES}, e AS (SELECT id, round(coalesce(list_entropy(regexp_extract_all(left(h, {2 * X.ENTROPY_BYTES}), '..')), 0), 4) AS entropy FROM g) SELECT id, entropy, entropy >= {X.HIGH_ENTROPY} AS high FROM e",
 }
-QUERIES = {f.__name__: f for f in (file_hash_sniff, file_pdf_marks, file_entropy, file_rules_scored)}
+QUERIES = {f.__name__: f for f in (file_hash_sniff, file_admission, file_pdf_marks, file_entropy, file_rules_scored)}

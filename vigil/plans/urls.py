@@ -9,7 +9,7 @@ from vigil.functions import dictionaries as D
 from vigil.functions import url as U
 from vigil.operators import rules as R
 
-SEEDS = ["https://slot-gacor-maxwin88.com/daftar", "http://toto9.net", "depo25-bonus25.site", "paypal.xyz/login", "https://bri-mobile.com", "gooogle.com", "tokopedla.com", "http://192.168.10.5/a", "http://999.1.1.1", "xn--pypal-4ve.com", "secure-login.top", "plain.icu", "my-shop.vercel.app/signin", "my-shop.pages.dev", "www.github.io", "roblox.com.am", "example.co.uk/verify/now", "bit.ly/x", "example.com:8080", "example.com:99999", "localhost:8000/x", "https:google.com", "https://google.com//login", "  spaced .com ", "user:pw@host.org/p?q#f", "", "://broken", "!!!", "ftp://files.example.de/a", "freefire.garena.com", "ff.garena.com", "dana.id", "aaaabbbb1c2d3.com", "sub.deep.example.co.id", "unknown.zzz", "HTTPS://WWW.FACEBOOK.COM/LOGIN", "metamask-wallet-verify.website", "casino.im", "co.uk", "a-b_c.d1e2.org"]
+SEEDS = ["https://gacor-slot-emas77.net/masuk", "http://toto9.net", "togel-hadiah9.site", "paypal.xyz/login", "https://bca-layanan.com", "gooogle.com", "bukalapek.com", "http://192.168.10.5/a", "http://999.1.1.1", "xn--pypal-4ve.com", "secure-login.top", "plain.icu", "my-shop.vercel.app/signin", "my-shop.pages.dev", "www.github.io", "minecraft.com.am", "example.co.uk/verify/now", "bit.ly/x", "example.com:8080", "example.com:99999", "localhost:8000/x", "https:google.com", "https://google.com//login", "  spaced .com ", "user:pw@host.org/p?q#f", "", "://broken", "!!!", "ftp://files.example.de/a", "freefire.garena.com", "ff.garena.com", "dana.id", "aaaabbbb1c2d3.com", "sub.deep.example.co.id", "unknown.zzz", "HTTPS://WWW.FACEBOOK.COM/LOGIN", "metamask-wallet-verify.website", "casino.im", "co.uk", "a-b_c.d1e2.org"]
 
 _quote = lambda x: "'" + x.replace("'", "''") + "'"
 _list = lambda xs: "(" + ", ".join(map(_quote, xs)) + ")"
@@ -94,7 +94,7 @@ def url_keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    allowed = inputs(spark, sf_dir).where("id >= 0 and id % 3 = 0").transform(U.with_host).select("registered").unionByName(spark.createDataFrame([("google.com",), ("plain.icu",), ("ff.garena.com",)], "registered string"))
+    allowed = inputs(spark, sf_dir).where("id >= 0").transform(U.with_host).where("registered < 'm'").select("registered").unionByName(spark.createDataFrame([("google.com",), ("plain.icu",), ("ff.garena.com",)], "registered string"))
     return R.fused(features(spark, sf_dir), F.pmod(F.col("id") * 37, F.lit(100)) / 100, allowed)
 
 
@@ -125,7 +125,7 @@ _RULES = [
 FUSED_SQL = rf"""{FEATURES_SQL},
 paths AS (SELECT *, string_split(lower(text), '//')[-1] AS tail FROM features),
 pathed AS (SELECT *, CASE WHEN contains(tail, '/') THEN substr(tail, instr(tail, '/')) ELSE '' END AS path FROM paths),
-allowed AS (SELECT DISTINCT registered FROM hosts WHERE id >= 0 AND id % 3 = 0 UNION SELECT unnest(['google.com', 'plain.icu', 'ff.garena.com'])),
+allowed AS (SELECT DISTINCT registered FROM hosts WHERE id >= 0 AND registered < 'm' UNION SELECT unnest(['google.com', 'plain.icu', 'ff.garena.com'])),
 ruled AS (SELECT *, registered IN (SELECT registered FROM allowed) AS allowlisted,
   list_filter([{", ".join(f"CASE WHEN {c} THEN {{'o': {k}, 'w': CAST({w} AS DOUBLE), 'n': '{n}'}} END" for k, (n, c, w) in enumerate(_RULES))}], lambda x: x IS NOT NULL) AS r,
   CAST(((id * 37) % 100 + 100) % 100 AS DOUBLE) / 100 AS ml FROM pathed),

@@ -45,3 +45,12 @@ def uploads(spark: SparkSession, path: str, limit: int = UPLOAD_LIMIT) -> DataFr
 
 def write_features(features: DataFrame, path: str) -> None:
     features.write.mode("overwrite").parquet(path)
+
+
+def read_features(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """What `write_features` wrote: the columns as doubles, is_phishing and url."""
+    return spark.read.schema(", ".join(f"{c} double" for c in columns) + ", is_phishing int, url string").parquet(path)
+
+
+def append_history(scans: DataFrame, path: str) -> None:
+    scans.write.mode("append").parquet(path)
