@@ -50,7 +50,7 @@ def with_page_features(pages: DataFrame) -> DataFrame:
     """pages: html. Null html counts as an empty page."""
     html = F.coalesce("html", F.lit(""))
     out = pages.withColumn("__html", html).withColumn("__text", visible(F.col("__html"))).withColumn("__scripts", scripts(F.col("__html")))
-    words = lambda xs: sum((F.when(F.contains("__text", F.lit(w)), 1).otherwise(0) for w in xs), F.lit(0))
+    words = lambda xs: U.words_in(F.col("__text"), xs)
     scrambled = F.lit(False)
     for p in SCRAMBLED:
         scrambled = scrambled | F.col("__scripts").rlike(p)

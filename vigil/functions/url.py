@@ -67,11 +67,10 @@ def registered_or_none(host: Column, suffixes: Sequence[str] = D.SUFFIXES) -> Co
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters, in bits, rounded to 4."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars)
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    return F.round(F.aggregate(F.transform(F.array_distinct(chars), share), F.lit(0.0), lambda a, p: a - p * F.log2(p)), 4)
+    """Shannon entropy of the characters, in bits, rounded to 4. A character is counted by what the text loses without it, so the text is split once."""
+    n = F.length(text)
+    share = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
+    return F.round(F.aggregate(F.transform(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")), share), F.lit(0.0), lambda a, p: a - p * F.log2(p)), 4)
 
 
 def count_of(text: Column, pattern: str) -> Column:
@@ -79,8 +78,8 @@ def count_of(text: Column, pattern: str) -> Column:
 
 
 def words_in(text: Column, words: Sequence[str]) -> Column:
-    """How many of the words are substrings; overlapping ones all count."""
-    return sum((F.when(F.contains(text, F.lit(w)), 1).otherwise(0) for w in words), F.lit(0))
+    """How many of the words are substrings; overlapping ones all count. One lambda over a literal list keeps the generated code small."""
+    return F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)))
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -93,7 +92,15 @@ def longest(parts: Column) -> Column:
 
 def brand(checked: Column, tokens: Column) -> Column:
     """The first brand, in list order, that is a token, or a substring if it has six letters."""
-    return F.coalesce(*(F.when(F.array_contains(tokens, b) | (F.contains(checked, F.lit(b)) if len(b) >= TYPO_LENGTH else F.lit(False)), b) for b in D.BRANDS))
+    found = F.filter(F.array(*map(F.lit, D.BRANDS)), lambda b: F.array_contains(tokens, b) | ((F.length(b) >= TYPO_LENGTH) & F.contains(checked, b)))
+    return F.get(found, F.lit(0))
+
+
+def brand_distance(domain: Column) -> Column:
+    """Letters between the domain and the nearest brand of six letters or more, FAR at most; short domains are far from all."""
+    names = F.array(*(F.lit(b) for b in D.BRANDS if len(b) >= TYPO_LENGTH))
+    near = F.filter(names, lambda b: F.abs(F.length(b) - F.length(domain)) < FAR)
+    return F.when(F.length(domain) < 5, FAR).otherwise(F.least(F.lit(FAR), F.array_min(F.transform(near, lambda b: F.nullif(F.levenshtein(domain, b, FAR - 1), F.lit(-1))))))
 
 
 def with_features(hosts: DataFrame) -> DataFrame:
@@ -129,7 +136,7 @@ def with_features(hosts: DataFrame) -> DataFrame:
         c("suffix").isin(*D.SUSPICIOUS_TLDS).cast("int").alias("suspicious_tld"),
         c("suffix").isin(*D.COMMON_TLDS).cast("int").alias("common_tld"),
         brand(t, c("tokens")).alias("brand"),
-        F.when(F.length("domain") < 5, FAR).otherwise(F.least(F.lit(FAR), *(F.levenshtein("domain", F.lit(b)) for b in D.BRANDS if len(b) >= TYPO_LENGTH))).alias("brand_edit_distance"),
+        brand_distance(c("domain")).alias("brand_edit_distance"),
         words_in(t, D.PHISHING_WORDS).alias("phishing_keyword_count"),
         words_in(t, D.GAMBLING_WORDS).alias("judol_keyword_count"),
         words_in(t, D.STRONG_GAMBLING_WORDS).alias("judol_strong_count"),

@@ -49,10 +49,15 @@ def blocked(hosts: DataFrame) -> Column:
     host = F.regexp_replace(F.when(six, F.regexp_extract(authority, split, 1)).otherwise(F.substring_index(authority, ":", 1)), r"\.$", "")
     given = F.when(six, F.regexp_extract(authority, split, 2)).otherwise(F.regexp_extract(authority, r"^[^:]*:(.*)$", 1))
     port = F.when(given == "", F.when(scheme == "https", 443).otherwise(80)).when(given.rlike("^[0-9]{1,5}$"), given.try_cast("int"))
+    seen = F.struct(scheme.alias("scheme"), host.alias("host"), port.alias("port"), six.alias("six"))
+    # one element: names the parts once, however often the rules below read them
+    return F.get(F.transform(F.array(seen), _reason), F.lit(0))
+
+
+def _reason(x: Column) -> Column:
+    """The reason for a host that is split in scheme, host, port and six."""
+    host, ranges = x["host"], F.array(*(F.array(F.lit(number(a)), F.lit(number(b))) for a, b in NOT_PUBLIC))
     numeric = host.rlike(r"^(0x[0-9a-f]*|[0-9]+)(\.(0x[0-9a-f]*|[0-9]+))*$")
-    ip = ip_number(host)
-    inner = F.lit(False)
-    for a, b in NOT_PUBLIC:
-        inner = inner | ip.between(number(a), number(b))
-    inner = F.when(six, ~public_ip6(host)).when(numeric, ip.isNull() | inner).otherwise((host == "localhost") | host.endswith(".localhost"))
-    return F.when(~scheme.isin("http", "https"), "scheme").when(host == "", "host").when(~F.coalesce(port.isin(*PORTS), F.lit(False)), "port").when(inner, "not public")
+    listed = F.get(F.transform(F.array(ip_number(host)), lambda ip: ip.isNull() | F.exists(ranges, lambda r: ip.between(r[0], r[1]))), F.lit(0))
+    inner = F.when(x["six"], ~public_ip6(host)).when(numeric, listed).otherwise((host == "localhost") | host.endswith(".localhost"))
+    return F.when(~x["scheme"].isin("http", "https"), "scheme").when(host == "", "host").when(~F.coalesce(x["port"].isin(*PORTS), F.lit(False)), "port").when(inner, "not public")
