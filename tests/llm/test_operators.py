@@ -264,6 +264,27 @@ def test_packing_ids_are_those_of_an_unchanged_library(spark):
         assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32, texts[r.doc_id]
 
 
+def test_knn_groups_of_cells(spark, monkeypatch):
+    """Many query cells over clusters that lie apart: cells share copies only where they need the same data, and nothing is lost."""
+    monkeypatch.setattr(knn, "QUERIES_A_CELL", 4)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(knn, "DATA_BLOCK", 64)
+    draw = np.random.default_rng(5)
+    centre = draw.normal(size=(12, 8))
+    v = centre[np.arange(600) % 12] / np.linalg.norm(centre[np.arange(600) % 12], axis=1)[:, None] + draw.normal(scale=0.01, size=(600, 8))
+    table = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    whole = np.floor(256 * v).astype(int)
+    want = []
+    for q in range(0, 600, 5):
+        order = sorted((-(whole[q] @ whole[i]), i) for i in range(600) if i != q)[:5]
+        want += [(q, k + 1, i, -score) for k, (score, i) in enumerate(order)]
+    assert sorted(tuple(r) for r in knn.top_k(table, F.col("vec_id") % 5 == 0, pivots=48).collect()) == want
+    need = np.array([[1, 1, 0, 0], [1, 1, 0, 0], [0, 0, 1, 1], [0, 1, 1, 1], [1, 1, 1, 1]], bool)
+    group = knn.grouped(need, np.array([10, 10, 10, 1]), np.array([5, 5, 5, 5, 0]), 10)
+    assert group[0] == group[1] != group[2] and group[4] == -1
+    assert len(set(knn.grouped(need, np.array([10, 10, 10, 1]), np.array([5, 5, 5, 5, 0]), 5)[:4])) == 4
+
+
 def test_knn(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(0, 1, (300, 8)).astype(np.float32).tolist()

@@ -4,13 +4,15 @@ Vectors become integers floor(256 x). Adding one coordinate, sqrt(M - |v|^2) for
 data and 0 for queries, makes the largest inner product the smallest Euclidean
 distance, so triangle bounds hold.
 
-1. A hashed, bounded number of data vectors are pivots; data go to the cell of the
+1. A hashed number of data vectors, the square root of all within bounds, are pivots; data go to the cell of the
    nearest pivot. Queries go to cells of a few of the pivots.
 2. Summaries: per data cell the count and the k+1 smallest distances to its pivot;
    per query cell the count and the radius. From these each query cell gets a
    distance within which k data vectors besides a query's own must lie.
-3. A data vector is sent to a query cell only if the triangle inequality leaves
-   it a chance there. Cells are split into blocks of bounded size on both sides.
+3. A data vector is needed by a query cell only if the triangle inequality leaves
+   it a chance there. Query cells that need much the same data cells form a group of at
+   most QUERY_BLOCK queries, and a group is sent one copy of what its cells need.
+   Groups are split into blocks of bounded size on both sides.
 4. Each block is solved by a matrix product; the blocks' best are ranked a query.
 
 Vectors that are null or hold a null or non-finite component take no part. Shorter
@@ -22,6 +24,7 @@ candidates: no rows. Scores are exact while |score| < 2**63.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,10 @@ from pyspark.sql import functions as F
 
 from vigil.llm import common
 
-PIVOTS = 128  # at most
-QUERY_BLOCK, DATA_BLOCK = 1024, 8192
+LEAST_PIVOTS, MOST_PIVOTS = 128, 1024
+QUERY_BLOCK, DATA_BLOCK = 8192, 8192
 QUERIES_A_CELL = 1024
+SHARED = 0.5  # of the rows that two groups need together, what both must need to be one group
 SLACK = 1e-6
 
 
@@ -60,7 +64,32 @@ def _cells(points: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return cell, np.sqrt(np.maximum(((points - pivots[cell]) ** 2).sum(1), 0))
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, pivots: int = PIVOTS) -> DataFrame:
+def grouped(need: np.ndarray, rows: np.ndarray, asked: np.ndarray, most: int) -> np.ndarray:
+    """A group for each query cell, -1 where nothing is asked.
+
+    need: query cells by data cells; rows: vectors a data cell; asked: queries a query
+    cell. A cell joins the group with the largest shared part of the rows that both need,
+    if that is SHARED or more and the group stays within `most` queries; else it begins
+    one. All arrays have at most MOST_PIVOTS entries a side.
+    """
+    group = np.full(len(need), -1)
+    union, queries = np.zeros((0, need.shape[1]), bool), np.zeros(0, np.int64)
+    for c in np.argsort(-(need @ rows), kind="stable"):
+        if not asked[c]:
+            continue
+        both, either = (union & need[c]) @ rows, (union | need[c]) @ rows
+        share = np.where(queries + asked[c] <= most, both / np.maximum(either, 1), -1.0)
+        g = int(share.argmax()) if len(share) else 0
+        if not len(share) or share[g] < SHARED:
+            g = len(queries)
+            union, queries = np.r_[union, np.zeros((1, need.shape[1]), bool)], np.r_[queries, 0]
+        union[g] |= need[c]
+        queries[g] += asked[c]
+        group[c] = g
+    return group
+
+
+def top_k(vectors: DataFrame, is_query, k: int = 5, pivots: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score; is_query is a column over vec_id."""
     spark = vectors.sparkSession
     data = quantised(vectors)
@@ -69,6 +98,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, pivots: int = PIVOTS) -> Dat
     if not n or not n_queries:
         return spark.createDataFrame([], result)
     width = max(width, 1)
+    pivots = pivots or max(LEAST_PIVOTS, min(MOST_PIVOTS, isqrt(int(n))))
     exact_floats = (largest or 0) ** 2 * width < 2**52
     some = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
 
@@ -105,14 +135,19 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, pivots: int = PIVOTS) -> Dat
     of_data, of_queries = summary(data, False), summary(queries, True)
     between = np.sqrt(np.maximum(((p_query[:, None, :] - p_data[None]) ** 2).sum(2), 0))
     reach, radius = np.full(len(p_query), -1.0), np.zeros(len(p_query))
-    query_blocks, data_blocks = np.zeros(len(p_query), np.int64), np.ones(len(p_query), np.int64)
+    asked_of, rows_of = np.zeros(len(p_query), np.int64), np.zeros(len(p_data), np.int64)
+    far = np.full(len(p_data), -np.inf)
+    for d in of_data:
+        rows_of[d.cell], far[d.cell] = d.n, d.far
     for q in of_queries:
         bounds = np.sort(np.concatenate([between[q.cell, d.cell] + q.far + np.array(d.near) for d in of_data]))
         reach[q.cell] = bounds[k] * (1 + SLACK) + SLACK if len(bounds) > k else np.inf
-        radius[q.cell] = q.far
-        query_blocks[q.cell] = -(-q.n // QUERY_BLOCK)
-        sent = sum(d.n for d in of_data if between[q.cell, d.cell] - q.far - d.far <= reach[q.cell])
-        data_blocks[q.cell] = max(1, -(-sent // DATA_BLOCK))
+        radius[q.cell], asked_of[q.cell] = q.far, q.n
+    need = (between - radius[:, None] - far[None] <= reach[:, None]) & (rows_of > 0)
+    group = grouped(need, rows_of, asked_of, QUERY_BLOCK)
+    members = [np.flatnonzero(group == g) for g in range(group.max() + 1)]
+    query_blocks = np.array([-(-int(asked_of[m].sum()) // QUERY_BLOCK) for m in members])
+    data_blocks = np.array([max(1, -(-int(rows_of[need[m].any(0)].sum()) // DATA_BLOCK)) for m in members])
     first_block = np.cumsum(query_blocks * data_blocks) - query_blocks * data_blocks
 
     def send_data(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,9 +157,11 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, pivots: int = PIVOTS) -> Dat
             cell, dist = _cells(lifted(_matrix(batch.column("v"), width), False), p_data)
             ids = batch.column("vec_id").to_numpy()
             salt = common.mixed(ids.astype(np.uint64))
-            for i in np.flatnonzero(query_blocks):
-                gap = np.abs(between[i, cell] - dist) - radius[i]
-                row = np.flatnonzero(gap <= reach[i])
+            for i, cells in enumerate(members):
+                wanted = np.zeros(len(cell), bool)
+                for c in cells:
+                    wanted |= np.abs(between[c, cell] - dist) - radius[c] <= reach[c]
+                row = np.flatnonzero(wanted)
                 part = (salt[row] % np.uint64(data_blocks[i])).astype(np.int64)
                 for b in range(query_blocks[i]):
                     yield pa.RecordBatch.from_arrays([pa.array(first_block[i] + b * data_blocks[i] + part), batch.column("vec_id").take(pa.array(row)), batch.column("v").take(pa.array(row))], names=["block", "vec_id", "v"])
@@ -133,7 +170,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, pivots: int = PIVOTS) -> Dat
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell, _ = _cells(lifted(_matrix(batch.column("v"), width), True), p_query)
+            own, _ = _cells(lifted(_matrix(batch.column("v"), width), True), p_query)
+            cell = group[own]
             b = (common.mixed(batch.column("vec_id").to_numpy().astype(np.uint64)) % np.maximum(query_blocks[cell], 1).astype(np.uint64)).astype(np.int64)
             row = np.repeat(np.arange(len(cell)), data_blocks[cell])
             place = np.arange(len(row)) - np.repeat(np.cumsum(data_blocks[cell]) - data_blocks[cell], data_blocks[cell])
