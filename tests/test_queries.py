@@ -72,6 +72,15 @@ def test_typo_forms_score_alike(spark):
     assert len(set(scored(spark, forms).values())) == 1
 
 
+def test_suffix_table(spark):
+    from vigil.plans import urls
+
+    want = {"http://a.co.th": ("a", "co.th"), "http://x.com.vn": ("x", "com.vn"), "x.nu": ("x", "nu"), "shop.any.ck": ("shop", "any.ck"), "any.ck": ("", "any.ck"), "www.ck": ("www", "ck"), "deep.www.ck": ("www", "ck"), "x.y.kawasaki.jp": ("x", "y.kawasaki.jp"), "www.city.kawasaki.jp": ("city", "kawasaki.jp"), "z.a.b.c.d.com": ("z", "a.b.c.d.com"), "b.c.d.com": ("d", "com"), "my.pages.dev": ("my", "pages.dev"), "x.unknownzone": ("unknownzone", ""), "1.2.3.4": ("1.2.3.4", "")}
+    rows = spark.createDataFrame([(u,) for u in want], "url string")
+    rules = spark.createDataFrame([(r,) for r in urls.RULES], "rule string")
+    assert {r.url: (r.domain, r.suffix) for r in url.with_host(rows, rules).collect()} == want
+
+
 def test_empty_and_null_urls(spark):
     got = scored(spark, ["", "!!!", "://", "http://", "a" * 5000])
     assert len(got) == 5

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vigil.functions import dictionaries as D
 
 TYPO_LENGTH, FAR = 6, 3
+LONGEST_RULE, MOST_RULES = 5, 100_000
 
 
 def normalised(url: Column) -> Column:
@@ -33,16 +34,43 @@ def reject_reason(url: Column) -> Column:
     return F.when(F.length(F.coalesce(url, F.lit(""))) > 2048, "too long").when(text == "", "empty").when(~fine, "no host")
 
 
-def with_host(urls: DataFrame, suffixes: Sequence[str] = D.SUFFIXES) -> DataFrame:
-    """Adds text, authority, host and its split in subdomain, domain, suffix, registered (host where there is no suffix) and checked."""
+def with_longest_suffix(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds suffix by a public-suffix table (column rule): the longest rule that fits, `*.x` for any one label before x, `!y.x` for a name that a wildcard leaves out. Empty where no rule fits.
+
+    Every level of labels is one left join with the table by name, so a table of any
+    length costs the same few lookups. It is broadcast up to MOST_RULES rows, beyond
+    them Spark chooses the join.
+    """
+    rule = F.lower(F.trim("rule"))
+    names = rules.where(rule != "").groupBy(F.regexp_replace(rule, r"^(!|\*\.)", "").alias("__name")).agg(F.max(~rule.rlike(r"^(!|\*\.)")).alias("plain"), F.max(rule.startswith("*.")).alias("wild"), F.max(rule.startswith("!")).alias("left_out"))
+    names = names.select("__name", F.struct("plain", "wild", "left_out").alias("__rule"))
+    small = names.limit(MOST_RULES + 1).count() <= MOST_RULES
+    last = lambda n: F.substring_index("host", ".", -n)
+    labels = F.regexp_count("host", F.lit(r"\.")) + 1
+    out = hosts
+    for n in range(1, LONGEST_RULE + 1):
+        level = names.withColumnsRenamed({"__name": f"__name{n}", "__rule": f"__rule{n}"})
+        out = out.join(F.broadcast(level) if small else level, F.when((labels >= n) & ~F.col("is_ip"), last(n)) == F.col(f"__name{n}"), "left").drop(f"__name{n}")
+    is_ = lambda n, x: F.col(f"__rule{n}")[x]
+    levels = range(LONGEST_RULE, 0, -1)
+    kept = [F.when(is_(n, "left_out"), last(n - 1)) for n in levels if n > 1]
+    for n in levels:
+        kept += [F.when(is_(n, "wild") & (labels > n), last(n + 1)), F.when(is_(n, "plain"), last(n))]
+    return out.withColumn("suffix", F.coalesce(*kept, F.lit(""))).drop(*(f"__rule{n}" for n in levels))
+
+
+def with_host(urls: DataFrame, suffixes: Sequence[str] | DataFrame = D.SUFFIXES) -> DataFrame:
+    """Adds text, authority, host and its split in subdomain, domain, suffix, registered (host where there is no suffix) and checked. suffixes: plain names, or a table for `with_longest_suffix`."""
     out = urls.withColumn("text", normalised(F.col("url")))
     out = out.withColumn("authority", F.regexp_replace(F.regexp_extract("text", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), r"^.*@", ""))
     out = out.withColumn("host", F.lower(F.substring_index("authority", ":", 1)))
     out = out.withColumn("is_ip", F.col("host").rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$"))
-    last = lambda n: F.substring_index("host", ".", -n)
-    known = lambda n: last(n).isin(*suffixes)
-    suffix = F.when(F.col("is_ip"), "").when(known(3), last(3)).when(known(2), last(2)).when(known(1), last(1)).otherwise("")
-    out = out.withColumn("suffix", suffix)
+    if isinstance(suffixes, DataFrame):
+        out = with_longest_suffix(out, suffixes)
+    else:
+        last = lambda n: F.substring_index("host", ".", -n)
+        known = lambda n: last(n).isin(*suffixes)
+        out = out.withColumn("suffix", F.when(F.col("is_ip"), "").when(known(3), last(3)).when(known(2), last(2)).when(known(1), last(1)).otherwise(""))
     before = F.when(F.col("suffix") == "", F.col("host")).otherwise(F.expr("left(host, greatest(length(host) - length(suffix) - 1, 0))"))
     out = out.withColumn("before", before)
     out = out.withColumn("domain", F.when(F.col("is_ip"), F.col("host")).otherwise(F.substring_index("before", ".", -1)))

@@ -69,6 +69,17 @@ def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts(spark, sf_dir).select("id", "text", "host", "subdomain", "domain", "suffix", "registered")
 
 
+# A table of public suffixes with wildcards and exceptions, and hosts that tell its rules apart.
+RULES = ["com", "net", "org", "uk", "co.uk", "id", "co.id", "th", "co.th", "vn", "com.vn", "nu", "ck", "*.ck", "!www.ck", "jp", "*.kawasaki.jp", "!city.kawasaki.jp", "a.b.c.d.com", " DEV ", "pages.dev", "am"]
+SUFFIX_SEEDS = ["http://a.co.th", "http://x.com.vn", "x.nu", "shop.any.ck", "any.ck", "ck", "www.ck", "deep.www.ck", "x.y.kawasaki.jp", "www.city.kawasaki.jp", "kawasaki.jp", "z.a.b.c.d.com", "b.c.d.com", "my.pages.dev", "pages.dev", "co.uk", "x.unknownzone", "com.am"]
+
+
+def url_public_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = spark.createDataFrame([(-2000 - k, s) for k, s in enumerate(SUFFIX_SEEDS)], "id long, url string")
+    rules = spark.createDataFrame([(r,) for r in RULES], "rule string")
+    return U.with_host(inputs(spark, sf_dir).unionByName(more), rules).select("id", "host", "subdomain", "domain", "suffix", "registered")
+
+
 def url_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs(spark, sf_dir).select("id", U.normalised(F.col("url")).alias("text"), U.reject_reason(F.col("url")).alias("reject_reason"))
 
@@ -133,7 +144,15 @@ scored AS (SELECT *, coalesce(list_max(list_transform(r, lambda x: x.w)), 0.0) A
 final AS (SELECT *, round(CAST(CASE WHEN allowlisted AND rule_score < 0.40 THEN least(greatest(rule_score, model), 0.15) ELSE greatest(rule_score, model) END AS DOUBLE), 4) AS risk_score FROM scored)"""
 
 
+_SUFFIX_SOURCE = SOURCE_SQL + " UNION ALL SELECT CAST(id AS BIGINT), url FROM (VALUES " + ", ".join(f"({-2000 - k}, {_quote(s)})" for k, s in enumerate(SUFFIX_SEEDS)) + ") AS more(id, url)"
+_TABLE = f"""rules AS (SELECT lower(trim(unnest([{", ".join(map(_quote, RULES))}]))) AS rule),
+tails AS (SELECT id, n, array_to_string(p[-n:], '.') AS tail, array_to_string(p[-n:][2:], '.') AS rest FROM ip, range(1, 8) AS r(n) WHERE n <= len(p) AND NOT is_ip),
+found AS (SELECT id, tail AS suffix, n, 0 AS special FROM tails JOIN rules ON rule = tail UNION ALL SELECT id, tail, n, 0 FROM tails JOIN rules ON n > 1 AND rule = '*.' || rest UNION ALL SELECT id, rest, n, 1 FROM tails JOIN rules ON rule = '!' || tail),
+suf AS (SELECT ip.*, coalesce(f.suffix, '') AS suffix FROM ip LEFT JOIN (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY id ORDER BY special DESC, n DESC) = 1) f USING (id)),"""
+_BY_TABLE = HOSTS_SQL.replace(SOURCE_SQL, _SUFFIX_SOURCE)
+_BY_TABLE = _BY_TABLE[: _BY_TABLE.index("cut AS (")] + _TABLE + _BY_TABLE[_BY_TABLE.index("\nbef AS (") :]
 ORACLE = {
+    "url_public_suffix": f"WITH {_BY_TABLE} SELECT id, host, subdomain, domain, suffix, registered FROM hosts",
     "url_hosts": f"WITH {HOSTS_SQL} SELECT id, text, host, subdomain, domain, suffix, registered FROM hosts",
     "url_validate": rf"""WITH {HOSTS_SQL}, c AS (SELECT h.id, h.text, t.url, t.t, string_split(split_part(split_part(split_part(regexp_replace(t.t, '^[a-zA-Z][a-zA-Z0-9+.-]*:(//)?', ''), '/', 1), '?', 1), '#', 1), '@')[-1] AS h FROM hosts h JOIN trimmed t USING (id))
       SELECT id, text, CASE WHEN length(coalesce(url, '')) > 2048 THEN 'too long' WHEN t = '' THEN 'empty' WHEN NOT regexp_matches(split_part(h, ':', 1), '(?i)^(([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z]{{2,}}|([0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}|localhost)$') THEN 'no host' END AS reject_reason FROM c""",
@@ -156,4 +175,4 @@ ORACLE = {
       SELECT id, coalesce(array_to_string(y, '>'), '') AS titles, len(y) AS n_reasons, coalesce(CASE y[1] {" ".join(f"WHEN {_quote(n)} THEN {_quote(r)}" for n, r in {**R.REASONS, **R.NOTES}.items())} END, '') AS first_reason FROM why""",
 }
 
-QUERIES = {f.__name__: f for f in (url_hosts, url_validate, url_lexical_core, url_runs_tokens, url_host_flags, url_brand_match, url_keyword_counts, url_rules_fused, url_explanations)}
+QUERIES = {f.__name__: f for f in (url_hosts, url_public_suffix, url_validate, url_lexical_core, url_runs_tokens, url_host_flags, url_brand_match, url_keyword_counts, url_rules_fused, url_explanations)}
