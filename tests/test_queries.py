@@ -191,7 +191,7 @@ def test_links_resolve_like_the_standard_library(spark):
 def test_vector(spark):
     from vigil.functions import vector
 
-    assert len(vector.names()) == 47 and list(vector.vector()) == vector.names()
+    assert len(vector.names()) == 47
     row = vector.with_vector(spark.createDataFrame([(1,)], "id long")).select(*vector.names()).first().asDict()
     assert row["d_age_days"] == row["d_certificate_days"] == -1 and sum(row.values()) == -2
 

@@ -35,7 +35,7 @@ def vector() -> dict[str, Column]:
 
 
 def names() -> list[str]:
-    return ["d_has_age", "d_age_days", "d_age_to_7", "d_age_to_30", "d_age_to_180", "d_age_from_1095", "d_has_country", *(f"d_country_{k}" for k in COUNTRIES), "d_country_other", "d_has_ip", "d_certificate_checked", "d_has_certificate", "d_certificate_fits", "d_certificate_days", "d_certificate_new", "d_opened", "d_status_200", "d_status_4xx", "d_hops", "d_moved", "d_readable", "d_password", "d_password_fields", "d_forms", "d_foreign_form", "d_credential_words", "d_gambling_words", "d_strong_gambling_words", "d_brand", "d_hidden_frames", "d_scrambled", "d_page_kb", "d_title_length", "d_has_title", "d_password_and_young", "d_password_and_brand", "d_password_no_certificate", "d_password_and_foreign_form"]
+    return list(vector())
 
 
 def with_vector(evidence: DataFrame) -> DataFrame:
