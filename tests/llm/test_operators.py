@@ -198,19 +198,38 @@ def test_neardup(docs, empty, percent):
     assert neardup.link(empty, percent).count() == 0
 
 
-def test_neardup_blocks(spark, monkeypatch):
-    """Clusters cut into many blocks give the same components."""
+@pytest.mark.parametrize("pivots", [1, 8])
+def test_neardup_blocks(spark, monkeypatch, pivots):
+    """Clusters cut into many blocks, with cores and documents outside them, give the same components."""
     monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "PIVOTS", pivots)
     rows = []
     text = prose(50).split()
     for k in range(25):
         text = text[:]
         text[RNG.randrange(50)] = f"w{k}"
         rows.append((k, " ".join(text)))
+    same = prose(200).split()
+    for k in range(40, 80):  # copies of one text, most of them linked and some not
+        text = same[:]
+        for j in RNG.sample(range(200), 1 if k < 70 else 5):
+            text[j] = f"v{k}"
+        rows.append((k, " ".join(text)))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.link(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()}
     assert got == brute_components(rows, 80)
 
 
+def test_neardup_leaves_out_connected_pairs(spark, monkeypatch):
+    """A cluster whose documents are connected after the first step needs no second one."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    members = spark.createDataFrame([(k, 0, 3, k % 3, k == 1) for k in range(10)], "doc_id long, cluster long, blocks long, own long, pivot boolean")
+    star = [(0, k, 1) for k in range(10) if k != 1]
+    links = lambda rows: spark.createDataFrame(rows, "cluster long, a long, b long")
+    assert neardup._outside(members, links(star)).count() == 0
+    rest = {r.doc_id: (r.core, r.parts) for r in neardup._outside(members, links(star[:-2])).collect()}
+    assert len(rest) == 10 and {k for k, r in rest.items() if not r[0]} == {8, 9} and {r[1] for r in rest.values()} == {3}
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 

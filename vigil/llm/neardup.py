@@ -9,9 +9,14 @@
    table keys combine such bands only. Table keys seen twice link their holders to
    the smallest of them; connected components of these stars are the clusters that
    may hold similar documents.
-4. Verification on full sets: a cluster is cut into blocks of BLOCK documents, and
-   each pair of blocks is a task that compares all its sets exactly and returns a
-   spanning forest of the true links, never pairs.
+4. Verification on full sets, in two steps. A cluster is cut into blocks of BLOCK
+   documents, and each block is compared exactly with itself and with about PIVOTS
+   documents of its cluster. What that links is connected; for each cluster the
+   largest true component is its core. Then whatever lies outside the core is cut
+   into blocks and compared with all of the cluster. Two documents of the core need
+   no comparison: they are connected. A cluster of many copies of one text so costs
+   about as much as its rows, and no link between different texts is lost.
+   Comparisons return spanning forests of the true links, never pairs.
 5. Components of the true links, then every copy takes over its class's component.
 
 A pair at the threshold shares no table with probability MISS at most.
@@ -20,7 +25,7 @@ Documents without words (null, empty or blank text) have an empty set and are
 linked with nothing. Fewer words than a shingle has: the whole sequence is the one
 shingle. Rows that repeat a doc_id carry the same component. A null doc_id never
 becomes a component's name; such a row takes its class's component if there is one
-and is not kept. Empty tables give no rows.
+and is not kept; an id that is no number counts as null. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import common, grouping
@@ -41,6 +46,7 @@ K = 5
 MISS = 2e-4
 BLOCK = 256
 BUNDLE = 512
+PIVOTS = 32
 BROADCAST_IDS = 500_000
 COLUMNS_AT_ONCE = 1 << 14
 
@@ -139,51 +145,72 @@ def _clusters(reps: DataFrame, bands: int) -> DataFrame:
     return common.checkpoint(components(stars))
 
 
-def link(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row."""
-    spark = docs.sparkSession
-    common.tune(spark)
-    bands = bands_for(percent)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = common.checkpoint(_signed(docs, bands))
-    classes = signed.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("rep"))
-    reps = signed.where("n_shingles > 0").select("doc_id", "bands").join(classes.where("rep is not null").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    cluster = _clusters(reps, bands)
-    sizes = cluster.groupBy("label").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = common.checkpoint(cluster.join(sizes, "label").select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"), "blocks"))
-    n = members.count()
+def _verified(docs: DataFrame, members: DataFrame, n: int, pairs: Column, task: Column, percent: int) -> DataFrame:
+    """cluster, a, b: spanning forests of the true links in each place (cluster, pair) that members are sent to.
+
+    pairs: the places of a member; task: which of them share a task, null where a place has one of its own.
+    """
     side = F.broadcast(members) if n <= BROADCAST_IDS else members
-    bundles = max(1, -(-n // BUNDLE))
+    found = docs.join(side, "doc_id")
+    extra = [c for c in members.columns if c != "doc_id"]
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch):
-                ids = part.column("doc_id").to_numpy()
-                label, blocks = part.column("cluster").to_numpy(), part.column("blocks").to_numpy()
-                own = (common.mixed(ids.astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
-                packed = [grouping.squeeze(x) for x in sets(part.column("text"))]
-                row = np.repeat(np.arange(len(ids)), blocks)
-                other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                low, high = np.minimum(own[row], other), np.maximum(own[row], other)
-                pair = low * (1 << 31) + high
-                spread = common.mixed(common.mixed(label[row].astype(np.uint64)) + pair.astype(np.uint64))
-                # a cluster of one block shares a task with others; a pair of blocks has a task of its own
-                task = np.where(blocks[row] == 1, (spread % np.uint64(bundles)).astype(np.int64), (spread >> np.uint64(2)).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(label[row]), pa.array(pair), pa.array(ids[row]), pa.array([packed[r] for r in row], pa.binary())], names=["task", "cluster", "pair", "doc_id", "members"])
-
-    sent = docs.join(side, "doc_id").select("doc_id", "text", "cluster", "blocks")
-    sent = sent.mapInArrow(send, "task long, cluster long, pair long, doc_id long, members binary")
+                packed = pa.array([grouping.squeeze(x) for x in sets(part.column("text"))], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(part.column(c) for c in extra), packed], names=["doc_id", *extra, "members"])
+
+    packed = found.select("doc_id", "text", *extra).mapInArrow(pack, "doc_id long, " + ", ".join(f"{c} {kind}" for c, kind in members.dtypes if c != "doc_id") + ", members binary")
+    sent = packed.select("doc_id", "cluster", "members", task.alias("task"), F.explode(pairs).alias("pair"))
+    sent = sent.withColumn("task", F.coalesce("task", F.xxhash64("cluster", "pair")))
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.sort_by([("cluster", "ascending"), ("pair", "ascending")])
         cluster, pair, ids = (table.column(x).to_numpy() for x in ("cluster", "pair", "doc_id"))
         packed = table.column("members").to_pylist()
         cut = np.flatnonzero(np.r_[True, (cluster[1:] != cluster[:-1]) | (pair[1:] != pair[:-1]), True])
-        links = [x for a, b in zip(cut[:-1], cut[1:], strict=True) for x in similar_links([grouping.expand(p) for p in packed[a:b]], ids[a:b], percent)]
-        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+        links = [(int(cluster[a]), *x) for a, b in zip(cut[:-1], cut[1:], strict=True) for x in similar_links([grouping.expand(p) for p in packed[a:b]], ids[a:b], percent)]
+        return pa.table({c: pa.array([x[k] for x in links], pa.int64()) for k, c in enumerate(("cluster", "a", "b"))})
+
+    return sent.groupBy("task").applyInArrow(verify, "cluster long, a long, b long")
 
-    links = sent.groupBy("task").applyInArrow(verify, "a long, b long")
-    linked = components(links)
+
+def _outside(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of the clusters that have documents outside their core: core, blocks and parts of the cluster (blocks of the core, then of the rest), and the own part."""
+    known = components(links.join(members.select("cluster").distinct(), "cluster", "left_semi").select("a", "b"))
+    placed = members.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "cluster", F.coalesce("label", "doc_id").alias("label"))
+    size = placed.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    cores = size.groupBy("cluster").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("middle"), F.max("n").alias("inner"), F.sum("n").alias("all")).where("inner < all")
+    blocks, others = F.ceil(F.col("inner") / BLOCK), F.ceil((F.col("all") - F.col("inner")) / BLOCK)
+    number = F.xxhash64("doc_id")
+    core = F.col("label") == F.col("middle")
+    own = F.when(core, F.pmod(number, blocks)).otherwise(blocks + F.pmod(number, others))
+    return common.checkpoint(placed.join(cores, "cluster").select("doc_id", "cluster", core.alias("core"), blocks.alias("blocks"), (blocks + others).alias("parts"), own.alias("own")))
+
+
+def link(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row."""
+    spark = docs.sparkSession
+    common.tune(spark)
+    bands = bands_for(percent)
+    docs = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text")
+    signed = common.checkpoint(_signed(docs, bands))
+    classes = signed.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("rep"))
+    reps = signed.where("n_shingles > 0").select("doc_id", "bands").join(classes.where("rep is not null").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    cluster = _clusters(reps, bands)
+    sizes = cluster.groupBy("label").agg(F.count("*").alias("n"))
+    number = F.xxhash64("node")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    members = cluster.join(sizes, "label").select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"), blocks.alias("blocks"), F.pmod(number, blocks).alias("own"), (F.pmod(F.xxhash64(number), F.ceil(F.col("n") / PIVOTS)) == 0).alias("pivot"))
+    members = common.checkpoint(members)
+    n = members.count()
+    inside = F.when(F.col("pivot"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))
+    alone = F.pmod(F.xxhash64("cluster"), F.lit(max(1, -(-n // BUNDLE))))
+    first = common.checkpoint(_verified(docs, members, n, inside, F.when(F.col("blocks") == 1, alone), percent))
+    rest = _outside(members.where("blocks > 1"), first)
+    across = F.transform(F.sequence(F.when(F.col("core"), F.col("blocks")).otherwise(F.lit(0).cast("long")), F.col("parts") - 1), lambda q: F.least("own", q) * (1 << 31) + F.greatest("own", q))
+    second = _verified(docs, rest, rest.count(), across, F.lit(None).cast("long"), percent)
+    linked = components(first.unionByName(second).select("a", "b"))
     named = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("mark", F.coalesce("label", "rep").alias("component"))
     return signed.join(named, "mark", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
