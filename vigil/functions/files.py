@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from vigil.operators.rules import Rule
 
-# Leading bytes (as hex) and their types in the order of the test; extension sets.
-MAGIC = [("4D5A", "executable-windows"), ("7F454C46", "executable-linux"), ("CAFEBABE", "executable-mac"), ("25504446", "pdf"), ("504B0304", "zip"), ("526172211A07", "rar"), ("377ABCAF271C", "7z"), ("1F8B", "gzip"), ("D0CF11E0", "ole"), ("89504E47", "image"), ("FFD8FF", "image"), ("47494638", "image"), ("494433", "media"), ("0000001866747970", "media")]
+# Leading bytes and their types in the order of the test; extension sets.
+MAGIC = [(b"MZ", "executable-windows"), (b"\x7fELF", "executable-linux"), (b"\xca\xfe\xba\xbe", "executable-mac"), (b"%PDF", "pdf"), (b"PK\x03\x04", "zip"), (b"Rar!\x1a\x07", "rar"), (b"7z\xbc\xaf\x27\x1c", "7z"), (b"\x1f\x8b", "gzip"), (b"\xd0\xcf\x11\xe0", "ole"), (b"\x89PNG", "image"), (b"\xff\xd8\xff", "image"), (b"GIF8", "image"), (b"ID3", "media"), (b"\x00\x00\x00\x18ftyp", "media")]
 RUNNABLE = ["exe", "dll", "scr", "com", "pif", "cpl", "msi", "msc", "jar", "bat", "cmd", "vbs", "vbe", "js", "jse", "wsf", "wsh", "ps1", "psm1", "hta", "reg", "lnk", "sh", "app", "deb", "rpm"]
 SAFE_LOOKING = ["pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "txt", "jpg", "jpeg", "png", "gif", "mp3", "mp4", "zip", "rar", "csv", "rtf"]
 EXPECTED = {
@@ -37,11 +37,10 @@ HIGH_ENTROPY, ENTROPY_BYTES = 7.2, 512 * 1024
 def with_file_features(files: DataFrame) -> DataFrame:
     """files: name, content (binary). matches is null where nothing is expected of the type or there is no extension."""
     c = F.col("content")
-    head = F.hex(F.substring(c, 1, 16))
     plain = F.decode(F.substring(c, 1, 1024), "ISO-8859-1").rlike(r"\A[\x01-\x7F]*\z")
     kind = F.when(F.length(c) == 0, "empty")
     for mark, name in MAGIC:
-        kind = kind.when(head.startswith(mark), name)
+        kind = kind.when(F.startswith(c, F.lit(mark)), name)
     out = files.withColumn("size", F.length(c)).withColumn("sha256", F.sha2(c, 256)).withColumn("md5", F.md5(c)).withColumn("kind", kind.when(plain, "text").otherwise("unknown"))
     parts = F.split(F.lower("name"), r"\.")
     out = out.withColumn("extension", F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise(""))

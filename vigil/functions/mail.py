@@ -26,6 +26,7 @@ INSTITUTIONS = {
     "microsoft": ["microsoft.com", "outlook.com"], "google": ["google.com", "gmail.com"], "apple": ["apple.com", "icloud.com"], "whatsapp": ["whatsapp.com"], "instagram": ["instagram.com"],
     "facebook": ["facebook.com", "fb.com"],
 }
+# Patterns of header lines, links, anchors, tags, shown and target hosts and double extensions; what is cut off behind a link.
 HEADER = r"^(from|dari|subject|subjek|to)\s*:"
 LINK = r"(?i)https?://[^\s<>\"'\)\]]+"
 ANCHOR = r"(?is)<a\s[^>]*href\s*=\s*[\"']([^\"']+)[\"'][^>]*>(.*?)</a>"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vigil.functions import files as X
 from vigil.operators import rules as R
 
-PREFIXES = [m for m, _ in X.MAGIC] + ["", "00", "255044462D2F4A53202F4F70656E416374696F6E", "255044462D2F4C61756E6368202F456D62656464656446696C65", "C3A9"]
+PREFIXES = [m.hex().upper() for m, _ in X.MAGIC] + ["", "00", "255044462D2F4A53202F4F70656E416374696F6E", "255044462D2F4C61756E6368202F456D62656464656446696C65", "C3A9"]
 NAMES = ["a.pdf", "b.exe", "c.pdf.exe", "d", "e.zip", "f.docx", "g.png", "h.tar.gz", "i.jar", "j.txt", "k.doc.js"]
 
 
@@ -52,7 +52,7 @@ _pick = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + f"][doc_id % {len(xs)
 _in = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 _FILES = f"""raw AS (SELECT doc_id AS id, {_pick(NAMES)} AS name, CASE WHEN doc_id % 29 = 0 THEN '' ELSE {_pick(PREFIXES)} || hex(encode(coalesce(text, ''))) END AS h FROM documents),
 f AS (SELECT id, name, h, unhex(h) AS content, string_split(lower(name), '.') AS p FROM raw),
-g AS (SELECT *, CASE WHEN h = '' THEN 'empty' {" ".join(f"WHEN starts_with(h, '{m}') THEN '{n}'" for m, n in X.MAGIC)} WHEN regexp_matches(left(h, 2048), '^(0[1-9A-F]|[1-7][0-9A-F])*$') THEN 'text' ELSE 'unknown' END AS kind,
+g AS (SELECT *, CASE WHEN h = '' THEN 'empty' {" ".join(f"WHEN starts_with(h, '{m.hex().upper()}') THEN '{n}'" for m, n in X.MAGIC)} WHEN regexp_matches(left(h, 2048), '^(0[1-9A-F]|[1-7][0-9A-F])*$') THEN 'text' ELSE 'unknown' END AS kind,
   CASE WHEN len(p) > 1 THEN p[-1] ELSE '' END AS extension, CASE WHEN len(p) > 2 THEN p[-2] ELSE '' END AS bef FROM f)"""
 _MATCH = "CASE " + " ".join(f"WHEN kind = '{k}' AND extension <> '' THEN extension IN {_in(v)}" for k, v in X.EXPECTED.items()) + " END"
 ORACLE = {
