@@ -473,6 +473,60 @@ def test_quality(spark, empty):
     assert quality.score(empty, quality.fit(table, labels.limit(0))).count() == 0
 
 
+def plain_statistics(text):
+    data = (text or "").encode()
+    found = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    rows = [x for x in data.split(b"\n") if x]
+    n, w, k = max(len(data), 1), max(len(found), 1), max(len(rows), 1)
+    count = lambda pattern: len(re.findall(pattern, data))
+    symbols = sum(b in b"#$%&*@^~<>{}[]\\_=+/" for b in data)
+    again = sum(a == b for a, b in zip(found, found[1:]))  # noqa: B905
+    return [np.log1p(len(data)), np.log1p(len(found)), (len(data) - count(rb"\n")) / w, count(rb"[A-Z]") / n, count(rb"[0-9]") / n, symbols / w, count(rb"\|") / w, count(rb"!") / w, count(rb"[.,;:?]") / w, len(found) / k, count(rb"[\x80-\xff]") / n, len(set(found)) / w, again / w, 1 - len(set(rows)) / k, sum(x[:1].isupper() for x in found) / w, sum(len(x) <= 3 for x in found) / w]
+
+
+def test_quality_against_plain_rules(spark, sf):
+    """Statistics, rules and scores of the query's whole table, worked out in plain code from the model's weights."""
+    documents, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    model = quality.fit(documents, labels)
+    assert len(model.rules) > 3
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    for r in quality.score(documents, model).collect():
+        plain = plain_statistics(texts[r.doc_id])
+        assert np.allclose([r[x] for x in quality.STATISTICS], plain, rtol=1e-12), r.doc_id
+        given = [r[x] for x in quality.STATISTICS]
+        total = model.base + sum(weight for rule, weight in model.rules if all((given[k] <= limit) == at_most for k, at_most, limit in rule))
+        assert abs(r.score - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_tree_paths_are_rules():
+    tree = "Model\n  If (feature 0 <= 1.5)\n   If (feature 1 <= 2.0E-4)\n    Predict: 0.0\n   Else (feature 1 > 2.0E-4)\n    Predict: 1.0\n  Else (feature 0 > 1.5)\n   Predict: 1.0\n"
+    low, high = (0, True, 1.5), (0, False, 1.5)
+    assert quality.tree_rules(tree) == [(low,), (low, (1, True, 2e-4)), (low, (1, False, 2e-4)), (high,)]
+
+
+def test_langid_against_plain_vectors(spark, sf):
+    """Predictions and cosines of the query's whole table against bundles made letter by letter."""
+    v = langid._vectors().astype(np.int64)
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    bundles, sums = {}, defaultdict(lambda: np.zeros(langid.DIMENSIONS, np.int64))
+    for r in rows:
+        symbols = [0, *(langid._symbol(ord(c)) for c in r.text or ""), 0]
+        seen = defaultdict(int)
+        for a, b, c in zip(symbols, symbols[1:], symbols[2:]):  # noqa: B905
+            seen[a, b, c] += b > 0
+        bundles[r.doc_id] = sum((n * np.roll(v[a], 2) * np.roll(v[b], 1) * v[c] for (a, b, c), n in seen.items() if n), np.zeros(langid.DIMENSIONS, np.int64))
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            sums[r.lang] += bundles[r.doc_id]
+    for r in langid.op2_langid(spark, sf).collect():
+        own = bundles[r.doc_id]
+        cosine = {x: own @ y / max(np.linalg.norm(own) * np.linalg.norm(y), 1e-9) for x, y in sums.items()}
+        best = max(cosine.values())
+        if r.lang_pred == "und":
+            assert not own.any() and r.score == 0
+        else:
+            assert cosine[r.lang_pred] > best - 1e-5 and abs(r.score - min(max(best, 0), 1)) < 1e-5
+
+
 def test_langid(spark, sf, empty):
     got = langid.op2_langid(spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id")
     held = got[got.held_out]

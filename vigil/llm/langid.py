@@ -12,7 +12,8 @@ one boundary symbol; trigrams have a letter in the middle.
 
 Null text or text without any letter: `und`, score 0. No training rows: `und`.
 Ties go to the language first in alphabetical order. Every row counts by itself,
-repeated ones too. Null languages are not learned. Other columns are ignored.
+repeated ones too. Null languages are not learned. Other columns are ignored. Very
+long texts are handled a row at a time. Empty tables give no rows.
 The model is one vector a language, summed by Spark, so it does not grow.
 """
 

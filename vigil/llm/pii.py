@@ -11,7 +11,8 @@ Scores start from the kind's prior; words such as "mail" or "card" within 40
 characters before the span raise it, words such as "version" or "order" lower it.
 
 Null text is empty; empty text has no spans and empty strings. Repeated rows are
-scanned each by themselves. Other columns are ignored. Searches start at a rare
+scanned each by themselves. Spans of two kinds may begin at one place, and all stay;
+within a kind the leftmost does. Empty tables give no rows. Other columns are ignored. Searches start at a rare
 character (@, + or a digit run), so long texts take linear time.
 """
 

@@ -7,9 +7,12 @@
 4. The rules that stay are compiled to one Spark column expression, evaluated on
    all rows by Spark itself.
 
-Null or empty text has all statistics 0 and is scored like any other row. Without
-labels of both classes the score is the share of good labels (0 without labels).
-Repeated rows are scored each by themselves. Other columns are ignored.
+Null or empty text has statistics of 0, but for line_repeat_share (1: no line is
+distinct), and is scored like any other row. Without labels of both classes the score
+is the share of good labels (0 without labels). Repeated rows are scored each by
+themselves (one of them is learned from), and a doc_id labelled both ways counts as good. Very long texts are
+handled a row at a time; ties in score need no order. Empty tables give no rows.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -132,7 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 4) -> Model:
         return Model([], 0.0, good / n if n else 0.0)
     some = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, round(n / SAMPLE_ROWS)))) == 0)
     side = F.broadcast(some) if n <= BROADCAST_LABELS else some
-    sample = statistics(docs.select("doc_id", "text").join(side.select("doc_id"), "doc_id", "left_semi")).join(side, "doc_id").select("quality", *STATISTICS).toPandas()
+    sample = statistics(docs.select("doc_id", "text").join(side.select("doc_id"), "doc_id", "left_semi"))
+    # one row a labelled doc_id, however many rows repeat it: the driver gets no more than the sample
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct(*STATISTICS)).alias("s")).join(side, "doc_id").select("doc_id", "quality", "s.*").toPandas().sort_values("doc_id").drop(columns="doc_id")
     if sample.quality.nunique() < 2:
         return Model([], 0.0, good / n)
     rows = spark.createDataFrame(sample).coalesce(1).withColumn("label", F.col("quality").cast("double"))
