@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import knn, lines
+from vigil.llm import knn, lines, spelling
 from vigil.llm.decontaminate import op6_decontaminate
 from vigil.llm.knn import op4_knn
 from vigil.llm.langid import op2_langid
@@ -15,8 +15,9 @@ from vigil.llm.neardup import op9_neardup
 from vigil.llm.packing import op3_packing
 from vigil.llm.pii import op8_pii
 from vigil.llm.quality import op5_quality
+from vigil.llm.spelling import op13_spelling
 from vigil.llm.substrings import op7_substrings
 from vigil.llm.toxicity import op1_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_langid, op3_packing, op4_knn, op5_quality, op6_decontaminate, op7_substrings, op8_pii, op9_neardup, op10_lines)}
-ORACLE: dict[str, str] = {"op4_knn": knn.ORACLE, "op10_lines": lines.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_langid, op3_packing, op4_knn, op5_quality, op6_decontaminate, op7_substrings, op8_pii, op9_neardup, op10_lines, op13_spelling)}
+ORACLE: dict[str, str] = {"op4_knn": knn.ORACLE, "op10_lines": lines.ORACLE, "op13_spelling": spelling.ORACLE}
