@@ -36,7 +36,12 @@ def expand(packed: bytes) -> np.ndarray:
     return np.cumsum(step, dtype=np.uint64)
 
 
-def dealt(docs: DataFrame, groups: int) -> DataFrame:
-    """The documents with their group's number `grp`, dealt out by it: rows of one doc_id together, rows without one by their text."""
+def numbered(docs: DataFrame, groups: int) -> DataFrame:
+    """The documents with their group's number `grp`: rows of one doc_id together, rows without one by their text."""
     number = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(groups))
-    return docs.withColumn("grp", number.cast("long")).repartition(groups, "grp")
+    return docs.withColumn("grp", number.cast("long"))
+
+
+def dealt(docs: DataFrame, groups: int) -> DataFrame:
+    """The same, dealt out by the number."""
+    return numbered(docs, groups).repartition(groups, "grp")

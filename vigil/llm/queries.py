@@ -18,7 +18,8 @@ from vigil.llm.pii import op8_pii
 from vigil.llm.quality import op5_quality
 from vigil.llm.spelling import op13_spelling
 from vigil.llm.substrings import op7_substrings
+from vigil.llm.suffixes import op11_suffixes
 from vigil.llm.toxicity import op1_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_langid, op3_packing, op4_knn, op5_quality, op6_decontaminate, op7_substrings, op8_pii, op9_neardup, op10_lines, op12_divergence, op13_spelling)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_langid, op3_packing, op4_knn, op5_quality, op6_decontaminate, op7_substrings, op8_pii, op9_neardup, op10_lines, op11_suffixes, op12_divergence, op13_spelling)}
 ORACLE: dict[str, str] = {"op4_knn": knn.ORACLE, "op10_lines": lines.ORACLE, "op12_divergence": divergence.ORACLE, "op13_spelling": spelling.ORACLE}
