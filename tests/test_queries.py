@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from vigil.functions import files, url
 from vigil.operators import history
+from vigil.plans import urls as plans_urls
 from vigil.plans.catalogue import ORACLE, QUERIES
 from vigil.sources import readers
 
@@ -54,7 +55,7 @@ def test_entry(spark):
 def scored(spark, urls):
     from vigil.operators import rules
 
-    rows = url.with_features(url.with_host(spark.createDataFrame(list(enumerate(urls)), "id long, url string")))
+    rows = url.with_features(url.with_host(spark.createDataFrame(list(enumerate(urls)), "id long, url string"), plans_urls.suffixes(spark)))
     got = rules.fused(rows, F.lit(0.0), spark.createDataFrame([], "registered string")).select("id", "risk_score", "threat_label").collect()
     return {urls[r.id]: (r.risk_score, r.threat_label) for r in got}
 
@@ -73,18 +74,35 @@ def test_typo_forms_score_alike(spark):
 
 
 def test_suffix_table(spark):
-    from vigil.plans import urls
-
-    want = {"http://a.co.th": ("a", "co.th"), "http://x.com.vn": ("x", "com.vn"), "x.nu": ("x", "nu"), "shop.any.ck": ("shop", "any.ck"), "any.ck": ("", "any.ck"), "www.ck": ("www", "ck"), "deep.www.ck": ("www", "ck"), "x.y.kawasaki.jp": ("x", "y.kawasaki.jp"), "www.city.kawasaki.jp": ("city", "kawasaki.jp"), "z.a.b.c.d.com": ("z", "a.b.c.d.com"), "b.c.d.com": ("d", "com"), "my.pages.dev": ("my", "pages.dev"), "x.unknownzone": ("unknownzone", ""), "1.2.3.4": ("1.2.3.4", "")}
+    want = {"http://a.co.th": ("a", "co.th"), "http://x.com.vn": ("x", "com.vn"), "x.nu": ("x", "nu"), "shop.any.ck": ("shop", "any.ck"), "any.ck": ("", "any.ck"), "www.ck": ("www", "ck"), "deep.www.ck": ("www", "ck"), "x.y.kawasaki.jp": ("x", "y.kawasaki.jp"), "www.city.kawasaki.jp": ("city", "kawasaki.jp"), "z.a.b.c.d.com": ("z", "a.b.c.d.com"), "b.c.d.com": ("d", "com"), "my.pages.dev": ("pages", "dev"), "x.unknownzone": ("unknownzone", ""), "1.2.3.4": ("1.2.3.4", ""), "w.x.one.two.three.four.five.org": ("w", "x.one.two.three.four.five.org"), "one.two.three.four.five.org": ("five", "org"), "http://a.b.co.th/login": ("b", "co.th"), "http://shop.com.vn": ("shop", "com.vn")}
     rows = spark.createDataFrame([(u,) for u in want], "url string")
-    rules = spark.createDataFrame([(r,) for r in urls.RULES], "rule string")
-    assert {r.url: (r.domain, r.suffix) for r in url.with_host(rows, rules).collect()} == want
+    assert {r.url: (r.domain, r.suffix) for r in url.with_host(rows, plans_urls.suffixes(spark)).collect()} == want
+
+
+def test_suffixes_by_a_table_of_any_length(spark):
+    """Ten thousand rules, the longest of nine labels, within an array; no rules at all."""
+    rules = [f"z{k}.zone" for k in range(10_000)] + ["a.b.c.d.e.f.g.h.zone"]
+    known = url.Suffixes(spark.createDataFrame([(r,) for r in rules], "rule string"))
+    hosts = ["x.z77.zone", "x.y.zone", "v.w.a.b.c.d.e.f.g.h.zone", ""]
+    rows = spark.createDataFrame([(hosts,)], "hosts array<string>")
+    assert rows.select(F.transform("hosts", known.registered)).first()[0] == ["x.z77.zone", "", "w.a.b.c.d.e.f.g.h.zone", ""]
+    assert rows.select(F.transform("hosts", url.Suffixes(spark.createDataFrame([], "rule string")).registered)).first()[0] == [""] * 4
+
+
+@pytest.mark.parametrize("name", ["url_rules_fused", "evidence_assembled", "page_evidence", "email_link_rollup"])
+def test_plans_compile(spark, sf, name):
+    """With the fallback off, generated code that does not compile is an error."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert QUERIES[name](spark, sf).collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
 
 
 def test_empty_and_null_urls(spark):
     got = scored(spark, ["", "!!!", "://", "http://", "a" * 5000])
     assert len(got) == 5
-    assert url.with_features(url.with_host(spark.createDataFrame([(1, None)], "id long, url string"))).count() == 1
+    assert url.with_features(url.with_host(spark.createDataFrame([(1, None)], "id long, url string"), plans_urls.suffixes(spark))).count() == 1
 
 
 def test_limiter_is_greedy(spark):
@@ -168,7 +186,7 @@ def test_mail_verdicts(spark):
         4: "Files attached: run.exe",
     }
     rows = spark.createDataFrame([*texts.items(), (5, None), (6, "x" * 1_000_001)], "id long, raw string")
-    got = {r.id: (r.threat_label, [x.title for x in r.explanations]) for r in mail.scan(rows, spark.createDataFrame([], "registered string")).collect()}
+    got = {r.id: (r.threat_label, [x.title for x in r.explanations]) for r in mail.scan(rows, spark.createDataFrame([], "registered string"), plans_urls.suffixes(spark)).collect()}
     assert {k: v[0] for k, v in got.items()} == {1: "Malicious", 2: "Safe", 3: "Malicious", 4: "Malicious"}
     assert got[2][1] == ["nothing_found"] and got[3][1] == ["bad_link", "no_headers"]
 
@@ -222,7 +240,7 @@ def test_site_features(spark):
         (3, "http://10.0.0.1/", "<!-- <form action='http://b.com'> --><script>netflix</script> xgrabx <form action=http://10.0.0.2/a>"),
         (4, None, None),
     ]
-    got = {r.id: (r.foreign_target, r.foreign_form, r.brand) for r in pages.with_site_features(spark.createDataFrame(rows, "id long, url string, html string")).collect()}
+    got = {r.id: (r.foreign_target, r.foreign_form, r.brand) for r in pages.with_site_features(spark.createDataFrame(rows, "id long, url string, html string"), plans_urls.suffixes(spark)).collect()}
     assert got == {1: ("evil.xyz", True, "paypal"), 2: (None, False, None), 3: (None, False, None), 4: (None, False, None)}
 
 

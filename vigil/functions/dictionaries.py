@@ -20,6 +20,3 @@ BRANDS = {
 FREE_HOSTING = ["pages.dev", "vercel.app", "netlify.app", "github.io", "web.app", "firebaseapp.com", "repl.co", "replit.app", "glitch.me", "workers.dev", "r2.dev", "cleverapps.io", "weebly.com", "weeblysite.com", "blogspot.com", "wixsite.com", "herokuapp.com", "000webhostapp.com", "serv00.net", "framer.app", "framer.website", "webflow.io", "surge.sh", "onrender.com", "azurewebsites.net", "pythonanywhere.com", "githubusercontent.com"]
 PATH_WORDS = ["login", "signin", "verify", "verification", "secure", "account", "update", "confirm", "password", "webscr", "wp-admin", "wp-login", "banking", "unlock", "suspended", "recovery", "authenticate"]
 FAKE_INNER_SUFFIXES = ["com", "net", "org", "co", "gov", "edu"]
-
-#: A default suffix table; callers pass a full public-suffix list of their own.
-SUFFIXES = sorted({*SUSPICIOUS_TLDS, *COMMON_TLDS, "uk", "am", "et", "im", "info", "biz", "us", "ru", "cn", "br", "com.br", "in", "co.in", "com.au", "ly", "gl", "gd", "st", "do", "gy", "me", "sh", "org.uk", "ac.uk", "com.sg", "sg", "my", "com.my", "kr", "co.kr", "co.jp", "eu", "tv", "cc", "pl", "tr", "com.tr", "za", "co.za", "mx", "com.mx", "link", "live", "shop", "store", "tech", "cloud", "ai", "ws"})

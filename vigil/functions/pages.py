@@ -153,12 +153,12 @@ def with_page_features(pages: DataFrame) -> DataFrame:
     ).drop("__tokens", "__marked", "__text", "__scripts")
 
 
-def with_site_features(pages: DataFrame) -> DataFrame:
+def with_site_features(pages: DataFrame, suffixes: U.Suffixes) -> DataFrame:
     """pages: url, html. Adds foreign_target (the first form target on another registered domain, else null), foreign_form, and brand (the first brand named as a whole word whose own domain is not the page's, else null). Addresses and hosts without a known suffix have no registered domain: they neither send to another one nor are one. Nulls count as empty."""
-    own = U.registered_or_none(L.host_of(U.normalised(F.col("url"))))
+    own = suffixes.registered(L.host_of(U.normalised(F.col("url"))))
     out = with_tokens(pages).withColumns({"__own": own, "__text": visible()})
     aims = F.filter(F.transform(tags("form"), lambda t: stripped(F.coalesce(attribute(t, "action"), F.lit("")))), lambda a: a.rlike("^https?://"))
-    targets = F.transform(aims, lambda x: U.registered_or_none(L.host_of(x)))
+    targets = F.transform(aims, lambda x: suffixes.registered(L.host_of(x)))
     named = F.coalesce(*(F.when(F.col("__text").rlike(f"(?<![a-z0-9]){b}(?![a-z0-9])") & (F.col("__own") != official), b) for b, official in D.BRANDS.items()))
     out = out.withColumns({"foreign_target": F.get(F.filter(targets, lambda x: (x != "") & (F.col("__own") != "") & (x != F.col("__own"))), F.lit(0)), "brand": named})
     return out.withColumn("foreign_form", F.col("foreign_target").isNotNull()).drop("__own", "__tokens", "__marked", "__text")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from vigil.functions import dictionaries as D
 
 TYPO_LENGTH, FAR = 6, 3
-LONGEST_RULE, MOST_RULES = 5, 100_000
+MOST_RULES = 100_000
+PLAIN, WILD, LEFT_OUT = 1, 2, 4
 
 
 def normalised(url: Column) -> Column:
@@ -34,64 +36,74 @@ def reject_reason(url: Column) -> Column:
     return F.when(F.length(F.coalesce(url, F.lit(""))) > 2048, "too long").when(text == "", "empty").when(~fine, "no host")
 
 
-def with_longest_suffix(hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Adds suffix by a public-suffix table (column rule): the longest rule that fits, `*.x` for any one label before x, `!y.x` for a name that a wildcard leaves out. Empty where no rule fits.
+class Suffixes:
+    """A public-suffix table: a name is a suffix, `*.x` makes one of any label before x, `!y.x` leaves y.x out of that.
 
-    Every level of labels is one left join with the table by name, so a table of any
-    length costs the same few lookups. It is broadcast up to MOST_RULES rows, beyond
-    them Spark chooses the join.
+    The rules travel as one literal: an array of small maps, a rule found by the hash of
+    its name. So a suffix is an expression that works on any host, also within arrays.
+    Tables of up to MOST_RULES rules (the public list has about 10,000).
     """
-    rule = F.lower(F.trim("rule"))
-    names = rules.where(rule != "").groupBy(F.regexp_replace(rule, r"^(!|\*\.)", "").alias("__name")).agg(F.max(~rule.rlike(r"^(!|\*\.)")).alias("plain"), F.max(rule.startswith("*.")).alias("wild"), F.max(rule.startswith("!")).alias("left_out"))
-    names = names.select("__name", F.struct("plain", "wild", "left_out").alias("__rule"))
-    small = names.limit(MOST_RULES + 1).count() <= MOST_RULES
-    last = lambda n: F.substring_index("host", ".", -n)
-    labels = F.regexp_count("host", F.lit(r"\.")) + 1
-    out = hosts
-    for n in range(1, LONGEST_RULE + 1):
-        level = names.withColumnsRenamed({"__name": f"__name{n}", "__rule": f"__rule{n}"})
-        out = out.join(F.broadcast(level) if small else level, F.when((labels >= n) & ~F.col("is_ip"), last(n)) == F.col(f"__name{n}"), "left").drop(f"__name{n}")
-    is_ = lambda n, x: F.col(f"__rule{n}")[x]
-    levels = range(LONGEST_RULE, 0, -1)
-    kept = [F.when(is_(n, "left_out"), last(n - 1)) for n in levels if n > 1]
-    for n in levels:
-        kept += [F.when(is_(n, "wild") & (labels > n), last(n + 1)), F.when(is_(n, "plain"), last(n))]
-    return out.withColumn("suffix", F.coalesce(*kept, F.lit(""))).drop(*(f"__rule{n}" for n in levels))
-
-
-def with_host(urls: DataFrame, suffixes: Sequence[str] | DataFrame = D.SUFFIXES) -> DataFrame:
-    """Adds text, authority, host and its split in subdomain, domain, suffix, registered (host where there is no suffix) and checked. suffixes: plain names, or a table for `with_longest_suffix`."""
+
+    def __init__(self, rules: DataFrame):
+        rule = F.lower(F.trim("rule"))
+        kind = F.when(rule.startswith("!"), LEFT_OUT).when(rule.startswith("*."), WILD).otherwise(PLAIN)
+        names = rules.where(rule != "").select(F.regexp_replace(rule, r"^(!|\*\.)", "").alias("name"), kind.alias("kind")).distinct().groupBy("name").agg(F.sum("kind").alias("kind"))
+        rows = names.select("name", "kind", F.hash("name").alias("at"), F.regexp_count("name", F.lit(r"\.")).alias("dots")).limit(MOST_RULES + 1).collect()
+        if len(rows) > MOST_RULES:
+            raise ValueError(f"a suffix table has {MOST_RULES} rules at most")
+        self.slots = max(1, len(rows) // 4)
+        self.longest = max((r.dots + 1 for r in rows), default=0)
+        slots: list[dict[str, int]] = [{} for _ in range(self.slots)]
+        for r in rows:
+            slots[r["at"] % self.slots][r["name"]] = r["kind"]
+        self.table = F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
+
+    def of(self, host: Column) -> Column:
+        """The longest suffix of a host; empty where no rule fits. A name that is left out of a wildcard decides, whatever else fits."""
+        labels = F.regexp_count(host, F.lit(r"\.")) + 1
+
+        def reach(n: Column) -> Column:
+            """How many labels a rule for the last n makes a suffix; a thousand more for one that is left out."""
+            name = F.call_function("substring_index", host, F.lit("."), -n)
+            kind = F.coalesce(F.get(self.table, F.pmod(F.hash(name), F.lit(self.slots)))[name], F.lit(0))
+            has = lambda k: kind.bitwiseAND(k) > 0
+            return F.when(has(LEFT_OUT), 999 + n).when(has(WILD) & (labels > n), n + 1).when(has(PLAIN), n).otherwise(0)
+
+        best = F.array_max(F.transform(F.sequence(F.lit(1), F.least(labels, F.lit(max(self.longest, 1)))), reach))
+        return F.get(F.transform(F.array(best), lambda n: F.when(n == 0, "").otherwise(F.call_function("substring_index", host, F.lit("."), -(n % 1000)))), F.lit(0))
+
+    def split(self, host: Column) -> Column:
+        """A host as a struct of is_ip, suffix, domain, subdomain, registered (domain and suffix, empty where one is) and checked (subdomain and domain)."""
+        left = lambda text, less: F.left(text, F.greatest(F.length(text) - F.length(less) - 1, F.lit(0)))
+        once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  names a value for what reads it often
+
+        def parts(x: Column) -> Column:
+            before = F.when(x["suffix"] == "", x["host"]).otherwise(left(x["host"], x["suffix"]))
+            return once(F.struct(before.alias("before"), F.when(x["is_ip"], x["host"]).otherwise(F.substring_index(before, ".", -1)).alias("domain")), lambda y: whole(x, y))
+
+        def whole(x: Column, y: Column) -> Column:
+            subdomain = F.when(x["is_ip"], "").otherwise(left(y["before"], y["domain"]))
+            registered = F.when((x["suffix"] != "") & (y["domain"] != ""), F.concat_ws(".", y["domain"], x["suffix"])).otherwise("")
+            checked = F.when(subdomain != "", F.concat_ws(".", subdomain, y["domain"])).otherwise(y["domain"])
+            return F.struct(x["is_ip"].alias("is_ip"), x["suffix"].alias("suffix"), y["domain"].alias("domain"), subdomain.alias("subdomain"), registered.alias("registered"), checked.alias("checked"))
+
+        is_ip = host.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$")
+        return once(F.struct(host.alias("host"), is_ip.alias("is_ip"), F.when(is_ip, "").otherwise(self.of(host)).alias("suffix")), parts)
+
+    def registered(self, host: Column) -> Column:
+        """Registered domain of a host; empty where it has no known suffix or is an address."""
+        return F.coalesce(self.split(host)["registered"], F.lit(""))
+
+
+def with_host(urls: DataFrame, suffixes: Suffixes) -> DataFrame:
+    """Adds text, authority, host and what `Suffixes.split` makes of it."""
     out = urls.withColumn("text", normalised(F.col("url")))
     out = out.withColumn("authority", F.regexp_replace(F.regexp_extract("text", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), r"^.*@", ""))
     out = out.withColumn("host", F.lower(F.substring_index("authority", ":", 1)))
-    out = out.withColumn("is_ip", F.col("host").rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$"))
-    if isinstance(suffixes, DataFrame):
-        out = with_longest_suffix(out, suffixes)
-    else:
-        last = lambda n: F.substring_index("host", ".", -n)
-        known = lambda n: last(n).isin(*suffixes)
-        out = out.withColumn("suffix", F.when(F.col("is_ip"), "").when(known(3), last(3)).when(known(2), last(2)).when(known(1), last(1)).otherwise(""))
-    before = F.when(F.col("suffix") == "", F.col("host")).otherwise(F.expr("left(host, greatest(length(host) - length(suffix) - 1, 0))"))
-    out = out.withColumn("before", before)
-    out = out.withColumn("domain", F.when(F.col("is_ip"), F.col("host")).otherwise(F.substring_index("before", ".", -1)))
-    out = out.withColumn("subdomain", F.expr("left(before, greatest(length(before) - length(domain) - 1, 0))"))
-    out = out.withColumn("registered", F.when((F.col("suffix") != "") & (F.col("domain") != ""), F.concat_ws(".", "domain", "suffix")).otherwise(F.col("host")))
-    return out.withColumn("checked", F.when(F.col("subdomain") != "", F.concat_ws(".", "subdomain", "domain")).otherwise(F.col("domain"))).drop("before")
-
-
-def registered_of(host: Column, suffixes: Sequence[str] = D.SUFFIXES) -> Column:
-    """Registered domain of a host as one expression, for use inside arrays; the host itself where it has no known suffix or is an address."""
-    last = lambda n: F.substring_index(host, ".", -n)
-    suffix = F.coalesce(*(F.when(last(n).isin(*suffixes) & (last(n) != host), last(n)) for n in (3, 2, 1)))
-    before = F.left(host, F.length(host) - F.length(suffix) - 1)
-    address = host.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$")
-    return F.when(address | suffix.isNull(), host).otherwise(F.concat(F.substring_index(before, ".", -1), F.lit("."), suffix))
-
-
-def registered_or_none(host: Column, suffixes: Sequence[str] = D.SUFFIXES) -> Column:
-    """Registered domain of a host; empty where it has no known suffix or is an address."""
-    found = registered_of(host, suffixes)
-    return F.when((found == host) & (host.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$") | ~F.coalesce(*(F.when(F.substring_index(host, ".", -n).isin(*suffixes) & (F.substring_index(host, ".", -n) != host), F.lit(True)) for n in (3, 2, 1)), F.lit(False))), "").otherwise(found)
+    out = out.withColumn("__parts", suffixes.split(F.col("host")))
+    # a host is never null, and columns that say so draw no filters on themselves into the plan
+    part = {k: F.coalesce(F.col("__parts")[k], F.lit("")) for k in ("suffix", "domain", "subdomain", "registered", "checked")}
+    return out.withColumns({"is_ip": F.coalesce(F.col("__parts")["is_ip"], F.lit(False)), **part}).drop("__parts")
 
 
 def entropy(text: Column) -> Column:

@@ -23,7 +23,7 @@ ANSWERS = {
 
 def ssrf_literal_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = spark.createDataFrame([(-1000 - k, s) for k, s in enumerate([*SEEDS, *ANSWERS])], "id long, url string")
-    rows = U.with_host(urls.inputs(spark, sf_dir).unionByName(seeds))
+    rows = U.with_host(urls.inputs(spark, sf_dir).unionByName(seeds), urls.suffixes(spark))
     return rows.select("id", G.blocked(rows).alias("blocked"))
 
 

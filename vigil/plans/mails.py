@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions import mail as M
 from vigil.operators import mail as E
+from vigil.plans import urls
 from vigil.plans.urls import FUSED_SQL, SOURCE_SQL
 
 # from_name, from_addr, reply_to, return_path, subject, body tail
@@ -66,7 +67,7 @@ def email_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def email_link_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = E.scored(_features(spark, sf_dir), _allowed(spark))
+    out = E.scored(_features(spark, sf_dir), _allowed(spark), urls.suffixes(spark))
     return out.select("id", "n_scored", "worst.url", F.col("worst.score").alias("link_score"), "risk_score", "threat_label", F.array_join(F.transform("explanations", lambda x: x["title"]), ",").alias("titles"))
 
 
@@ -75,7 +76,7 @@ def email_parse_mime(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def email_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.scan(raw_inputs(spark, sf_dir), _allowed(spark)).select("id", "risk_score", "threat_label", F.array_join(F.transform("rules", lambda x: x["name"]), ",").alias("rules_fired"))
+    return E.scan(raw_inputs(spark, sf_dir), _allowed(spark), urls.suffixes(spark)).select("id", "risk_score", "threat_label", F.array_join(F.transform("rules", lambda x: x["name"]), ",").alias("rules_fired"))
 
 
 _q = lambda x: "'" + x.replace("'", "''") + "'"

@@ -69,7 +69,7 @@ _SHOWN = "<p>Your PayPal account</p>"
 def page_site_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.concat("html", _piece([*SNIPPETS, _SHOWN])).alias("html"))
     sites = spark.createDataFrame([(-1 - k, u, h) for k, (u, h, _, _) in enumerate(SITES)], "page_id long, url string, html string")
-    return P.with_site_features(pages.unionByName(sites)).select("page_id", "foreign_target", "foreign_form", "brand")
+    return P.with_site_features(pages.unionByName(sites), urls.suffixes(spark)).select("page_id", "foreign_target", "foreign_form", "brand")
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:

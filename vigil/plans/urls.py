@@ -16,13 +16,21 @@ _list = lambda xs: "(" + ", ".join(map(_quote, xs)) + ")"
 SOURCE_SQL = "SELECT page_id AS id, url FROM pages UNION ALL SELECT CAST(id AS BIGINT), url FROM (VALUES " + ", ".join(f"({-1 - k}, {_quote(s)})" for k, s in enumerate(SEEDS)) + ") AS seeds(id, url)"
 
 
+# A table of public suffixes with wildcards and exceptions.
+RULES = sorted({*D.SUSPICIOUS_TLDS, *D.COMMON_TLDS, "uk", "am", "et", "im", "info", "biz", "us", "ru", "cn", "br", "com.br", "in", "co.in", "com.au", "ly", "gl", "gd", "st", "do", "gy", "me", "sh", "org.uk", "ac.uk", "com.sg", "sg", "my", "com.my", "kr", "co.kr", "co.jp", "eu", "tv", "cc", "pl", "tr", "com.tr", "za", "co.za", "mx", "com.mx", "link", "live", "shop", "store", "tech", "cloud", "ai", "ws", "th", "co.th", "vn", "com.vn", "nu", "ck", "*.ck", "!www.ck", "*.kawasaki.jp", "!city.kawasaki.jp", "a.b.c.d.com", "x.one.two.three.four.five.org", " DEV "})
+
+
+def suffixes(spark: SparkSession) -> U.Suffixes:
+    return U.Suffixes(spark.createDataFrame([(r,) for r in RULES], "rule string"))
+
+
 def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = spark.createDataFrame([(-1 - k, s) for k, s in enumerate(SEEDS)], "id long, url string")
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("id"), "url").unionByName(seeds)
 
 
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.with_host(inputs(spark, sf_dir))
+    return U.with_host(inputs(spark, sf_dir), suffixes(spark))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,12 +46,14 @@ named AS (SELECT id, url, CASE WHEN t = '' THEN '' WHEN regexp_matches(t, '^[a-z
 auth AS (SELECT *, regexp_replace(regexp_extract(text, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1), '^.*@', '') AS authority FROM named),
 host AS (SELECT *, lower(split_part(authority, ':', 1)) AS host FROM auth),
 ip AS (SELECT *, regexp_matches(host, '^([0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}$') AS is_ip, string_split(host, '.') AS p FROM host),
-cut AS (SELECT *, array_to_string(p[-3:], '.') AS l3, array_to_string(p[-2:], '.') AS l2, p[-1] AS l1 FROM ip),
-suf AS (SELECT *, CASE WHEN is_ip THEN '' WHEN l3 IN {_list(D.SUFFIXES)} THEN l3 WHEN l2 IN {_list(D.SUFFIXES)} THEN l2 WHEN l1 IN {_list(D.SUFFIXES)} THEN l1 ELSE '' END AS suffix FROM cut),
+rules AS (SELECT lower(trim(unnest([{", ".join(map(_quote, RULES))}]))) AS rule),
+tails AS (SELECT id, n, array_to_string(p[-n:], '.') AS tail, array_to_string(p[-n:][2:], '.') AS rest FROM ip, range(1, 8) AS r(n) WHERE n <= len(p) AND NOT is_ip),
+found AS (SELECT id, tail AS suffix, n, 0 AS special FROM tails JOIN rules ON rule = tail UNION ALL SELECT id, tail, n, 0 FROM tails JOIN rules ON n > 1 AND rule = '*.' || rest UNION ALL SELECT id, rest, n, 1 FROM tails JOIN rules ON rule = '!' || tail),
+suf AS (SELECT ip.*, coalesce(f.suffix, '') AS suffix FROM ip LEFT JOIN (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY id ORDER BY special DESC, n DESC) = 1) f USING (id)),
 bef AS (SELECT *, CASE WHEN suffix = '' THEN host ELSE left(host, greatest(length(host) - length(suffix) - 1, 0)) END AS bef FROM suf),
 dom AS (SELECT *, CASE WHEN is_ip THEN host ELSE string_split(bef, '.')[-1] END AS domain FROM bef),
 sub AS (SELECT *, left(bef, greatest(length(bef) - length(domain) - 1, 0)) AS subdomain FROM dom),
-hosts AS (SELECT id, url, text, authority, host, is_ip, suffix, domain, subdomain, CASE WHEN suffix <> '' AND domain <> '' THEN domain || '.' || suffix ELSE host END AS registered,
+hosts AS (SELECT id, url, text, authority, host, is_ip, suffix, domain, subdomain, CASE WHEN suffix <> '' AND domain <> '' THEN domain || '.' || suffix ELSE '' END AS registered,
   CASE WHEN subdomain <> '' THEN subdomain || '.' || domain ELSE domain END AS checked FROM sub)"""
 
 
@@ -69,15 +79,13 @@ def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts(spark, sf_dir).select("id", "text", "host", "subdomain", "domain", "suffix", "registered")
 
 
-# A table of public suffixes with wildcards and exceptions, and hosts that tell its rules apart.
-RULES = ["com", "net", "org", "uk", "co.uk", "id", "co.id", "th", "co.th", "vn", "com.vn", "nu", "ck", "*.ck", "!www.ck", "jp", "*.kawasaki.jp", "!city.kawasaki.jp", "a.b.c.d.com", " DEV ", "pages.dev", "am"]
-SUFFIX_SEEDS = ["http://a.co.th", "http://x.com.vn", "x.nu", "shop.any.ck", "any.ck", "ck", "www.ck", "deep.www.ck", "x.y.kawasaki.jp", "www.city.kawasaki.jp", "kawasaki.jp", "z.a.b.c.d.com", "b.c.d.com", "my.pages.dev", "pages.dev", "co.uk", "x.unknownzone", "com.am"]
+# Hosts that tell its rules apart; the answers of some by hand.
+SUFFIX_SEEDS = ["http://a.co.th", "http://x.com.vn", "x.nu", "shop.any.ck", "any.ck", "ck", "www.ck", "deep.www.ck", "x.y.kawasaki.jp", "www.city.kawasaki.jp", "kawasaki.jp", "z.a.b.c.d.com", "b.c.d.com", "my.pages.dev", "pages.dev", "co.uk", "x.unknownzone", "com.am", "w.x.one.two.three.four.five.org", "one.two.three.four.five.org", "http://a.b.co.th/login", "shop.com.vn"]
 
 
 def url_public_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-2000 - k, s) for k, s in enumerate(SUFFIX_SEEDS)], "id long, url string")
-    rules = spark.createDataFrame([(r,) for r in RULES], "rule string")
-    return U.with_host(inputs(spark, sf_dir).unionByName(more), rules).select("id", "host", "subdomain", "domain", "suffix", "registered")
+    return U.with_host(inputs(spark, sf_dir).unionByName(more), suffixes(spark)).select("id", "host", "subdomain", "domain", "suffix", "registered")
 
 
 def url_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +113,7 @@ def url_keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    allowed = inputs(spark, sf_dir).where("id >= 0").transform(U.with_host).where("registered < 'm'").select("registered").unionByName(spark.createDataFrame([("google.com",), ("plain.icu",), ("ff.garena.com",)], "registered string"))
+    allowed = hosts(spark, sf_dir).where("id >= 0 and registered > '' and registered < 'm'").select("registered").unionByName(spark.createDataFrame([("google.com",), ("plain.icu",), ("ff.garena.com",)], "registered string"))
     return R.fused(features(spark, sf_dir), F.pmod(F.col("id") * 37, F.lit(100)) / 100, allowed)
 
 
@@ -136,7 +144,7 @@ _RULES = [
 FUSED_SQL = rf"""{FEATURES_SQL},
 paths AS (SELECT *, string_split(lower(text), '//')[-1] AS tail FROM features),
 pathed AS (SELECT *, CASE WHEN contains(tail, '/') THEN substr(tail, instr(tail, '/')) ELSE '' END AS path FROM paths),
-allowed AS (SELECT DISTINCT registered FROM hosts WHERE id >= 0 AND registered < 'm' UNION SELECT unnest(['google.com', 'plain.icu', 'ff.garena.com'])),
+allowed AS (SELECT DISTINCT registered FROM hosts WHERE id >= 0 AND registered > '' AND registered < 'm' UNION SELECT unnest(['google.com', 'plain.icu', 'ff.garena.com'])),
 ruled AS (SELECT *, registered IN (SELECT registered FROM allowed) AS allowlisted,
   list_filter([{", ".join(f"CASE WHEN {c} THEN {{'o': {k}, 'w': CAST({w} AS DOUBLE), 'n': '{n}'}} END" for k, (n, c, w) in enumerate(_RULES))}], lambda x: x IS NOT NULL) AS r,
   CAST(((id * 37) % 100 + 100) % 100 AS DOUBLE) / 100 AS ml FROM pathed),
@@ -145,12 +153,7 @@ final AS (SELECT *, round(CAST(CASE WHEN allowlisted AND rule_score < 0.40 THEN
 
 
 _SUFFIX_SOURCE = SOURCE_SQL + " UNION ALL SELECT CAST(id AS BIGINT), url FROM (VALUES " + ", ".join(f"({-2000 - k}, {_quote(s)})" for k, s in enumerate(SUFFIX_SEEDS)) + ") AS more(id, url)"
-_TABLE = f"""rules AS (SELECT lower(trim(unnest([{", ".join(map(_quote, RULES))}]))) AS rule),
-tails AS (SELECT id, n, array_to_string(p[-n:], '.') AS tail, array_to_string(p[-n:][2:], '.') AS rest FROM ip, range(1, 8) AS r(n) WHERE n <= len(p) AND NOT is_ip),
-found AS (SELECT id, tail AS suffix, n, 0 AS special FROM tails JOIN rules ON rule = tail UNION ALL SELECT id, tail, n, 0 FROM tails JOIN rules ON n > 1 AND rule = '*.' || rest UNION ALL SELECT id, rest, n, 1 FROM tails JOIN rules ON rule = '!' || tail),
-suf AS (SELECT ip.*, coalesce(f.suffix, '') AS suffix FROM ip LEFT JOIN (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY id ORDER BY special DESC, n DESC) = 1) f USING (id)),"""
 _BY_TABLE = HOSTS_SQL.replace(SOURCE_SQL, _SUFFIX_SOURCE)
-_BY_TABLE = _BY_TABLE[: _BY_TABLE.index("cut AS (")] + _TABLE + _BY_TABLE[_BY_TABLE.index("\nbef AS (") :]
 ORACLE = {
     "url_public_suffix": f"WITH {_BY_TABLE} SELECT id, host, subdomain, domain, suffix, registered FROM hosts",
     "url_hosts": f"WITH {HOSTS_SQL} SELECT id, text, host, subdomain, domain, suffix, registered FROM hosts",
