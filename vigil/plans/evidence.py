@@ -51,8 +51,8 @@ def dataset_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BLOCKED = """blocked AS (SELECT id, regexp_extract(text, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1) AS scheme, TRY_CAST(regexp_extract(authority, ':([0-9]+)$', 1) AS INTEGER) AS port FROM hosts),
 """
-_GUARD = f"""r AS (SELECT h.id, registered AS domain, CASE WHEN lower(scheme) NOT IN ('http', 'https') THEN 'scheme' WHEN host = '' THEN 'host' WHEN contains(authority, ':') AND (port IS NULL OR port NOT IN ({", ".join(map(str, G.PORTS))})) THEN 'port'
-  WHEN host = 'localhost' OR starts_with(host, '192.168.') OR starts_with(host, '999.') THEN 'not public' END AS blocked FROM hosts h JOIN blocked b USING (id)),
+_GUARD = rf"""r AS (SELECT h.id, registered AS domain, CASE WHEN lower(scheme) NOT IN ('http', 'https') THEN 'scheme' WHEN host = '' THEN 'host' WHEN contains(authority, ':') AND (port IS NULL OR port NOT IN ({", ".join(map(str, G.PORTS))})) THEN 'port'
+  WHEN host = 'localhost' OR starts_with(host, '192.168.') OR starts_with(host, '999.') THEN 'not public' WHEN NOT is_ip AND NOT regexp_matches(host, '^[a-z0-9_\-\p{{L}}\p{{M}}]+(\.[a-z0-9_\-\p{{L}}\p{{M}}]+)*$') THEN 'host' END AS blocked FROM hosts h JOIN blocked b USING (id)),
 """
 _PARTS = "CASE WHEN length(domain) > 12 THEN length(domain) * 100 END AS age_days, CASE WHEN length(domain) % 3 <> 0 THEN '9.9.9.' || length(domain) END AS ip, length(domain) % 2 = 0 AS has_certificate"
 _ASSEMBLED = f"""{urls.HOSTS_SQL}, {_BLOCKED} {_GUARD}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.sources import scratch
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -21,11 +22,7 @@ def stream_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs the stream over what is there and returns its final state: one row a window and label, which is all that the memory sink holds on the driver."""
     events = spark.readStream.schema(SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     name = f"labels_{uuid.uuid4().hex}"
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    shared = shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp")  # a local master is one machine
-    query = windowed_labels(events).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared.rstrip('/')}/{name}").trigger(availableNow=True).start()
+    query = windowed_labels(events).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{scratch.shared_folder(spark)}/{name}").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "threat_label", "n")
 
