@@ -403,36 +403,71 @@ def test_toxicity(spark, empty):
 
 
 def brute_evidence(rows, toxic):
-    """Evidence of each document by a plain model over dictionaries; rows: (id, text); toxic: label by id."""
+    """Mean evidence of each document by a plain model over dictionaries; rows: (id, text); toxic: label by id."""
     lower = {k: k + 32 for k in range(65, 91)}
     split = lambda t: re.findall(r"[a-z\x80-\U0010ffff]+", (t or "").translate(lower))
-    side = lambda w: int(common.byte_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0] >> np.uint64(58)) if w else 0
-    count, contexts = [defaultdict(int), defaultdict(int)], defaultdict(set)
+    count = [defaultdict(int), defaultdict(int)]  # (history or "", word); "^" before a first word
     for i, t in rows:
         if i in toxic and t is not None:
             w = split(t)
-            for before, x in zip(["", *w], w):
+            for x in {*(("", x) for x in w), *zip(["^", *w], w)}:
                 count[toxic[i]][x] += 1
-                contexts[x].add(side(before))
-    count = [dict(c) for c in count]
-    d, total = toxicity.DISCOUNT, [sum(c.values()) for c in count]
-    among = sum(map(len, contexts.values()))
-
-    def evidence(x):
-        if x not in contexts:
+    deviations = (2 * np.log(min(sum(toxic.values()), len(toxic) - sum(toxic.values())))) ** 0.5
+    every = set(count[0]) | set(count[1])
+    total = [defaultdict(int), defaultdict(int)]
+    after, before = defaultdict(int), defaultdict(int)
+    for h, x in every:
+        after[h] += 1
+        before[x] += h != ""
+        for c in (0, 1):
+            total[c][h] += count[c].get((h, x), 0)
+    among, types = sum(before.values()), len(before)
+    shared = lambda x: (max(before.get(x, 0) - 0.75, 0) + 0.75 * types / (types + 1)) / among
+
+    def excess(c, h, x):
+        own, n, t = count[c].get((h, x), 0), count[0].get((h, x), 0) + count[1].get((h, x), 0), total[0][h] + total[1][h]
+        if not total[c][h]:
             return 0.0
-        shared = (len(contexts[x]) - d + d * len(contexts) / (len(contexts) + 1)) / among
-        p = [(max(c.get(x, 0) - d, 0) + d * len(c) * shared) / n for c, n in zip(count, total)]
+        r = total[c][h] / t
+        return max(own - r * n - deviations * (r * n * (1 - r)) ** 0.5 - (1.0 if h else 0.75), 0) / total[c][h]
+
+    freed = [defaultdict(lambda: 1.0), defaultdict(lambda: 1.0)]
+    for h, x in every:
+        for c in (0, 1):
+            if (e := excess(c, h, x)) > 0:
+                freed[c][h] -= e
+    raised = lambda c, x: excess(c, "", x) / shared(x) + freed[c][""]
+
+    def evidence(h, x):
+        if x not in before:
+            return float(np.log(freed[1][""] / freed[0][""]) + np.log(freed[1][h] / freed[0][h]))
+        n, t = count[0].get((h, x), 0) + count[1].get((h, x), 0), total[0][h] + total[1][h]
+        back = (max(n - 0.75, 0) + 0.75 * after[h] * shared(x)) / t if t else shared(x)
+        p = [excess(c, h, x) + freed[c][h] * back * raised(c, x) for c in (0, 1)]
         return float(np.log(p[1] / p[0]))
 
-    out = {}
-    for i, t in rows:
-        each = np.array([evidence(x) for x in split(t)] or [0.0])
-        out[i] = (each.mean(), np.mean(np.maximum(each, 0) ** 3) ** (1 / 3))
-    return out
+    return {i: float(np.mean([evidence(h, x) for h, x in zip(["^", *split(t)], split(t))] or [0.0])) for i, t in rows}
 
 
-@pytest.mark.parametrize("frequent", [1 << 18, 50])
+def test_toxicity_of_words_side_by_side(spark):
+    """Two words that both classes have alike, side by side in toxic texts alone: only pairs can tell."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for k in range(600):
+        w = rng.choices(WORDS, k=rng.randint(20, 60))
+        for _ in range(3):
+            at = rng.randrange(len(w) - 6)
+            w[at:at] = ["alpha", "omega"] if k % 2 else ["alpha", *rng.choices(WORDS, k=2), "omega"]
+        rows.append((k, " ".join(w)))
+        labels.append((k, k % 2))
+    docs, labelled_ = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, labelled_)).toPandas()
+    held = got[[zlib.crc32(str(k).encode()) % 5 == 0 for k in got.doc_id]]
+    bad, fine = (held.mean_evidence[held.doc_id % 2 == c].to_numpy() for c in (1, 0))
+    assert np.mean(bad[:, None] > fine) > 0.97
+
+
+@pytest.mark.parametrize("frequent", [1 << 18, 5])
 def test_toxicity_against_a_plain_model(spark, sf, monkeypatch, frequent):
     """Evidence and score, with the whole model broadcast and with most of it joined."""
     monkeypatch.setattr(toxicity, "FREQUENT", frequent)
@@ -442,10 +477,10 @@ def test_toxicity_against_a_plain_model(spark, sf, monkeypatch, frequent):
     toxic = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     expected, got = brute_evidence(rows, toxic), toxicity.score(docs, model).collect()
-    assert len(got) == len(rows) and model.whole == (frequent > 50)
+    assert len(got) == len(rows) and model.whole == (frequent > 5)
     for r in got:
-        assert (r.mean_evidence, r.toxic_evidence) == pytest.approx(expected[r.doc_id], abs=1e-5)
-        assert r.score == pytest.approx(1 / (1 + np.exp(-(model.weights @ [1, r.mean_evidence, r.toxic_evidence]))), abs=1e-9)
+        assert r.mean_evidence == pytest.approx(expected[r.doc_id], abs=1e-5)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(model.weights @ [1, r.mean_evidence]))), abs=1e-9)
     kept = {r.doc_id for r in toxicity.stage(spark, docs, sf).collect()}
     assert kept == {r.doc_id for r in got if r.score < 0.5} and docs.count() > len(kept)
 
@@ -460,7 +495,7 @@ def test_toxicity_with_few_labels_on_one_side(spark, few, apart, count):
     model = toxicity.fit(table, labels.where(F.col("toxic") == 1 - few).unionByName(rare))
     got = toxicity.score(table, model).where("doc_id < 400").toPandas()
     toxic = got.doc_id % 4 == 0
-    assert got.score.nunique() > 100
+    assert got.score.nunique() > 1  # texts without a telling expression are alike
     assert few == 0 or np.mean(got.score[toxic].to_numpy()[:, None] > got.score[~toxic].to_numpy()) > 0.95
 
 

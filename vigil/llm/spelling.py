@@ -181,7 +181,7 @@ def alphabet_of(plain: int, accented: int) -> np.ndarray:
     return np.array([b for k, b in enumerate(LETTERS) if bits >> k & 1], np.uint8)
 
 
-def _bits(words: DataFrame, count: int) -> tuple[np.ndarray, int]:
+def bit_array(words: DataFrame, count: int) -> tuple[np.ndarray, int]:
     """A bit array with two bits of each name: the bitmaps of Spark's bitmap aggregate, side by side."""
     size = min(FILTER_BITS, max(1 << 16, 1 << (16 * count).bit_length()))
     at = F.explode(F.array(F.col("x").bitwiseAND(size - 1) + 1, F.shiftrightunsigned("x", 32).bitwiseAND(size - 1) + 1))  # bucket 1 holds positions from 1 on
@@ -192,7 +192,7 @@ def _bits(words: DataFrame, count: int) -> tuple[np.ndarray, int]:
     return held.reshape(-1), size
 
 
-def _passes(held: np.ndarray, size: int):
+def passes(held: np.ndarray, size: int):
     def one(at: np.ndarray) -> np.ndarray:
         return held[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
 
@@ -206,14 +206,14 @@ def _passes(held: np.ndarray, size: int):
 
 def _candidates(alphabet: np.ndarray, filter_bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = _passes(*filter_bits.value)
+        within = passes(*filter_bits.value)
         for batch in batches:
             words = [w.encode("latin-1") for w in batch.column("word").to_pylist()]
             for a, b in chunks(words) if words else ():
                 own = Words(words[a:b])
                 word, x, y = own.deletions()
-                ok = passes(x)
-                made = [(word[ok], x[ok], y[ok]), *own.written_in(alphabet, False, passes), *own.written_in(alphabet, True, passes)]
+                ok = within(x)
+                made = [(word[ok], x[ok], y[ok]), *own.written_in(alphabet, False, within), *own.written_in(alphabet, True, within)]
                 word, x, y = (np.concatenate(k) for k in zip(*made, strict=True))
                 rows = batch.slice(a, b - a).take(pa.array(word))
                 yield pa.RecordBatch.from_arrays([rows.column("word"), rows.column("n"), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["word", "n", "x", "y"])
@@ -227,7 +227,7 @@ def near_words(words: DataFrame) -> DataFrame:
     named = common.written(words.select("word", "n").mapInArrow(_named, "word string, n long, x long, y long, plain long, accented long"))
     count, plain, accented = named.agg(F.count("*"), F.coalesce(F.bit_or("plain"), F.lit(0)), F.coalesce(F.bit_or("accented"), F.lit(0))).first()
     alphabet = alphabet_of(plain, accented)
-    bits = spark.sparkContext.broadcast(_bits(named, count))
+    bits = spark.sparkContext.broadcast(bit_array(named, count))
     # neighbourhoods are much larger than their words: as many tasks as a shuffle has
     spread = named.select("word", "n").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word")
     made = spread.mapInArrow(_candidates(alphabet, bits), "word string, n long, x long, y long")

@@ -1,25 +1,30 @@
-"""Toxicity by two class-conditional Kneser-Ney models over words.
-
-Each class has a model of its own: the count of a word in the class's labelled rows
-less a discount, and the freed mass spread by backoff counts that both classes share:
-in how many of 64 classes of preceding words a word occurs anywhere. A rare word so
-backs off to the same estimate under either class and does not tilt the comparison.
-
-    P(w | class) = (max(n(w) - D, 0) + D * kinds * shared(w)) / total
-    shared(w)    = (max(contexts(w) - D, 0) + D * words / (words + 1)) / sum of contexts
-
-A word's evidence is log P(w | toxic) - log P(w | ordinary); a word that no labelled
-row has tells nothing (0). A document's evidence is the difference of the two
-length-normalised log-likelihoods, the mean of its words' evidence, beside the
-length-normalised power mean (third power) of the evidence in favour of the toxic
-class: a few strong expressions in a long text. Two logistic weights turn both into
-a score.
+"""Toxicity by two class-conditional Kneser-Ney models over words and pairs of words.
+
+Both classes share a backoff model of all labelled rows: a word after a history by
+absolute discounting, a word by its continuation count, the number of different words
+before it. A class keeps of its own count of an expression only what goes beyond that:
+its discount is what the shared counts let expect of it in this class, some standard
+deviations of that, and a constant more. The freed mass goes to the backoff. The
+deviations grow with the labels as the largest of as many chance values does.
+
+    x_c(h, w) = max(n_c(h, w) - E - deviations * sqrt(E * (1 - r)) - D, 0),  r = N_c(h) / N(h),  E = r * n(h, w)
+    deviations = sqrt(2 * log(labelled documents of the smaller class))
+    P_c(w)     = x_c(w) / N_c + L_c * S(w)                       L_c: what the discounts freed
+    P_c(w | h) = x_c(h, w) / N_c(h) + L_c(h) * S(w | h) * P_c(w) / S(w)
+
+So rare expressions, and frequent ones that both classes have alike, are the same to
+both models but for the freed mass, and one that is frequent in one class alone tells.
+Counts are of documents: an expression that one document repeats counts once. A
+document's score is logistic in one number, the difference of the two length-normalised
+log-likelihoods: the mean over its words of log P_toxic - log P_ordinary.
 
 Words are runs of ASCII letters (lower-cased) and of all characters beyond ASCII.
-The model is a Spark table with a row for each word of the labelled rows, so it grows
-with them. Scoring looks up the FREQUENT most frequent words in a broadcast of
-bounded size; where the table has more words, documents' other words are joined with
-it by a shuffle. Both give the same result.
+Expressions are counted in a Spark table with a row for each (history, word) of the
+labelled rows, so it grows with them. What of it tells is a table of terms that add up
+to the log ratio: of a word, of a history (its freed mass), and of a pair beyond both.
+Scoring looks up the FREQUENT most frequent terms in a broadcast of bounded size; where
+there are more, a bit array of bounded size picks the terms of a document that may be
+among the others, and these are joined by a shuffle. Both give the same result.
 
 Null or empty text, or text without words, has evidence 0. Without labels of both
 classes every document gets the share of toxic labels (0 without labels). The weights
@@ -40,78 +45,190 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm import common
+from vigil.llm import common, spelling
 
-DISCOUNT = 0.75
-POWER = 3
+SHARED_DISCOUNT = 0.75
+WORD_DISCOUNT, PAIR_DISCOUNT = 0.75, 1.0  # a pair that a class has once is left to the backoff
 CALIBRATION_ROWS = 20_000  # training rows, about, that fit the two logistic weights; a quarter of them where they are few
 BROADCAST_LABELS = 200_000  # up to so many labels are broadcast; more are joined by a shuffle
-FREQUENT = 1 << 18  # words of the model that are broadcast, at most: 16 bytes each
+FREQUENT = 1 << 18  # terms of the model that are broadcast, at most: 16 bytes each
 
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
-KINDS = ["ordinary", "toxic", "ordinary_apart", "toxic_apart"]
+START, SINGLE = np.uint64(2), 1  # the history of a first word, and the history of words by themselves
+HALF = np.uint64(32)
 
 
-def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and the first word of each document."""
+def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word, hash of the word before it, and the first word of each document."""
     data, offsets = common.utf8(column)
     start, end, first = common.runs(LETTER[data], offsets)
-    return common.byte_hashes(common.LOWER[data], start, end), first
+    words = common.byte_hashes(common.LOWER[data], start, end)
+    before = np.r_[START, words[:-1]][: len(words)]
+    before[first[:-1][np.diff(first) > 0]] = START
+    return words, before, first
+
+
+def pair_key(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return common.mixed(common.mixed(before * common.ODD + common.BYTE_SEEDS[0]) + words)
+
+
+def history_key(before: np.ndarray) -> np.ndarray:
+    return common.mixed(before ^ common.BYTE_SEEDS[1])
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each distinct word of a slice with its counts by KINDS and the classes of words before it, as bits."""
+    """Each distinct word and pair of a slice with its documents by class: ordinary ones in the low half of a number, toxic ones in the high half."""
     for batch in batches:
         for part in common.slices(batch):
-            words, first = words_of(part.column("text"))
+            words, before, first = words_of(part.column("text"))
             if not len(words):
                 continue
-            kind = part.column("toxic").to_numpy(zero_copy_only=False) + 2 * part.column("apart").to_numpy(zero_copy_only=False)
-            kind = np.repeat(kind, np.diff(first))
-            before = np.r_[np.uint64(0), words[:-1]]
-            before[first[:-1][np.diff(first) > 0]] = 0
-            order = np.argsort(words, kind="stable")
-            at = np.flatnonzero(np.r_[True, words[order][1:] != words[order][:-1]])
-            bit = np.uint64(1) << (before[order] >> np.uint64(58))
-            yield pa.RecordBatch.from_arrays([pa.array(words[order][at].view(np.int64)), pa.array(np.bitwise_or.reduceat(bit, at).view(np.int64)), *(pa.array(np.add.reduceat((kind[order] == k).astype(np.int64), at)) for k in range(4))], names=["word", "before", *KINDS])
+            doc = np.repeat(np.arange(part.num_rows), np.diff(first))
+            toxic, apart = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("toxic", "apart"))
+            one = np.int64(1) << (32 * toxic)
+            for key, history in ((words, np.full(len(words), SINGLE, np.uint64)), (pair_key(before, words), before)):
+                order = np.lexsort((doc, key))
+                k, d = key[order], doc[order]
+                new = np.r_[True, k[1:] != k[:-1]]
+                once = order[new | np.r_[True, d[1:] != d[:-1]]]
+                at = np.flatnonzero(np.r_[True, key[once][1:] != key[once][:-1]])
+                sums = [np.add.reduceat(np.where(apart[doc[once]] == side, one[doc[once]], 0), at) for side in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[once][at].view(np.int64)) for x in (history, words)), *map(pa.array, sums)], names=["h", "w", "main", "apart"])
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """The model's counts: word, contexts, and occurrences by KINDS."""
-    got = rows.select("text", "toxic", "apart").mapInArrow(_counts, "word long, before long, " + ", ".join(f"{k} long" for k in KINDS))
-    return common.written(got.groupBy("word").agg(F.bit_count(F.bit_or("before")).alias("contexts"), *(F.sum(k).alias(k) for k in KINDS)))
+EXPRESSION, WORD, HISTORY = range(3)
 
 
-def _totals(counts: DataFrame) -> dict:
-    full = [F.col(k) + F.col(f"{k}_apart") for k in KINDS[:2]]
-    kinds = lambda x, name: F.count_if(x > 0).alias(name)
-    return counts.agg(F.count("*").alias("words"), F.coalesce(F.sum("contexts"), F.lit(0)).alias("contexts"), *(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in KINDS), *(kinds(F.col(k), f"kinds_{k}") for k in KINDS), *(kinds(x, f"kinds_{k}_full") for x, k in zip(full, KINDS, strict=False))).first().asDict()
+def deviations(smaller: int) -> float:
+    return float(np.sqrt(2 * np.log(max(smaller, 1))))
+
+
+def _low(c: str) -> Column:
+    return F.col(c).bitwiseAND(0xFFFFFFFF)
+
+
+def _high(c: str) -> Column:
+    return F.shiftrightunsigned(c, 32)
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Three kinds of rows in one written table, from one exchange of (history, word): expressions with their documents by class (ordinary, toxic, and both apart), words with their continuation count, histories with totals and the number of different words after them."""
+    each = rows.select("text", "toxic", "apart").mapInArrow(_counts, "h long, w long, main long, apart long").groupBy("h", "w").agg(F.sum("main").alias("main"), F.sum("apart").alias("apart"))
+    each = each.select("h", "w", _low("main").alias("n0"), _high("main").alias("n1"), _low("apart").alias("a0"), _high("apart").alias("a1"))
+    # every use reads all counts, so that the plans are alike and share the exchange
+    numbers, seen = ["n0", "n1", "a0", "a1"], F.col("n0") + F.col("n1") + F.col("a0") + F.col("a1") > 0
+    single = F.col("h") == SINGLE
+    twice = (F.col("n0") + F.col("a0") > 1) | (F.col("n1") + F.col("a1") > 1)
+    none = F.lit(None).cast("long")
+    kept = each.where(single | twice).select(F.lit(EXPRESSION).alias("kind"), "h", "w", *numbers, none.alias("different"))
+    words = each.where(seen & ~single).groupBy("w").agg(F.count_if(seen).alias("different")).select(F.lit(WORD).alias("kind"), none.alias("h"), "w", *(none.alias(c) for c in numbers), "different")
+    histories = each.where(seen).groupBy("h").agg(*(F.sum(c).alias(c) for c in numbers), F.count_if(seen).alias("different")).select(F.lit(HISTORY).alias("kind"), "h", none.alias("w"), *numbers, "different")
+    return common.written(kept.unionByName(words).unionByName(histories))
+
+
+class Terms:
+    """What a model is made of: totals, and the terms of words, histories and pairs."""
+
+    def __init__(self, counts: DataFrame, smaller: int):
+        self.deviations = deviations(smaller)
+        self.expressions = counts.where(F.col("kind") == EXPRESSION).drop("kind", "different")
+        self.words = counts.where(F.col("kind") == WORD).select("w", F.col("different").alias("cont"))
+        self.histories = counts.where(F.col("kind") == HISTORY).select("h", *(F.col(c).alias(f"h_{c}") for c in ("n0", "n1", "a0", "a1")), F.col("different").alias("kinds"))
+        whole = self.histories.where(F.col("h") == SINGLE).first()
+        self.total = {c: whole[f"h_{c}"] if whole else 0 for c in ("n0", "n1", "a0", "a1")}
+        self.conts, self.types = self.words.agg(F.coalesce(F.sum("cont"), F.lit(0)), F.count("*")).first()
+
+    def both_classes(self) -> bool:
+        return all(self.total[f"n{k}"] + self.total[f"a{k}"] for k in (0, 1))
+
+    def lacking(self) -> list[int]:
+        """Classes without a row on one of the two sides."""
+        return [k for k in (0, 1) if not self.total[f"n{k}"] or not self.total[f"a{k}"]]
+
+    def _count(self, k: int, apart: bool, prefix: str = "") -> Column:
+        """The class's count, of all rows or of those not set apart; the only row of a class stands on both sides."""
+        own = F.col(f"{prefix}n{k}")
+        return own if apart and self.total[f"n{k}"] else own + F.col(f"{prefix}a{k}")
+
+    def share(self) -> Column:
+        """S(w) by the continuation count."""
+        cont = F.coalesce("cont", F.lit(0))
+        return (F.greatest(cont - SHARED_DISCOUNT, F.lit(0.0)) + SHARED_DISCOUNT * self.types / (self.types + 1)) / self.conts
+
+    def beyond(self, own: Column, both: Column, own_total: Column, both_total: Column, constant: float) -> Column:
+        """What a class's count is above its discount."""
+        r = own_total / both_total
+        expected = r * both
+        return F.greatest(own - expected - self.deviations * F.sqrt(expected * (1 - r)) - constant, F.lit(0.0))
+
+    def of(self, apart: bool) -> tuple[DataFrame, float]:
+        """key, value and seen of every term, and what each word adds that no term is about."""
+        n = [self._count(k, apart) for k in (0, 1)]
+        total = [F.lit(self.total[f"n{k}"] if apart and self.total[f"n{k}"] else self.total[f"n{k}"] + self.total[f"a{k}"]) for k in (0, 1)]
+        x = [self.beyond(n[k], n[0] + n[1], total[k], total[0] + total[1], WORD_DISCOUNT).alias(f"x{k}") for k in (0, 1)]
+        single = self.expressions.where(F.col("h") == SINGLE).select("w", (n[0] + n[1]).alias("seen"), *x).where("x0 > 0 or x1 > 0")
+        mass = single.agg(*(F.coalesce(F.sum(f"x{k}"), F.lit(0.0)) for k in (0, 1))).first()
+        sums = [self.total[f"n{k}"] if apart and self.total[f"n{k}"] else self.total[f"n{k}"] + self.total[f"a{k}"] for k in (0, 1)]
+        free = [1 - mass[k] / sums[k] for k in (0, 1)]
+        constant = float(np.log(free[1] / free[0]))
+        # P_c(w) / S(w)
+        raised = lambda k: F.coalesce(F.col(f"x{k}"), F.lit(0.0)) / sums[k] / F.col("share") + free[k]
+        word = single.join(self.words, "w").withColumn("share", self.share()).select("w", "seen", raised(0).alias("u0"), raised(1).alias("u1"))
+        pairs = self.expressions.where(F.col("h") != SINGLE).join(self.histories, "h")
+        t = [self._count(k, apart, "h_") for k in (0, 1)]
+        x = [F.when(t[k] > 0, self.beyond(n[k], n[0] + n[1], t[k], t[0] + t[1], PAIR_DISCOUNT) / t[k]).otherwise(0.0).alias(f"x{k}") for k in (0, 1)]
+        all_n, all_t = sum((F.col(c) for c in ("n1", "a0", "a1")), F.col("n0")), sum((F.col(c) for c in ("h_n1", "h_a0", "h_a1")), F.col("h_n0"))
+        pairs = pairs.select("h", "w", "kinds", (n[0] + n[1]).alias("seen"), all_n.alias("n"), all_t.alias("t"), *x).where("x0 > 0 or x1 > 0")
+        history = pairs.groupBy("h").agg(*((1 - F.sum(f"x{k}")).alias(f"free{k}") for k in (0, 1)), F.first("t").alias("seen"))
+        after = (F.greatest(F.col("n") - SHARED_DISCOUNT, F.lit(0.0)) + SHARED_DISCOUNT * F.col("kinds") * F.col("share")) / F.col("t")
+        joined = pairs.join(history.drop("seen"), "h").join(self.words, "w").withColumn("share", self.share()).join(word.drop("seen"), "w", "left")
+        u = [F.coalesce(f"u{k}", F.lit(free[k])) for k in (0, 1)]
+        p = [F.col(f"x{k}") + F.col(f"free{k}") * after * u[k] for k in (0, 1)]
+        beyond = F.log(p[1] / p[0]) - F.log(u[1] / u[0]) - F.log(F.col("free1") / F.col("free0"))
+        out = word.select(F.lit(0).alias("of"), F.lit(0).cast("long").alias("h"), "w", (F.log(F.col("u1") / F.col("u0")) - constant).alias("value"), "seen")
+        out = out.unionByName(history.select(F.lit(1).alias("of"), "h", F.lit(0).cast("long").alias("w"), F.log(F.col("free1") / F.col("free0")).alias("value"), "seen"))
+        return out.unionByName(joined.select(F.lit(2).alias("of"), "h", "w", beyond.alias("value"), "seen")), constant
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The key of each term, as scoring looks it up."""
+    for batch in batches:
+        h, w = (batch.column(c).to_numpy().view(np.uint64) for c in ("h", "w"))
+        of = batch.column("of").to_numpy()
+        key = np.where(of == 0, w, np.where(of == 1, history_key(h), pair_key(h, w)))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch.column(c) for c in ("full", "apart", "seen"))], names=["key", "full", "apart", "seen"])
 
 
-def _evidence_of(seen: list[Column], kinds: list[int], total: list[int], t: dict) -> Column:
-    """Evidence of a word: counts in the two classes, their kinds and totals."""
-    shared = (F.greatest(F.col("contexts") - DISCOUNT, F.lit(0.0)) + DISCOUNT * t["words"] / (t["words"] + 1)) / t["contexts"]
-    p = [(F.greatest(n - DISCOUNT, F.lit(0.0)) + DISCOUNT * k * shared) / m for n, k, m in zip(seen, kinds, total, strict=True)]
-    return F.when(seen[0] + seen[1] > 0, F.log(p[1] / p[0])).otherwise(0.0).cast("float")
+def _terms(counts: Terms) -> tuple[DataFrame, tuple[float, float]]:
+    """key, full and apart (the value in the model of all rows and in that without the rows set apart), seen; and what each word adds in both."""
+    (full, a), (apart, b) = counts.of(False), counts.of(True)
+    value = lambda c: F.coalesce(F.sum(c), F.lit(0.0)).cast("float").alias(c)
+    both = full.withColumns({"full": F.col("value"), "apart": F.lit(0.0)}).unionByName(apart.withColumns({"full": F.lit(0.0), "apart": F.col("value")}))
+    both = both.groupBy("of", "h", "w").agg(value("full"), value("apart"), F.max("seen").alias("seen"))
+    return common.written(both.mapInArrow(_keyed, "key long, full float, apart float, seen long")), (a, b)
 
 
 class Model:
-    """Table of evidence by word (None: nothing to learn from), its frequent part, and the logistic weights."""
+    """Table of terms (None: nothing to learn from), its frequent part, a bit array of the rest, and the logistic weights."""
 
-    def __init__(self, table: DataFrame | None, weights: np.ndarray | None, rate: float):
-        self.table, self.weights, self.rate = table, weights, rate
-        self.frequent, self.whole = None, True
+    def __init__(self, table: DataFrame | None, constant: tuple[float, float], weights: np.ndarray | None, rate: float):
+        self.table, self.constant, self.weights, self.rate = table, constant, weights, rate
+        self.frequent, self.rest, self.whole = None, None, True
         if table is not None:
-            # words by how often they are seen: there are few different numbers
+            # terms by how often they are seen: there are few different numbers
             times = sorted(table.groupBy("seen").count().collect(), reverse=True)
             within = np.cumsum([r["count"] for r in times]) <= FREQUENT
             self.whole = bool(within.all())
             least = times[int(within.sum()) - 1].seen if within.any() else 2**62
-            some = table.where(F.col("seen") >= least).select("word", "evidence", "apart").toPandas()
-            word = some.word.to_numpy().view(np.uint64)
-            order = np.argsort(word)
-            self.frequent = table.sparkSession.sparkContext.broadcast((word[order], some.evidence.to_numpy(np.float32)[order], some.apart.to_numpy(np.float32)[order]))
+            some = table.where(F.col("seen") >= least).select("key", "full", "apart").toPandas()
+            key = some.key.to_numpy(np.int64).view(np.uint64)
+            order = np.argsort(key)
+            sc = table.sparkSession.sparkContext
+            self.frequent = sc.broadcast((key[order], some.full.to_numpy(np.float32)[order], some.apart.to_numpy(np.float32)[order]))
+            if not self.whole:
+                others = table.where(F.col("seen") < least).select(F.col("key").alias("x"))
+                self.rest = sc.broadcast(spelling.bit_array(others, others.count()))
 
 
 def _row_key() -> list[Column]:
@@ -120,46 +237,53 @@ def _row_key() -> list[Column]:
     return [F.xxhash64(*one).alias("__a"), F.xxhash64(F.lit(1), *reversed(one)).alias("__b")]
 
 
-def _evidence(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("mean_evidence", "toxic_evidence"), apart: bool = False) -> DataFrame:
-    """The kept columns and the two evidence columns; apart: by the model without the rows set apart."""
+def _evidence(docs: DataFrame, model: Model, keep: list[str], name: str = "mean_evidence", apart: bool = False) -> DataFrame:
+    """The kept columns and the mean evidence; apart: by the model without the rows set apart."""
     if model.table is None:
-        return docs.select(*keep, *(F.lit(0.0).alias(x) for x in names))
-    frequent, whole, which = model.frequent, model.whole, 2 if apart else 1
+        return docs.select(*keep, F.lit(0.0).alias(name))
+    frequent, rest, whole, which = model.frequent, model.rest, model.whole, 2 if apart else 1
 
     def read(kept: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, each = frequent.value[0], frequent.value[which]
+            passes = None if whole else spelling.passes(*rest.value)
             for batch in batches:
                 for part in common.slices(batch):
-                    words, first = words_of(part.column("text"))
-                    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-                    found = known[at] == words
-                    value = np.where(found, each[at], 0).astype(float)
-                    sums = [np.r_[0, np.cumsum(x)] for x in (value, np.maximum(value, 0) ** POWER)]
-                    rest = [] if whole else [_lists(words, ~found, first)]
-                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *(pa.array(s[first[1:]] - s[first[:-1]]) for s in sums), pa.array(np.diff(first).astype(np.int64)), *rest], names=[*kept, "__sum", "__power", "__n", *(["__rest"] if rest else [])])
-
-        fields = [T.StructField("__sum", T.DoubleType()), T.StructField("__power", T.DoubleType()), T.StructField("__n", T.LongType()), *([] if whole else [T.StructField("__rest", T.ArrayType(T.LongType()))])]
+                    words, before, first = words_of(part.column("text"))
+                    total, open_ = np.zeros(len(words)), []
+                    for key in (words, history_key(before), pair_key(before, words)):
+                        found = np.zeros(len(key), bool)
+                        if len(known):
+                            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                            found = known[at] == key
+                            total += np.where(found, each[at], 0)
+                        if not whole:
+                            open_.append(np.where(~found & passes(key), key, 0))
+                    sums = np.r_[0, np.cumsum(total)]
+                    more = [] if whole else [_lists(np.stack(open_, 1).reshape(-1), 3 * first)]
+                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(sums[first[1:]] - sums[first[:-1]]), pa.array(np.diff(first).astype(np.int64)), *more], names=[*kept, "__sum", "__n", *(["__rest"] if more else [])])
+
+        fields = [T.StructField("__sum", T.DoubleType()), T.StructField("__n", T.LongType()), *([] if whole else [T.StructField("__rest", T.ArrayType(T.LongType()))])]
         rows = docs.select(*dict.fromkeys([*keep, "text"]), *([] if whole else _row_key()))
         return rows.mapInArrow(run, T.StructType([*rows.select(*kept).schema.fields, *fields]))
 
-    total = [F.col("__sum"), F.col("__power")]
+    total = F.col("__sum")
     if whole:
         out = read(keep)
     else:
-        rest = read(["__a", "__b"]).where(F.size("__rest") > 0).groupBy("__a", "__b").agg(F.first("__rest").alias("__rest"))
-        rest = rest.select("__a", "__b", F.explode("__rest").alias("word")).join(model.table.select("word", F.col("apart" if apart else "evidence").cast("double").alias("e")), "word")
-        more = rest.groupBy("__a", "__b").agg(F.sum("e").alias("__more"), F.sum(F.greatest("e", F.lit(0.0)) ** POWER).alias("__more_power"))
+        more = read(["__a", "__b"]).where(F.size("__rest") > 0).groupBy("__a", "__b").agg(F.first("__rest").alias("__rest"))
+        more = more.select("__a", "__b", F.explode("__rest").alias("key")).join(model.table.select("key", F.col("apart" if apart else "full").cast("double").alias("e")), "key").groupBy("__a", "__b").agg(F.sum("e").alias("__more"))
         out = read([*keep, "__a", "__b"]).join(more, ["__a", "__b"], "left")
-        total = [x + F.coalesce(y, F.lit(0.0)) for x, y in zip(total, ("__more", "__more_power"), strict=True)]
-    n = F.greatest("__n", F.lit(1))
-    return out.select(*keep, (total[0] / n).alias(names[0]), F.pow(total[1] / n, F.lit(1 / POWER)).alias(names[1]))
+        total = total + F.coalesce("__more", F.lit(0.0))
+    mean = F.when(F.col("__n") > 0, total / F.col("__n") + model.constant[which - 1]).otherwise(0.0)
+    return out.select(*keep, mean.alias(name))
 
 
-def _lists(words: np.ndarray, pick: np.ndarray, first: np.ndarray) -> pa.Array:
-    """The picked words of each document, as lists."""
+def _lists(keys: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The keys of each document that are not 0, as lists."""
+    pick = keys != 0
     offsets = np.r_[0, np.cumsum(pick)][first].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(words[pick].view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[pick].view(np.int64)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -194,48 +318,40 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 5) -> Model:
     # rows set apart calibrate weights on documents that a model without them has not seen
     share = max(4, round(n / CALIBRATION_ROWS))
     rows = docs.select("doc_id", "text").join(side, "doc_id").where("text is not null").withColumn("apart", (F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).cast("int"))
-    counts = _counted(rows)
-    t = _totals(counts)
-    if not all(t[k] + t[f"{k}_apart"] for k in KINDS[:2]):
-        return Model(None, None, rate)
-    if lacking := [k for k in (0, 1) if not t[KINDS[k]] or not t[KINDS[k + 2]]]:
+    counts = Terms(_counted(rows), min(toxic, n - toxic))
+    if not counts.both_classes():
+        return Model(None, (0.0, 0.0), None, rate)
+    if lacking := counts.lacking():
         for k in lacking:
             rows = _shared_out(rows, k, share)
-        counts = _counted(rows)
-        t = _totals(counts)
-    full = [F.col(k) + F.col(f"{k}_apart") for k in KINDS[:2]]
-    n_full, kinds_full = [t[k] + t[f"{k}_apart"] for k in KINDS[:2]], [t[f"kinds_{k}_full"] for k in KINDS[:2]]
-    # the only row of a class stands on both sides
-    part = [(F.col(k), t[f"kinds_{k}"], t[k]) if t[k] else (full[i], kinds_full[i], n_full[i]) for i, k in enumerate(KINDS[:2])]
-    table = counts.select("word", _evidence_of(full, kinds_full, n_full, t).alias("evidence"), _evidence_of(*(list(x) for x in zip(*part, strict=True)), t).alias("apart"), (full[0] + full[1]).alias("seen"))
-    model = Model(common.written(table), None, rate)
+        counts = Terms(_counted(rows), min(toxic, n - toxic))
+    model = Model(*_terms(counts), None, rate)
     some = _evidence(rows.where("apart = 1"), model, ["toxic"], apart=True).toPandas()
-    model.weights = _logistic(some[["mean_evidence", "toxic_evidence"]].to_numpy(), some.toxic.to_numpy())
+    model.weights = _logistic(some[["mean_evidence"]].to_numpy(), some.toxic.to_numpy())
     return model
 
 
-def _scored(model: Model, names: tuple[str, str]) -> Column:
+def _scored(model: Model, name: str) -> Column:
     if model.weights is None:
         return F.lit(float(model.rate))
-    a, b, c = (F.lit(float(x)) for x in model.weights)
-    return 1 / (1 + F.exp(-(a + b * F.col(names[0]) + c * F.col(names[1]))))
+    a, b = (F.lit(float(x)) for x in model.weights)
+    return 1 / (1 + F.exp(-(a + b * F.col(name))))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, mean_evidence, toxic_evidence and score of each row."""
+    """doc_id, mean_evidence and score of each row."""
     common.tune(docs.sparkSession)
-    return _evidence(docs, model, ["doc_id"]).withColumn("score", _scored(model, ("mean_evidence", "toxic_evidence")))
+    return _evidence(docs, model, ["doc_id"]).withColumn("score", _scored(model, "mean_evidence"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, common.table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (common.remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "mean_evidence", "toxic_evidence")
+    return scored.select("doc_id", (common.remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "mean_evidence")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents scored 0.5 or more; learns from the rows it is given and their labels."""
     model = fit(docs, common.table(spark, sf_dir, "labels"))
-    names = ("__mean_evidence", "__toxic_evidence")
-    out = _evidence(docs, model, docs.columns, names)
-    return out.where(_scored(model, names) < 0.5).drop(*names)
+    out = _evidence(docs, model, docs.columns, "__evidence")
+    return out.where(_scored(model, "__evidence") < 0.5).drop("__evidence")
