@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vigil.operators import prefix
+
 
 def clean_host(host: Column) -> Column:
     text = F.regexp_replace(F.lower(F.trim(host)), r"^[a-z][a-z0-9+.-]*://", "")
@@ -146,12 +148,10 @@ def duplicates(rows: DataFrame, url: str, label: str) -> DataFrame:
 
 
 def best_cuts(rows: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """Per feature the best accuracy of one cut, from counts by value: a sorted running sum over distinct values."""
+    """Per feature the best accuracy of one cut, from counts by value: running sums over distinct values, in ranges."""
     long = _long(rows, features, F.col(label).alias("y"))
     each = long.groupBy("feature", "value").agg(F.count("*").alias("n"), F.sum("y").alias("bad"))
-    up = W.partitionBy("feature").orderBy("value")
-    every = W.partitionBy("feature")
-    run = each.select("feature", F.sum("n").over(up).alias("n"), F.sum("bad").over(up).alias("bad"), F.sum("n").over(every).alias("all_n"), F.sum("bad").over(every).alias("all_bad"))
+    run = prefix.running(each, ["feature"], "value", ["n", "bad"]).select("feature", F.col("upto_n").alias("n"), F.col("upto_bad").alias("bad"), "all_n", "all_bad")
     right = (F.col("n") - F.col("bad")) + (F.col("all_bad") - F.col("bad"))
     return run.groupBy("feature").agg(F.round(F.max(F.greatest(right, F.col("all_n") - right) / F.col("all_n")), 6).alias("accuracy"))
 
@@ -172,13 +172,13 @@ def held_out_cuts(rows: DataFrame, features: Sequence[str], label: str, fold: Co
     values = each.groupBy("feature", "value").agg(F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "bad")))).alias("by"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     own = lambda x: F.coalesce(F.col("by")[F.col("k")][x], F.lit(0))
     dealt = values.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).select("feature", "value", "k", own("n").alias("test_n"), own("bad").alias("test_bad"), (F.col("n") - own("n")).alias("train_n"), (F.col("bad") - own("bad")).alias("train_bad"))
-    up, every = W.partitionBy("feature", "k").orderBy("value"), W.partitionBy("feature", "k")
+    run = prefix.running(dealt, ["feature", "k"], "value", ["train_n", "train_bad", "test_n", "test_bad"])
 
     def right(part: str) -> Column:
         """Rows told right if larger values are bad: good ones up to the value, bad ones after it."""
-        return F.sum(F.col(f"{part}_n") - F.col(f"{part}_bad")).over(up) + F.sum(f"{part}_bad").over(every) - F.sum(f"{part}_bad").over(up)
+        return F.col(f"upto_{part}_n") - 2 * F.col(f"upto_{part}_bad") + F.col(f"all_{part}_bad")
 
-    run = dealt.select("feature", "k", "value", right("train").alias("train"), right("test").alias("test"), F.sum("train_n").over(every).alias("train_all"), F.sum("test_n").over(every).alias("test_all"))
+    run = run.select("feature", "k", "value", right("train").alias("train"), right("test").alias("test"), F.col("all_train_n").alias("train_all"), F.col("all_test_n").alias("test_all"))
     way = lambda mine, tested, o: F.struct(mine.alias("right"), (-F.col("value")).alias("first"), F.lit(-o).alias("way"), tested.alias("tested"))
     best = F.greatest(way(F.col("train"), F.col("test"), 0), way(F.col("train_all") - F.col("train"), F.col("test_all") - F.col("test"), 1))
     cut = run.groupBy("feature", "k").agg(F.max(best).alias("best"), F.max("test_all").alias("n")).where("n > 0")

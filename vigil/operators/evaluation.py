@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vigil.operators import prefix
+
 
 def confusion(scored: DataFrame, cut: float = 0.40) -> DataFrame:
     """score, y: counts, accuracy, precision, recall, F1; from the cut on a row counts as detected, by default from Suspicious (0.4)."""
@@ -24,17 +25,16 @@ def confident(scored: DataFrame, thresholds=(0.5, 0.7, 0.8, 0.9, 0.95), least: i
 
 
 def recall_threshold(scored: DataFrame, target: float) -> DataFrame:
-    """The score, of four places, whose recall is nearest to the target (the larger score on ties), by running counts over distinct scores."""
-    # one row for each distinct score of four places: at most 10,001 rows
-    by = scored.groupBy(F.round("score", 4).alias("score")).agg(F.sum("y").alias("bad"))
-    run = by.select("score", F.sum("bad").over(W.orderBy(F.desc("score"))).alias("found"), F.sum("bad").over(W.partitionBy(F.lit(1))).alias("all_bad"))
+    """The score whose recall is nearest to the target (the larger score on ties), by running counts over distinct scores."""
+    run = prefix.running(scored.groupBy("score").agg(F.sum("y").alias("bad")), [], "score", ["bad"])
+    run = run.select("score", "all_bad", (F.col("all_bad") - F.col("upto_bad") + F.col("bad")).alias("found"))
     return run.select("score", F.round(F.col("found") / F.col("all_bad"), 6).alias("recall")).orderBy(F.abs(F.col("recall") - target), F.desc("score")).limit(1)
 
 
 def auc(scored: DataFrame) -> DataFrame:
-    """Area under the curve by rank sums over distinct scores of four places, at most 10,001 rows; ties count half."""
-    by = scored.groupBy(F.round("score", 4).alias("score")).agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-    run = by.withColumn("below", F.coalesce(F.sum("good").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    """Area under the curve by rank sums over distinct scores; ties count half."""
+    by = scored.groupBy("score").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
+    run = prefix.running(by, [], "score", ["good"]).withColumn("below", F.col("upto_good") - F.col("good"))
     return run.agg(F.round(F.sum(F.col("bad") * (F.col("below") + F.col("good") / 2)) / (F.sum("bad") * F.sum("good")), 6).alias("auc"))
 
 

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.operators import dataset, evaluation
+from vigil.operators import dataset, evaluation, prefix
 
 FOLDS, SEED = 5, 42
 SINGLE_LIMIT, SHALLOW_LIMIT = 0.85, 0.90
@@ -23,6 +23,11 @@ def fold(key: str, folds: int = FOLDS, seed: int = SEED) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int")
 
 
+def stratified(rows: DataFrame, label: str, key: str, folds: int = FOLDS, seed: int = SEED) -> DataFrame:
+    """Adds __fold, dealt out in turn within each class: class counts of folds differ by one at most. Keys are unique."""
+    return prefix.class_rank(rows, label, key, seed).withColumn("__fold", (F.col("place") % folds).cast("int")).drop("place")
+
+
 def learners(trees: int = 200, depth: int = 6, step: float = 0.1) -> dict:
     """The two candidates."""
     shared = {"featuresCol": "features", "labelCol": "y", "seed": SEED}
@@ -73,7 +78,7 @@ def best_candidate(rows: DataFrame, columns: list[str], key: str, label: str = "
 
     The driver reads one row of counts for each candidate.
     """
-    table = assembled(rows, columns, label).withColumn("__fold", fold(key))
+    table = stratified(assembled(rows, columns, label), "y", key)
     train, held = table.where("__fold <> 0").select("features", "y"), table.where("__fold = 0").select("features", "y")
     fitted, each = {}, []
     for name, learner in (candidates or learners()).items():
@@ -88,7 +93,7 @@ def best_candidate(rows: DataFrame, columns: list[str], key: str, label: str = "
 
 def out_of_fold(rows: DataFrame, columns: list[str], key: str, label: str, learner, folds: int = FOLDS) -> DataFrame:
     """key, y, score: every row is scored by a model that did not see it."""
-    table = assembled(rows, columns, label).withColumn("__fold", fold(key, folds))
+    table = stratified(assembled(rows, columns, label), "y", key, folds)
     parts = [scored(learner.fit(table.where(F.col("__fold") != k).select("features", "y")), table.where(F.col("__fold") == k).select(key, "y", "features")).drop("features") for k in range(folds)]
     out = parts[0]
     for p in parts[1:]:

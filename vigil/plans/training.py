@@ -52,6 +52,12 @@ def train_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.out_of_fold(_rows(spark, sf_dir), COLUMNS, "key", "y", T.evidence_learner(TREES, DEPTH))
 
 
+def train_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each class each fold holds, over line items with the return flag as class."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate").alias("key"))
+    return T.stratified(rows, "l_returnflag", "key").groupBy("l_returnflag", F.col("__fold").alias("fold")).agg(F.count("*").alias("n"))
+
+
 def leakage_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.leakage_verdict(_rows(spark, sf_dir), COLUMNS, "key", "key")
 
@@ -61,6 +67,7 @@ _some = lambda m, r: f"coalesce({_e} % 11 <> {r} AND {_e} % {m} = 0, FALSE)"  #
 _int = lambda x: f"CAST({x} AS INTEGER)"
 _countries = ", ".join(f"'{x}'" for x in V.COUNTRIES)
 ORACLE = {
+    "train_folds": "SELECT l_returnflag, CAST(k AS INTEGER) AS fold, count(*) // 5 + CASE WHEN k < count(*) % 5 THEN 1 ELSE 0 END AS n FROM lineitem, range(5) AS f(k) GROUP BY l_returnflag, k",
     "evidence_vector": f"""WITH s AS (SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN event_id * 37 % 3000 END AS age, upper(CASE WHEN event_id % 9 <> 0 THEN [{_countries}, 'us', 'BR', ''][event_id % 13 + 1] ELSE '' END) AS country,
         CASE WHEN event_id % 7 <> 0 THEN event_id % 90 END AS cdays, CASE WHEN event_id % 8 <> 0 THEN 200 + (event_id % 4) * 101 END AS status, event_id % 6 <> 0 AS checked, event_id % 6 <> 0 AND event_id % 5 <> 0 AS cert,
         {_some(8, 1)} AS fits, {_some(7, 3)} AS moved, {_some(2, 5)} AS readable, {_some(3, 1)} AS password, {_some(5, 2)} AS ff, {_some(9, 4)} AS scrambled, event_id % 4 = 0 AS brand,
@@ -73,4 +80,4 @@ ORACLE = {
       {_int("brand")} AS d_brand, CAST(event_id % 5 AS DOUBLE) AS d_hidden_frames, {_int("scrambled")} AS d_scrambled, round_even(CAST(bytes AS DOUBLE) / 1024, 2) AS d_page_kb, CAST(length(title) AS INTEGER) AS d_title_length, {_int("title <> ''")} AS d_has_title,
       {_int("password AND coalesce(age <= 30, FALSE)")} AS d_password_and_young, {_int("password AND brand")} AS d_password_and_brand, {_int("password AND NOT cert")} AS d_password_no_certificate, {_int("password AND ff")} AS d_password_and_foreign_form FROM s""",
 }
-QUERIES = {f.__name__: f for f in (evidence_vector, train_candidates, train_importances, train_out_of_fold, leakage_verdict)}
+QUERIES = {f.__name__: f for f in (evidence_vector, train_candidates, train_importances, train_out_of_fold, train_folds, leakage_verdict)}
