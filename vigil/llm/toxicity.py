@@ -56,14 +56,15 @@ FREQUENT = 1 << 18  # terms of the model that are broadcast, at most: 16 bytes e
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 START, SINGLE = np.uint64(2), 1  # the history of a first word, and the history of words by themselves
-HALF = np.uint64(32)
+WORD_BITS = np.uint64((1 << 48) - 1)  # of a word's hash that are kept: rows of pairs are two of them
+SALTS = 16  # parts of the pairs of one word, so that a word in every text is no task of its own
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each word, hash of the word before it, and the first word of each document."""
     data, offsets = common.utf8(column)
     start, end, first = common.runs(LETTER[data], offsets)
-    words = common.byte_hashes(common.LOWER[data], start, end)
+    words = common.byte_hashes(common.LOWER[data], start, end) & WORD_BITS
     before = np.r_[START, words[:-1]][: len(words)]
     before[first[:-1][np.diff(first) > 0]] = START
     return words, before, first
@@ -87,12 +88,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc = np.repeat(np.arange(part.num_rows), np.diff(first))
             toxic, apart = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("toxic", "apart"))
             one = np.int64(1) << (32 * toxic)
-            for key, history in ((words, np.full(len(words), SINGLE, np.uint64)), (pair_key(before, words), before)):
-                order = np.lexsort((doc, key))
-                k, d = key[order], doc[order]
-                new = np.r_[True, k[1:] != k[:-1]]
-                once = order[new | np.r_[True, d[1:] != d[:-1]]]
-                at = np.flatnonzero(np.r_[True, key[once][1:] != key[once][:-1]])
+            for history in (np.full(len(words), SINGLE, np.uint64), before):
+                # in the order of words: rows of one word lie together, and shuffle files are smaller
+                order = np.lexsort((doc, history, words))
+                new = lambda a, o: np.r_[True, (words[o][1:] != words[o][:-1]) | (a[o][1:] != a[o][:-1])]
+                once = order[new(history, order) | np.r_[True, doc[order][1:] != doc[order][:-1]]]
+                at = np.flatnonzero(new(history, once))
                 sums = [np.add.reduceat(np.where(apart[doc[once]] == side, one[doc[once]], 0), at) for side in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[once][at].view(np.int64)) for x in (history, words)), *map(pa.array, sums)], names=["h", "w", "main", "apart"])
 
@@ -114,7 +115,10 @@ def _high(c: str) -> Column:
 
 def _counted(rows: DataFrame) -> DataFrame:
     """Three kinds of rows in one written table, from one exchange of (history, word): expressions with their documents by class (ordinary, toxic, and both apart), words with their continuation count, histories with totals and the number of different words after them."""
-    each = rows.select("text", "toxic", "apart").mapInArrow(_counts, "h long, w long, main long, apart long").groupBy("h", "w").agg(F.sum("main").alias("main"), F.sum("apart").alias("apart"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = rows.select("text", "toxic", "apart").mapInArrow(_counts, "h long, w long, main long, apart long").withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    # slices are summed already; the exchange keeps their order
+    each = each.repartition(parts, "w", "salt").groupBy("w", "salt", "h").agg(F.sum("main").alias("main"), F.sum("apart").alias("apart"))
     each = each.select("h", "w", _low("main").alias("n0"), _high("main").alias("n1"), _low("apart").alias("a0"), _high("apart").alias("a1"))
     # every use reads all counts, so that the plans are alike and share the exchange
     numbers, seen = ["n0", "n1", "a0", "a1"], F.col("n0") + F.col("n1") + F.col("a0") + F.col("a1") > 0
@@ -122,7 +126,7 @@ def _counted(rows: DataFrame) -> DataFrame:
     twice = (F.col("n0") + F.col("a0") > 1) | (F.col("n1") + F.col("a1") > 1)
     none = F.lit(None).cast("long")
     kept = each.where(single | twice).select(F.lit(EXPRESSION).alias("kind"), "h", "w", *numbers, none.alias("different"))
-    words = each.where(seen & ~single).groupBy("w").agg(F.count_if(seen).alias("different")).select(F.lit(WORD).alias("kind"), none.alias("h"), "w", *(none.alias(c) for c in numbers), "different")
+    words = each.where(seen).groupBy("w").agg(F.count_if(seen & ~single).alias("different")).where("different > 0").select(F.lit(WORD).alias("kind"), none.alias("h"), "w", *(none.alias(c) for c in numbers), "different")
     histories = each.where(seen).groupBy("h").agg(*(F.sum(c).alias(c) for c in numbers), F.count_if(seen).alias("different")).select(F.lit(HISTORY).alias("kind"), "h", none.alias("w"), *numbers, "different")
     return common.written(kept.unionByName(words).unionByName(histories))
 
