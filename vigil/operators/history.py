@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vigil.operators import prefix
+from vigil.sources import scratch
+
 
 def owned(history: DataFrame, owner) -> DataFrame:
     """Plain equality: a null owner never matches."""
@@ -89,28 +92,27 @@ def without(history: DataFrame, ids: DataFrame) -> DataFrame:
     return history.join(ids, (history["id"] == ids["id"]) & (history["user_id"] == ids["user_id"]), "left_anti")
 
 
-def _in_order(rows: DataFrame, key: str, step: Callable[..., tuple], schema: str, names: list[str], *more: Column) -> DataFrame:
+def _in_order(rows: DataFrame, key: str, step: Callable[..., tuple], schema: str, names: list[str]) -> DataFrame:
     """A fold over each key's rows in the order of time and id.
 
     Rows are dealt by key and sorted by Spark, which spills; Python sees one batch at
     a time and keeps the state of the current key alone, so a key with a large part
     of all rows needs no more memory than any other.
     """
-    schema_of_key, wide = dict(rows.dtypes)[key], bool(more)
+    schema_of_key = dict(rows.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = object(), {}
         for batch in batches:
             keys, times = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            others = zip(*(x.to_pylist() for x in batch.columns[3:])) if wide else [()] * len(keys)
             made = []
-            for k, t, other in zip(keys, times, others, strict=True):
+            for k, t in zip(keys, times, strict=True):
                 if k != current:
                     current, state = k, {}
-                made.append(step(state, t, *other))
+                made.append(step(state, t))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([m[i] for m in made], t) for i, t in enumerate(_ARROW[x] for x in schema.split(",")))], names=[key, "event_id", *names])
 
-    ordered = rows.select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id", *(c.alias(f"more{i}") for i, c in enumerate(more))).repartition(key).sortWithinPartitions(key, "t", "event_id")
+    ordered = rows.select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id").repartition(key).sortWithinPartitions(key, "t", "event_id")
     return ordered.mapInArrow(run, f"{key} {schema_of_key}, event_id long, " + ", ".join(f"{n} {t}" for n, t in zip(names, schema.split(","), strict=True)))
 
 
@@ -141,12 +143,28 @@ def cache_lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def cache_misses(requests: DataFrame, days: int, known: Column | None = None) -> DataFrame:
-    """Per domain, the requests that probe anew: hits do not extend what is stored, and a probe that is not `known` (it failed) is not stored. State: when the stored row runs out."""
-
-    def step(state: dict, t: int, stored: bool = True) -> tuple:
-        miss = "until" not in state or state["until"] < t
-        if miss and stored:
-            state["until"] = t + days * 86_400_000_000
-        return (miss,)
-
-    return _in_order(requests, "domain", step, "boolean", ["miss"], *([] if known is None else [F.coalesce(known, F.lit(False))]))
+    """domain, event_id and miss of each request: whether it probes anew. Hits do not extend what is stored, and a probe that is not `known` (it failed) is not stored.
+
+    The stored probes of a domain are a chain: after one, the first known request beyond
+    its time to live. So they are found by pointers from every known request to that one
+    and by pointer doubling, in rounds that grow with the logarithm of the time covered;
+    a domain with a large part of all requests is no serial work. A request is a hit if
+    the one stored probe that can cover it does. Requests without a domain or a time
+    always probe and store nothing. Equal times go by event_id.
+    """
+    ttl = days * 86_400_000_000
+    stored = F.lit(True) if known is None else F.coalesce(known, F.lit(False))
+    rows = scratch.checkpoint(requests.select("domain", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), stored.alias("stored")))
+    points = scratch.checkpoint(rows.where("stored and domain is not null and t is not null").groupBy("domain", "t").agg(F.min("event_id").alias("by")))
+    low, high = points.agg(F.min("t"), F.max("t")).first()
+    most = (high - low) // ttl + 1 if low is not None else 1
+    edges = prefix.following(points, points.select("domain", "t", (F.col("t") + ttl).alias("until")), ["domain"], "t", "until").select("domain", "t", "next")
+    kept = prefix.on_chains(points, edges, ["domain"], "t", most).join(points, ["domain", "t"])
+    # two stored probes lie more than a time to live apart: one at most in each slot of that length
+    slot = lambda c: F.col(c) - F.pmod(F.col(c), F.lit(ttl))
+    held = kept.select("domain", slot("t").alias("__slot"), F.col("t").alias("__t"), F.col("by").alias("__by"))
+    before = held.select("domain", (F.col("__slot") + ttl).alias("__slot"), F.col("__t").alias("__t1"))
+    joined = rows.withColumn("__slot", slot("t")).join(held, ["domain", "__slot"], "left").join(before, ["domain", "__slot"], "left")
+    own = (F.col("__t") < F.col("t")) | ((F.col("__t") == F.col("t")) & (F.col("__by") < F.col("event_id")))
+    hit = F.coalesce(own, F.lit(False)) | F.coalesce(F.col("__t1") + ttl >= F.col("t"), F.lit(False))
+    return joined.select("domain", "event_id", (~hit).alias("miss"))

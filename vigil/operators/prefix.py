@@ -62,3 +62,48 @@ def class_rank(rows: DataFrame, label: str, key: str, seed: int) -> DataFrame:
     local = spread.withColumn("__own", F.row_number().over(own) - 1)
     joined = local.join(before.withColumnsRenamed({label: "__label", "__part": "__at"}), F.col(label).eqNullSafe(F.col("__label")) & (F.col("__part") == F.col("__at")))
     return joined.withColumn("place", F.col("__own") + F.col("__before")).drop("__h", "__part", "__own", "__before", "__label", "__at")
+
+
+def following(points: DataFrame, asked: DataFrame, group: Sequence[str], point: str, at: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Adds next to asked: the smallest point of its group above `at`, null where there is none.
+
+    As in `running`, quantiles of the points cut each group in ranges that are sorted
+    apart; where a range holds no point above `at`, the first one of the ranges after it counts.
+    """
+    ranges = max(1, min(MOST_RANGES, -(-points.count() // range_rows)))
+    keys = [*group, "__range"]
+    both = points.select(*group, F.col(point).alias("__v"), F.lit(1).alias("__is"), *(F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in asked.columns if c not in group)).unionByName(asked.select(*group, F.col(at).alias("__v"), F.lit(0).alias("__is"), *(c for c in asked.columns if c not in group)))
+    spread = both.withColumn("__range", F.lit(0))
+    if ranges > 1:
+        marks = points.groupBy(*group).agg(F.array_sort(F.array_distinct(F.percentile_approx(point, [k / ranges for k in range(1, ranges)], 10 * MOST_RANGES))).alias("__cuts"))
+        spread = both.join(marks, list(group), "left").withColumn("__range", F.coalesce(position(F.col("__cuts"), F.col("__v"), ranges), F.lit(0))).drop("__cuts")
+    value = F.when(F.col("__is") == 1, F.col("__v"))
+    # in falling order a question comes before a point of its own value
+    own = W.partitionBy(*keys).orderBy(F.desc("__v"), "__is").rowsBetween(W.unboundedPreceding, 0)
+    local = spread.withColumn("__own", F.last(value, ignorenulls=True).over(own))
+    later = W.partitionBy(*group).orderBy(F.desc("__range")).rowsBetween(W.unboundedPreceding, -1)
+    # a range with questions alone has a row too
+    carried = spread.groupBy(*keys).agg(F.min(value).alias("__first")).select(*keys, F.last("__first", ignorenulls=True).over(later).alias("__later"))
+    out = local.where("__is = 0").join(carried, keys)
+    return out.select(*asked.columns, F.coalesce("__own", "__later").alias("next"))
+
+
+def on_chains(points: DataFrame, edges: DataFrame, group: Sequence[str], point: str, most: int) -> DataFrame:
+    """The points on the chain that begins at the first point of each group and follows the edges (group, point, next), `most` edges long at most.
+
+    Pointer doubling: each round joins the jumps with themselves and so doubles their
+    length; then the chain is filled in from the longest jumps to the single edges. Both
+    take about log2(most) rounds, however many points a group has.
+    """
+    first = points.groupBy(*group).agg(F.min(point).alias(point))
+    on = [*group, point]
+    # only points that an edge or a beginning leads to can be on a chain
+    met = first.unionByName(edges.where(F.col("next").isNotNull()).select(*group, F.col("next").alias(point))).distinct()
+    jumps = [scratch.checkpoint(edges.where(F.col("next").isNotNull()).join(met, on, "left_semi"))]
+    for _ in range(max(most, 1).bit_length() - 1):
+        ahead = jumps[-1].select(*group, F.col(point).alias("next"), F.col("next").alias("__beyond"))
+        jumps.append(scratch.checkpoint(jumps[-1].join(ahead, [*group, "next"]).select(*on, F.col("__beyond").alias("next"))))
+    reached = first
+    for jump in reversed(jumps):
+        reached = scratch.checkpoint(reached.unionByName(reached.join(jump, on).select(*group, F.col("next").alias(point))).distinct())
+    return reached

@@ -108,7 +108,9 @@ def _domain_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cache_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.cache_misses(_domain_requests(spark, sf_dir), 7)
+    """Probes of errors failed: they store nothing."""
+    requests = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("d"), F.col("user_id"), F.lit(".com")).alias("domain"), "event_id", "ts", "event_type")
+    return H.cache_misses(requests, 7, F.col("event_type") != "error")
 
 
 def cache_lookup_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,10 +144,10 @@ ORACLE = {
       SELECT o.user_id, o.event_id, o.n, len(k.live) < {LIMIT}, CASE WHEN len(k.live) >= {LIMIT} THEN greatest(CAST(floor((k.live[1] + {WINDOW_S}000000 - o.t) / 1000000.0) AS BIGINT) + 1, 1) END, CASE WHEN len(k.live) < {LIMIT} THEN list_append(k.live, o.t) ELSE k.live END
       FROM (SELECT s.user_id, s.n, o2.t AS now, list_filter(s.live, lambda x: x >= o2.t - {WINDOW_S}000000) AS live FROM s JOIN o o2 ON o2.user_id = s.user_id AND o2.n = s.n + 1) k JOIN o ON o.user_id = k.user_id AND o.n = k.n + 1)
       SELECT user_id, event_id, admitted, retry_after FROM s""",
-    "cache_store": f"""WITH RECURSIVE o AS ({_ORDERED}), s AS (
-      SELECT user_id, event_id, n, TRUE AS miss, t + 604800000000 AS until FROM o WHERE n = 1
+    "cache_store": f"""WITH RECURSIVE o AS (SELECT o.*, event_type <> 'error' AS known FROM ({_ORDERED}) o JOIN events USING (event_id)), s AS (
+      SELECT user_id, event_id, n, TRUE AS miss, CASE WHEN known THEN t + 604800000000 ELSE -1 END AS until FROM o WHERE n = 1
       UNION ALL
-      SELECT o.user_id, o.event_id, o.n, s.until < o.t, CASE WHEN s.until < o.t THEN o.t + 604800000000 ELSE s.until END FROM s JOIN o ON o.user_id = s.user_id AND o.n = s.n + 1)
+      SELECT o.user_id, o.event_id, o.n, s.until < o.t, CASE WHEN s.until < o.t AND known THEN o.t + 604800000000 ELSE s.until END FROM s JOIN o ON o.user_id = s.user_id AND o.n = s.n + 1)
       SELECT 'd' || user_id || '.com' AS domain, event_id, miss FROM s""",
     "cache_lookup_ttl": "WITH r AS (SELECT 'd' || user_id || '.com' AS domain, event_id, ts FROM events), c AS (SELECT domain, CASE WHEN substr(domain, 2, 1) <> '8' THEN min(ts) + INTERVAL 7 DAY END AS expires_at FROM r WHERE substr(domain, 2, 1) <> '9' GROUP BY domain) SELECT r.domain, event_id, c.domain IS NOT NULL AND (expires_at IS NULL OR expires_at >= ts) AS hit FROM r LEFT JOIN c ON r.domain = c.domain",
 }
