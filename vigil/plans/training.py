@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions import vector as V
+from vigil.operators import shap as S
 from vigil.operators import training as T
 
 TREES, DEPTH = 10, 3
@@ -52,6 +53,13 @@ def train_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.out_of_fold(_rows(spark, sf_dir), COLUMNS, "key", "y", T.evidence_learner(TREES, DEPTH))
 
 
+def train_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean size of each column's Shapley values over all rows, of boosted trees."""
+    rows = _rows(spark, sf_dir)
+    model = T.evidence_learner(TREES, DEPTH).fit(T.assembled(rows, COLUMNS).select("features", "y"))
+    return S.mean_sizes(rows, model, COLUMNS)
+
+
 def train_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows of each class each fold holds, over line items with the return flag as class."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate").alias("key"))
@@ -80,4 +88,4 @@ ORACLE = {
       {_int("brand")} AS d_brand, CAST(event_id % 5 AS DOUBLE) AS d_hidden_frames, {_int("scrambled")} AS d_scrambled, round_even(CAST(bytes AS DOUBLE) / 1024, 2) AS d_page_kb, CAST(length(title) AS INTEGER) AS d_title_length, {_int("title <> ''")} AS d_has_title,
       {_int("password AND coalesce(age <= 30, FALSE)")} AS d_password_and_young, {_int("password AND brand")} AS d_password_and_brand, {_int("password AND NOT cert")} AS d_password_no_certificate, {_int("password AND ff")} AS d_password_and_foreign_form FROM s""",
 }
-QUERIES = {f.__name__: f for f in (evidence_vector, train_candidates, train_importances, train_out_of_fold, train_folds, leakage_verdict)}
+QUERIES = {f.__name__: f for f in (evidence_vector, train_candidates, train_importances, train_out_of_fold, train_folds, train_shap, leakage_verdict)}
