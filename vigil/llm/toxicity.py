@@ -55,9 +55,10 @@ FREQUENT = 1 << 18  # terms of the model that are broadcast, at most: 16 bytes e
 
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
+HELD_WORDS = 1 << 20  # words of text that a task counts before it sends them
 START, SINGLE = np.uint64(2), 1  # the history of a first word, and the history of words by themselves
-WORD_BITS = np.uint64((1 << 48) - 1)  # of a word's hash that are kept: rows of pairs are two of them
-SALTS = 16  # parts of the pairs of one word, so that a word in every text is no task of its own
+WORD_BITS = np.uint64((1 << 40) - 1)  # of a word's hash that are kept: rows of pairs are two of them
+SALTS = 8  # parts of the pairs of one word, so that a word in every text is no task of its own
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,23 +80,33 @@ def history_key(before: np.ndarray) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each distinct word and pair of a slice with its documents by class: ordinary ones in the low half of a number, toxic ones in the high half."""
+    """Each distinct word and pair of about HELD_WORDS words of text with its documents by class: ordinary ones in the low half of a number, toxic ones in the high half."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = docs = 0
     for batch in batches:
         for part in common.slices(batch):
             words, before, first = words_of(part.column("text"))
-            if not len(words):
-                continue
-            doc = np.repeat(np.arange(part.num_rows), np.diff(first))
             toxic, apart = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("toxic", "apart"))
-            one = np.int64(1) << (32 * toxic)
-            for history in (np.full(len(words), SINGLE, np.uint64), before):
-                # in the order of words: rows of one word lie together, and shuffle files are smaller
-                order = np.lexsort((doc, history, words))
-                new = lambda a, o: np.r_[True, (words[o][1:] != words[o][:-1]) | (a[o][1:] != a[o][:-1])]
-                once = order[new(history, order) | np.r_[True, doc[order][1:] != doc[order][:-1]]]
-                at = np.flatnonzero(new(history, once))
-                sums = [np.add.reduceat(np.where(apart[doc[once]] == side, one[doc[once]], 0), at) for side in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[once][at].view(np.int64)) for x in (history, words)), *map(pa.array, sums)], names=["h", "w", "main", "apart"])
+            n = np.diff(first)
+            held.append((words, before, np.repeat(np.arange(part.num_rows) + docs, n), np.repeat(np.int64(1) << (32 * toxic), n), np.repeat(apart, n)))
+            size, docs = size + len(words), docs + part.num_rows
+            if size >= HELD_WORDS:
+                yield from _summed(held)
+                held, size = [], 0
+    if size:
+        yield from _summed(held)
+
+
+def _summed(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    words, before, doc, one, apart = (np.concatenate(x) for x in zip(*held, strict=True))
+    for history in (np.full(len(words), SINGLE, np.uint64), before):
+        # in the order of words: rows of one word lie together, and shuffle files are smaller
+        order = np.lexsort((doc, history, words))
+        new = lambda o: np.r_[True, (words[o][1:] != words[o][:-1]) | (history[o][1:] != history[o][:-1])]  # noqa: B023, E731
+        once = order[new(order) | np.r_[True, doc[order][1:] != doc[order][:-1]]]
+        at = np.flatnonzero(new(once))
+        sums = [np.add.reduceat(np.where(apart[once] == side, one[once], 0), at) for side in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[once][at].view(np.int64)) for x in (history, words)), *map(pa.array, sums)], names=["h", "w", "main", "apart"])
 
 
 EXPRESSION, WORD, HISTORY = range(3)
