@@ -43,7 +43,27 @@ def with_vector(evidence: DataFrame) -> DataFrame:
     return evidence.withColumns(missing).withColumns(vector()).drop(*missing)
 
 
-def summary() -> Column:
-    """array<struct<name, value>> of the evidence that is there, for display, in a fixed order."""
-    shown = [F.struct(F.lit(k).alias("name"), F.col(k).cast("string").alias("value")) for k in EVIDENCE]
-    return F.filter(F.array(*shown), lambda x: x["value"].isNotNull() & (x["value"] != ""))
+SHOWN_LENGTH = 90
+SUMMARY = {"age_days": "bigint", "created": "string", "owner_country": "string", "registrar": "string", "ip": "string", "hosting_country": "string", "provider": "string", "has_certificate": "boolean", "certificate_fits": "boolean", "certificate_issuer": "string", "status": "bigint", "hops": "bigint", "final_url": "string", "title": "string", "readable": "boolean", "password": "boolean", "forms": "bigint"}
+
+
+def with_summary(evidence: DataFrame) -> DataFrame:
+    """Adds summary: array<struct<name, value>> of the evidence that is there, soothing or not, in a fixed order, for display. Columns of SUMMARY that the table lacks count as unknown; what is unknown or empty is not shown."""
+    given = {k: (F.col(k) if k in evidence.columns else F.lit(None)).cast(t) for k, t in SUMMARY.items()}
+    text = lambda k: given[k].cast("string")
+    years = F.format_string("%s days (~%.1f years)", given["age_days"], given["age_days"] / 365)
+    issuer = F.coalesce(F.nullif(given["certificate_issuer"], F.lit("")), F.lit("a trusted party"))
+    held = F.when(given["has_certificate"] & F.coalesce(given["certificate_fits"], F.lit(False)), F.concat(F.lit("valid, by "), issuer)).when(given["has_certificate"], "there, but another's").when(~given["has_certificate"], "none")
+    lines = {
+        "age": F.when(given["age_days"] >= 365, years).otherwise(F.concat(text("age_days"), F.lit(" days"))),
+        **{k: text(k) for k in ("created", "owner_country", "registrar", "ip", "hosting_country", "provider")},
+        "certificate": held,
+        "status": text("status"),
+        "redirects": F.when(given["hops"] > 0, text("hops")),
+        "final_url": F.left(given["final_url"], F.lit(SHOWN_LENGTH)),
+        "title": F.left(given["title"], F.lit(SHOWN_LENGTH)),
+        "password_field": F.when(given["readable"], F.when(F.coalesce(given["password"], F.lit(False)), "yes").otherwise("no")),
+        "forms": F.when(given["readable"], text("forms")),
+    }
+    listed = F.filter(F.array(*(F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in lines.items())), lambda x: F.coalesce(x["value"], F.lit("")) != "")
+    return evidence.withColumn("summary", listed)

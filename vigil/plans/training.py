@@ -29,6 +29,11 @@ def evidence_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.with_vector(_sites(spark, sf_dir)).select("id", *V.names())
 
 
+def evidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = _sites(spark, sf_dir).withColumns({"forms": F.col("id") % 3, "final_url": F.when(F.col("id") % 4 == 1, F.repeat(F.lit("http://a.b/"), (F.col("id") % 12).cast("int"))), "certificate_issuer": F.when(F.col("id") % 5 == 1, "Some Issuer").when(F.col("id") % 5 == 2, "")})
+    return V.with_summary(sites).select("id", F.array_join(F.transform("summary", lambda x: F.concat(x["name"], F.lit("="), x["value"])), "; ").alias("summary"))
+
+
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A class that two columns tell in most rows."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *COLUMNS)
@@ -75,6 +80,11 @@ _some = lambda m, r: f"coalesce({_e} % 11 <> {r} AND {_e} % {m} = 0, FALSE)"  #
 _int = lambda x: f"CAST({x} AS INTEGER)"
 _countries = ", ".join(f"'{x}'" for x in V.COUNTRIES)
 ORACLE = {
+    "evidence_summary": f"""WITH s AS (SELECT event_id AS id, CASE WHEN event_id % 13 <> 0 THEN event_id * 37 % 3000 END AS age, event_id % 6 <> 0 AS checked, event_id % 5 <> 0 AS cert, CASE WHEN event_id % 11 <> 1 THEN event_id % 8 = 0 END AS fits, CASE event_id % 5 WHEN 1 THEN 'Some Issuer' ELSE 'a trusted party' END AS issuer,
+        CASE WHEN event_id % 8 <> 0 THEN 200 + (event_id % 4) * 101 END AS status, event_id % 4 AS hops, CASE WHEN event_id % 4 = 1 THEN left(repeat('http://a.b/', CAST(event_id % 12 AS BIGINT)), 90) END AS final, CASE WHEN event_id % 11 <> 5 THEN event_id % 2 = 0 END AS readable, coalesce(CASE WHEN event_id % 11 <> 1 THEN event_id % 3 = 0 END, FALSE) AS password FROM events)
+      SELECT id, array_to_string(list_filter([CASE WHEN age >= 365 THEN 'age=' || age || ' days (~' || printf('%.1f', round(CAST(age AS DOUBLE) / 365, 1)) || ' years)' ELSE 'age=' || age || ' days' END, CASE WHEN id % 5 <> 0 THEN 'ip=1.2.3.4' END,
+        CASE WHEN checked THEN 'certificate=' || CASE WHEN cert AND coalesce(fits, FALSE) THEN 'valid, by ' || issuer WHEN cert THEN 'there, but another''s' ELSE 'none' END END, 'status=' || status, CASE WHEN hops > 0 THEN 'redirects=' || hops END, CASE WHEN final <> '' THEN 'final_url=' || final END,
+        CASE WHEN id % 3 = 0 THEN 'title=A title' END, CASE WHEN readable THEN 'password_field=' || CASE WHEN password THEN 'yes' ELSE 'no' END END, CASE WHEN readable THEN 'forms=' || id % 3 END], lambda x: x IS NOT NULL), '; ') AS summary FROM s""",
     "train_folds": "SELECT l_returnflag, CAST(k AS INTEGER) AS fold, count(*) // 5 + CASE WHEN k < count(*) % 5 THEN 1 ELSE 0 END AS n FROM lineitem, range(5) AS f(k) GROUP BY l_returnflag, k",
     "evidence_vector": f"""WITH s AS (SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN event_id * 37 % 3000 END AS age, upper(CASE WHEN event_id % 9 <> 0 THEN [{_countries}, 'us', 'BR', ''][event_id % 13 + 1] ELSE '' END) AS country,
         CASE WHEN event_id % 7 <> 0 THEN event_id % 90 END AS cdays, CASE WHEN event_id % 8 <> 0 THEN 200 + (event_id % 4) * 101 END AS status, event_id % 6 <> 0 AS checked, event_id % 6 <> 0 AND event_id % 5 <> 0 AS cert,
@@ -88,4 +98,4 @@ ORACLE = {
       {_int("brand")} AS d_brand, CAST(event_id % 5 AS DOUBLE) AS d_hidden_frames, {_int("scrambled")} AS d_scrambled, round_even(CAST(bytes AS DOUBLE) / 1024, 2) AS d_page_kb, CAST(length(title) AS INTEGER) AS d_title_length, {_int("title <> ''")} AS d_has_title,
       {_int("password AND coalesce(age <= 30, FALSE)")} AS d_password_and_young, {_int("password AND brand")} AS d_password_and_brand, {_int("password AND NOT cert")} AS d_password_no_certificate, {_int("password AND ff")} AS d_password_and_foreign_form FROM s""",
 }
-QUERIES = {f.__name__: f for f in (evidence_vector, train_candidates, train_importances, train_out_of_fold, train_folds, train_shap, leakage_verdict)}
+QUERIES = {f.__name__: f for f in (evidence_vector, evidence_summary, train_candidates, train_importances, train_out_of_fold, train_folds, train_shap, leakage_verdict)}
