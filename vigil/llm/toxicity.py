@@ -57,8 +57,9 @@ LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 HELD_WORDS = 1 << 20  # words of text that a task counts before it sends them
 START, SINGLE = np.uint64(2), 1  # the history of a first word, and the history of words by themselves
-WORD_BITS = np.uint64((1 << 40) - 1)  # of a word's hash that are kept: rows of pairs are two of them
-SALTS = 8  # parts of the pairs of one word, so that a word in every text is no task of its own
+WORD_BITS, HISTORY_BITS = np.uint64((1 << 40) - 1), np.uint64((1 << 35) - 1)  # of a word's hash that are kept: rows of pairs are a word and a history
+SALT_BITS = 3  # of a history, that part the pairs of one word, so that a word in every text is no task of its own
+SALT = (1 << SALT_BITS) - 1
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +67,7 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = common.utf8(column)
     start, end, first = common.runs(LETTER[data], offsets)
     words = common.byte_hashes(common.LOWER[data], start, end) & WORD_BITS
-    before = np.r_[START, words[:-1]][: len(words)]
+    before = np.r_[START, words[:-1]][: len(words)] & HISTORY_BITS
     before[first[:-1][np.diff(first) > 0]] = START
     return words, before, first
 
@@ -106,7 +107,9 @@ def _summed(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         once = order[new(order) | np.r_[True, doc[order][1:] != doc[order][:-1]]]
         at = np.flatnonzero(new(once))
         sums = [np.add.reduceat(np.where(apart[once] == side, one[once], 0), at) for side in (0, 1)]
-        yield pa.RecordBatch.from_arrays([*(pa.array(x[once][at].view(np.int64)) for x in (history, words)), *map(pa.array, sums)], names=["h", "w", "main", "apart"])
+        h, w = history[once][at].view(np.int64), words[once][at].view(np.int64)
+        # the word with some bits of the history, and the history without them
+        yield pa.RecordBatch.from_arrays([pa.array(w << SALT_BITS | h & SALT), pa.array(h >> SALT_BITS), *map(pa.array, sums)], names=["part", "rest", "main", "apart"])
 
 
 EXPRESSION, WORD, HISTORY = range(3)
@@ -127,18 +130,18 @@ def _high(c: str) -> Column:
 def _counted(rows: DataFrame) -> DataFrame:
     """Three kinds of rows in one written table, from one exchange of (history, word): expressions with their documents by class (ordinary, toxic, and both apart), words with their continuation count, histories with totals and the number of different words after them."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = rows.select("text", "toxic", "apart").mapInArrow(_counts, "h long, w long, main long, apart long").withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    each = rows.select("text", "toxic", "apart").mapInArrow(_counts, "part long, rest long, main long, apart long")
     # slices are summed already; the exchange keeps their order
-    each = each.repartition(parts, "w", "salt").groupBy("w", "salt", "h").agg(F.sum("main").alias("main"), F.sum("apart").alias("apart"))
-    each = each.select("h", "w", _low("main").alias("n0"), _high("main").alias("n1"), _low("apart").alias("a0"), _high("apart").alias("a1"))
+    each = each.repartition(parts, "part").groupBy("part", "rest").agg(F.sum("main").alias("main"), F.sum("apart").alias("apart"))
+    each = each.select((F.shiftleft("rest", SALT_BITS) + F.col("part").bitwiseAND(SALT)).alias("h"), F.shiftright("part", SALT_BITS).alias("w"), "main", "apart")
     # every use reads all counts, so that the plans are alike and share the exchange
-    numbers, seen = ["n0", "n1", "a0", "a1"], F.col("n0") + F.col("n1") + F.col("a0") + F.col("a1") > 0
-    single = F.col("h") == SINGLE
-    twice = (F.col("n0") + F.col("a0") > 1) | (F.col("n1") + F.col("a1") > 1)
+    numbers = {"n0": _low("main"), "n1": _high("main"), "a0": _low("apart"), "a1": _high("apart")}
+    seen, single = F.col("main") + F.col("apart") > 0, F.col("h") == SINGLE
+    twice = (numbers["n0"] + numbers["a0"] > 1) | (numbers["n1"] + numbers["a1"] > 1)
     none = F.lit(None).cast("long")
-    kept = each.where(single | twice).select(F.lit(EXPRESSION).alias("kind"), "h", "w", *numbers, none.alias("different"))
+    kept = each.where(single | twice).select(F.lit(EXPRESSION).alias("kind"), "h", "w", *(v.alias(c) for c, v in numbers.items()), none.alias("different"))
     words = each.where(seen).groupBy("w").agg(F.count_if(seen & ~single).alias("different")).where("different > 0").select(F.lit(WORD).alias("kind"), none.alias("h"), "w", *(none.alias(c) for c in numbers), "different")
-    histories = each.where(seen).groupBy("h").agg(*(F.sum(c).alias(c) for c in numbers), F.count_if(seen).alias("different")).select(F.lit(HISTORY).alias("kind"), "h", none.alias("w"), *numbers, "different")
+    histories = each.where(seen).groupBy("h").agg(*(F.sum(v).alias(c) for c, v in numbers.items()), F.count_if(seen).alias("different")).select(F.lit(HISTORY).alias("kind"), "h", none.alias("w"), *numbers, "different")
     return common.written(kept.unionByName(words).unionByName(histories))
 
 
