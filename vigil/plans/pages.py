@@ -108,12 +108,15 @@ _RULES = [
     ("asks_for_secrets", f"asks >= 4 AND NOT {_PW}", "0.45"),
 ]
 _some = lambda m, r, n: f"CASE WHEN event_id % 11 <> {r} THEN event_id % {m} = 0 END AS {n}"
+_ESCAPED = {"&amp": "&", "&lt": "<", "&gt": ">", "&quot": '"', "&apos": "'", "&#39": "'", "&#x27": "'"}
+_ENTITY = "&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[a-zA-Z][-.a-zA-Z0-9]*;?|[^&]+|&"
+_DECODED = f"CASE WHEN NOT starts_with(x, '&') OR x = '&' THEN x {' '.join(f'WHEN x IN ({_q(k)}, {_q(k)} || chr(59)) THEN {_q(v)}' for k, v in _ESCAPED.items())} ELSE regexp_replace(x, ';$', '') END"
 ORACLE = {
-    # the pages themselves hold neither forms, fields nor frames; what their pieces add is known
+    # the pages themselves hold neither forms, fields nor frames, and no entities but those of _ESCAPED, with or without their semicolon, in titles; what their pieces add is known
     "page_evidence": rf"""WITH h AS (SELECT page_id, html || [{", ".join(map(_q, SNIPPETS))}][page_id % {len(SNIPPETS)} + 1] AS h, page_id % {len(SNIPPETS)} + 1 AS k FROM pages),
       c AS (SELECT *, regexp_replace(regexp_replace(h, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<[^>]*>', chr(1), 'g'), '&nbsp;', ' ', 'g') AS cut FROM h),
       v AS (SELECT *, array_to_string(list_filter(list_transform(string_split(lower(replace(cut, '&amp;', '&')), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), lambda x: x <> ''), ' ') AS t FROM c)
-      SELECT page_id, replace(trim(regexp_extract(h, '(?is)<title[^>]*>([^<]*)</title>', 1)), '&amp;', '&') AS title, {", ".join(f"[{', '.join(str(v[j]).upper() for v in SNIPPETS.values())}][k] AS {name}" for j, name in enumerate(EVIDENCE[1:5]))},
+      SELECT page_id, trim(array_to_string(list_transform(regexp_extract_all(regexp_extract(h, '(?is)<title[^>]*>([^<]*)</title>', 1), {_q(_ENTITY)}), lambda x: {_DECODED}), '')) AS title, {", ".join(f"[{', '.join(str(v[j]).upper() for v in SNIPPETS.values())}][k] AS {name}" for j, name in enumerate(EVIDENCE[1:5]))},
         {_words(P.CREDENTIAL_WORDS)} AS credential_words, {_words(D.GAMBLING_WORDS)} AS gambling_words, {_words(D.STRONG_GAMBLING_WORDS)} AS strong_gambling_words FROM v
       UNION ALL SELECT CAST(id AS BIGINT), * EXCLUDE (id) FROM (VALUES {", ".join(f"({-1 - k}, {_q(v[0])}, {', '.join(str(x).upper() for x in v[1:])})" for k, v in enumerate(PROBES.values()))}) AS known(id, {", ".join(EVIDENCE)})""",
     "page_site_evidence": rf"""WITH {urls.HOSTS_SQL.replace(urls.SOURCE_SQL, "SELECT page_id AS id, url FROM pages")},
