@@ -39,7 +39,7 @@ def follow(requests: DataFrame, answers: DataFrame, suffixes: U.Suffixes, most:
     start = F.coalesce("url", F.lit(""))
     none = F.array().cast("array<string>")
     under_way = requests.select(start.alias("start")).distinct().select("start", U.normalised(F.col("start")).alias("url"), none.alias("chain"))
-    steps = answers.where("url is not null").select(F.col("url").alias("__at"), F.col("status").alias("__status"), F.nullif("location", F.lit("")).alias("__location"))
+    steps = scratch.checkpoint(answers.where("url is not null")).select(F.col("url").alias("__at"), F.col("status").alias("__status"), F.nullif("location", F.lit("")).alias("__location"))
     arrived: list[DataFrame] = []
     for step in range(most + 1):
         guarded = U.with_host(under_way, suffixes)

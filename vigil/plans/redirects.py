@@ -24,15 +24,16 @@ SEEDS: list[tuple] = [
 
 
 def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages answer with the next page, a place of their own, another site or the page, by their number."""
+    """Pages answer with the next page, a place of their own, another site or the page, by their number; of pages with one address the first answers, but a fixed answer goes before."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("id"), "url")
     ahead = pages.select((F.col("id") - 1).alias("id"), F.col("url").alias("next"))
     kind = F.col("id") % 6
     location = F.when(kind < 2, F.col("next")).when(kind == 2, F.concat(F.lit("/moved/"), "id")).when(kind == 3, F.lit("https://www.example.org/found")).when(kind == 4, F.lit("//in.example.com/"))
-    made = pages.join(ahead, "id", "left").select("url", F.when(kind == 5, 200).otherwise(301 + kind.cast("int") % 3).alias("status"), location.alias("location"))
-    known = spark.createDataFrame([(u, s, x) for u, (s, x) in ANSWERS.items()] + [("https://www.example.org/found", 200, None)], "url string, status int, location string")
+    made = pages.join(ahead, "id", "left").select("id", "url", F.when(kind == 5, 200).otherwise(301 + kind.cast("int") % 3).alias("status"), location.alias("location"))
+    known = spark.createDataFrame([(-1, u, s, x) for u, (s, x) in ANSWERS.items()] + [(-1, "https://www.example.org/found", 200, None)], "id long, url string, status int, location string")
+    first = made.unionByName(known).groupBy("url").agg(F.min(F.struct("id", "status", "location")).alias("first")).select("url", "first.status", "first.location")
     seeds = spark.createDataFrame([(-1 - k, s[0]) for k, s in enumerate(SEEDS)], "id long, url string")
-    got = R.follow(pages.unionByName(seeds), made.unionByName(known), urls.suffixes(spark))
+    got = R.follow(pages.unionByName(seeds), first, urls.suffixes(spark))
     return got.select("id", "final_url", "status", "hops", F.array_join("chain", " ").alias("chain"), "moved", "stop")
 
 
@@ -44,8 +45,9 @@ _CHAINS = {0: "", 9: " ".join(f"http://long{k}.example.com/" for k in range(10))
 _CHAINS[0] = " ".join(["http://loop.example.com/a", "http://loop.example.com/b"] * 5)
 ORACLE = {
     "redirect_chains": rf"""WITH RECURSIVE a AS (SELECT p.page_id AS id, p.url, p.page_id % 6 AS kind, n.url AS next FROM pages p LEFT JOIN pages n ON n.page_id = p.page_id + 1),
-      answers AS (SELECT url, CASE WHEN kind = 5 THEN 200 ELSE 301 + kind % 3 END AS status, CASE WHEN kind < 2 THEN next WHEN kind = 2 THEN regexp_extract(url, '^[a-z]+://[^/]+') || '/moved/' || id WHEN kind = 3 THEN 'https://www.example.org/found' WHEN kind = 4 THEN regexp_extract(url, '^[a-z]+:') || '//in.example.com/' END AS goes FROM a
-        UNION ALL VALUES ('https://www.example.org/found', 200, NULL), ('http://in.example.com/', 302, 'http://127.0.0.1/x')),
+      given AS (SELECT id, url, CASE WHEN kind = 5 THEN 200 ELSE 301 + kind % 3 END AS status, CASE WHEN kind < 2 THEN next WHEN kind = 2 THEN regexp_extract(url, '^[a-z]+://[^/]+') || '/moved/' || id WHEN kind = 3 THEN 'https://www.example.org/found' WHEN kind = 4 THEN regexp_extract(url, '^[a-z]+:') || '//in.example.com/' END AS goes FROM a
+        UNION ALL VALUES (-1, 'https://www.example.org/found', 200, NULL), (-1, 'http://in.example.com/', 302, 'http://127.0.0.1/x')),
+      answers AS (SELECT * FROM given QUALIFY row_number() OVER (PARTITION BY url ORDER BY id) = 1),
       walk AS (SELECT page_id AS id, url, [] :: VARCHAR[] AS chain FROM pages UNION ALL SELECT w.id, s.goes, list_append(w.chain, w.url) FROM walk w JOIN answers s ON w.url = s.url WHERE s.goes IS NOT NULL AND len(w.chain) < 10),
       ends AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY len(chain) DESC) = 1),
       told AS (SELECT e.*, s.status, CASE WHEN e.url = 'http://127.0.0.1/x' THEN 'blocked: not public' WHEN s.url IS NULL THEN 'no answer' WHEN s.goes IS NULL THEN 'read' ELSE 'too many' END AS stop, regexp_extract(p.url, '([a-z]+\.[a-z]+)(/|$)', 1) AS here, regexp_extract(e.url, '([a-z]+\.[a-z]+)(/|$)', 1) AS there FROM ends e JOIN pages p ON p.page_id = e.id LEFT JOIN answers s ON s.url = e.url)
