@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators import dataset, evaluation, prefix
+from vigil.sources import scratch
 
 FOLDS, SEED = 5, 42
 SINGLE_LIMIT, SHALLOW_LIMIT = 0.85, 0.90
+ROWS_A_TASK, LEAST_TASKS = 250_000, 8
 
 
 def fold(key: str, folds: int = FOLDS, seed: int = SEED) -> Column:
@@ -28,6 +30,12 @@ def stratified(rows: DataFrame, label: str, key: str, folds: int = FOLDS, seed:
     return prefix.class_rank(rows, label, key, seed).withColumn("__fold", (F.col("place") % folds).cast("int")).drop("place")
 
 
+def dealt(rows: DataFrame, n: int, key: str, *columns: str) -> DataFrame:
+    """The columns of the n rows, dealt out by key in parts of about ROWS_A_TASK rows and kept: learners go over their input many times, and each task holds its part."""
+    tasks = max(LEAST_TASKS, -(-n // ROWS_A_TASK))
+    return scratch.checkpoint(rows.select(key, *columns).repartition(tasks, key))
+
+
 def learners(trees: int = 200, depth: int = 6, step: float = 0.1) -> dict:
     """The two candidates."""
     shared = {"featuresCol": "features", "labelCol": "y", "seed": SEED}

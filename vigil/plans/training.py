@@ -61,7 +61,7 @@ def train_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def train_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean size of each column's Shapley values over all rows, of boosted trees."""
     rows = _rows(spark, sf_dir)
-    model = T.evidence_learner(TREES, DEPTH).fit(T.assembled(rows, COLUMNS).select("features", "y"))
+    model = T.evidence_learner(TREES, DEPTH).fit(T.dealt(T.assembled(rows, COLUMNS), rows.count(), "key", "features", "y").select("features", "y"))
     return S.mean_sizes(rows, model, COLUMNS)
 
 
