@@ -87,6 +87,7 @@ def best_candidate(rows: DataFrame, columns: list[str], key: str, label: str = "
     The driver reads one row of counts for each candidate.
     """
     table = stratified(assembled(rows, columns, label), "y", key)
+    table = dealt(table, rows.count(), key, "features", "y", "__fold")
     train, held = table.where("__fold <> 0").select("features", "y"), table.where("__fold = 0").select("features", "y")
     fitted, each = {}, []
     for name, learner in (candidates or learners()).items():
@@ -102,6 +103,7 @@ def best_candidate(rows: DataFrame, columns: list[str], key: str, label: str = "
 def out_of_fold(rows: DataFrame, columns: list[str], key: str, label: str, learner, folds: int = FOLDS) -> DataFrame:
     """key, y, score: every row is scored by a model that did not see it."""
     table = stratified(assembled(rows, columns, label), "y", key, folds)
+    table = dealt(table, rows.count(), key, "y", "features", "__fold")
     parts = [scored(learner.fit(table.where(F.col("__fold") != k).select("features", "y")), table.where(F.col("__fold") == k).select(key, "y", "features")).drop("features") for k in range(folds)]
     out = parts[0]
     for p in parts[1:]:
