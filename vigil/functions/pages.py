@@ -28,10 +28,11 @@ LONGEST_TITLE, LONGEST_TEXT, LONGEST_SCRIPT = 200, 200_000, 300_000
 INSIDE = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["']){0,1000}+"""
 TOKEN = rf"(?is)<!--.*?(?:-->|\z)|<(script|style)(?=[\s/>]){INSIDE}(?<!/)>.*?(?:</\1(?=[\s/>])[^>]*+>?|\z)|<[!?][^>]*+>?|</[^>]*+>|<[a-z][^\s/>]*+{INSIDE}>|[^<]++|<"
 ATTRIBUTE = r"""(?s)(?<=['"\s/])[^\s/>][^\s/=>]*+(?:\s*+=+\s*+(?:'[^']*+'|"[^"]*+"|(?!['"])[^>\s]*+))?"""
-BLANK = r"[\s\x1c-\x1f\x85\p{Z}]+"
+BLANK, UNBLANK = r"[\s\x1c-\x1f\x85\p{Z}]", r"[^\s\x1c-\x1f\x85\p{Z}]"
 # what a token is, in the text of marks: a cut, the begin and end of an element whose text is not shown, of a title
 CUT, SHUT, OPENED, TITLE, TITLED = "\u0001", "\u0002", "\u0003", "\u0004", "\u0005"
 UNSHOWN = r"(?i)^</?(template|rt|rp)[\s/>]"
+BRAND = rf"(?<![a-z0-9])(?:{'|'.join(D.BRANDS)})(?![a-z0-9])"
 MATURE_DAYS, YOUNG_DAYS, FRESH_DAYS, LEAST_WEIGHT = 730, 30, 7, 0.15
 
 
@@ -70,7 +71,8 @@ def decoded(text: Column) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{BLANK}|{BLANK}\z", "")
+    """The text up to its last character that is no blank, looked for from the end: blanks within it cost nothing."""
+    return F.regexp_extract(text, rf"(?s)\A{BLANK}*+(.*{UNBLANK})?", 1)
 
 
 def _mark(token: Column) -> Column:
@@ -159,9 +161,11 @@ def with_site_features(pages: DataFrame, suffixes: U.Suffixes) -> DataFrame:
     out = with_tokens(pages).withColumns({"__own": own, "__text": visible()})
     aims = F.filter(F.transform(tags("form"), lambda t: stripped(F.coalesce(attribute(t, "action"), F.lit("")))), lambda a: a.rlike("^https?://"))
     targets = F.transform(aims, lambda x: suffixes.registered(L.host_of(x)))
-    named = F.coalesce(*(F.when(F.col("__text").rlike(f"(?<![a-z0-9]){b}(?![a-z0-9])") & (F.col("__own") != official), b) for b, official in D.BRANDS.items()))
+    # one pass over the text finds all brands; the first in list order counts
+    out = out.withColumn("__named", F.regexp_extract_all("__text", F.lit(BRAND), F.lit(0)))
+    named = F.coalesce(*(F.when(F.array_contains("__named", b) & (F.col("__own") != official), b) for b, official in D.BRANDS.items()))
     out = out.withColumns({"foreign_target": F.get(F.filter(targets, lambda x: (x != "") & (F.col("__own") != "") & (x != F.col("__own"))), F.lit(0)), "brand": named})
-    return out.withColumn("foreign_form", F.col("foreign_target").isNotNull()).drop("__own", "__tokens", "__marked", "__text")
+    return out.withColumn("foreign_form", F.col("foreign_target").isNotNull()).drop("__own", "__tokens", "__marked", "__text", "__named")
 
 
 def damping(age: Column) -> Column:
