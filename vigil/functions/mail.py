@@ -6,7 +6,7 @@ import re
 from email import message_from_string
 from email.utils import getaddresses, parseaddr
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +44,8 @@ LONGEST_MAIL = 1_000_000
 FILE_NAME = r"(?U)(?<![\w\-. ])[\w\-. ]+\.[a-zA-Z0-9]{2,5}"
 ADDRESS = r"(?U)(?<![\w.-])[\w.-]++@[\w.-]+"
 
+# what a worker holds at once: so many messages, of so many bytes together (one message at least)
+BATCH = {"maxRecordsPerBatch": "500", "maxBytesPerBatch": "4m"}
 PARTS = "has_header boolean, from_name string, from_addr string, reply_to string, return_path string, subject string, body string, attachments array<string>"
 
 
@@ -87,11 +89,18 @@ def _storable(x):
 
 def parsed(emails: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds the columns of PARTS. Null counts as an empty text."""
+    for key, value in BATCH.items():
+        emails.sparkSession.conf.set(f"spark.sql.execution.arrow.{key}", value)
     names = [x.split()[0] for x in PARTS.split(", ")]
 
-    @F.pandas_udf(PARTS)
-    def split(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([tuple(map(_storable, parts_of(x or ""))) for x in texts], columns=names)
+    @F.arrow_udf(PARTS)
+    def split(texts: pa.Array) -> pa.Array:
+        columns = [[] for _ in names]
+        for text in texts.to_pylist():
+            for column, value in zip(columns, parts_of(text or ""), strict=True):
+                column.append(_storable(value))
+        kinds = [pa.bool_(), *[pa.string()] * (len(names) - 2), pa.list_(pa.string())]
+        return pa.StructArray.from_arrays(list(map(pa.array, columns, kinds)), names)
 
     return emails.withColumn("__parts", split(F.coalesce(F.col(raw), F.lit("")))).select(*emails.columns, "__parts.*")
 
