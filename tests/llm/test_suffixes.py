@@ -104,3 +104,19 @@ def test_levels_grow_geometrically(spark):
     assert family.found().count() == 0
     family.add(spark.range(40, 45).selectExpr("id as core", "id as x", "id as y", "1L as n", "9L as lead"))
     assert {(r.core, r.n, r.lead) for r in family.found().collect()} == {(k, 2, 0) for k in range(40, 45)}
+
+
+@pytest.mark.parametrize("step", ["ask_stretches", "ask_windows"])
+def test_each_group_is_asked_once(spark, monkeypatch, tmp_path, step):
+    monkeypatch.setattr("vigil.llm.common.groups_for", lambda *_: 5)
+    ask, calls = getattr(suffixes, step), tmp_path / "calls"
+
+    def noted(key, table, answer):
+        with calls.open("a") as f:
+            f.write(f"{key[0].as_py()}\n")
+        return ask(key, table, answer)
+
+    monkeypatch.setattr(suffixes, step, noted)
+    docs = spark.createDataFrame(list(enumerate(some_texts())), "doc_id long, text string").repartition(3)
+    assert sum(r.n_removed for r in suffixes.dedup(docs).collect()) > 10_000
+    assert sorted(calls.read_text().split()) == list("01234")
