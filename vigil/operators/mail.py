@@ -9,7 +9,7 @@ from vigil.functions import mail as M
 from vigil.functions import url as U
 from vigil.operators import rules as R
 
-LINKS_KEPT, LINKS_SCORED, PASSED_ON = 20, 15, 0.85
+PASSED_ON = 0.85
 
 
 def email_rules() -> list[R.Rule]:
@@ -36,20 +36,22 @@ def with_rules(features: DataFrame) -> DataFrame:
     return features.withColumn("rules", R.fired(email_rules())).withColumn("rule_score", R.strongest("rules"))
 
 
-def worst_links(emails: DataFrame, allowed: DataFrame, suffixes: U.Suffixes, id: str = "id") -> DataFrame:
+def worst_links(emails: DataFrame, allowed: DataFrame, suffixes: U.Suffixes, id: str = "id", first: int | None = None) -> DataFrame:
     """One row for each message with links: n_scored and its worst link (url, score, label; the first of equals; null if all score 0).
 
-    Only the id and the links travel; link scores are combined before the shuffle.
+    All links are scored, or the first ones of a message if `first` says how many. Only the
+    id and the links travel; link scores are combined before the shuffle.
     """
-    each = emails.select(F.col(id).alias("__id"), F.posexplode(F.slice(F.slice("links", 1, LINKS_KEPT), 1, LINKS_SCORED)).alias("__at", "url"))
+    links = F.col("links") if first is None else F.slice("links", 1, first)
+    each = emails.select(F.col(id).alias("__id"), F.posexplode(links).alias("__at", "url"))
     scored = R.fused(U.with_features(U.with_host(each, suffixes)), F.lit(0.0), allowed)
     worst = F.max_by(F.struct(F.col("url"), F.col("risk_score").alias("score"), F.col("threat_label").alias("label")), F.struct("risk_score", -F.col("__at")))
     return scored.groupBy(F.col("__id").alias(id)).agg(F.count("*").alias("n_scored"), worst.alias("worst")).withColumn("worst", F.when(F.col("worst.score") > 0, F.col("worst")))
 
 
-def scored(features: DataFrame, allowed: DataFrame, suffixes: U.Suffixes, id: str = "id") -> DataFrame:
+def scored(features: DataFrame, allowed: DataFrame, suffixes: U.Suffixes, id: str = "id", first: int | None = None) -> DataFrame:
     """Adds rules, n_scored, worst link, risk score, label and explanations. Ids are unique."""
-    ruled = with_rules(features).join(worst_links(features, allowed, suffixes, id), id, "left").withColumn("n_scored", F.coalesce("n_scored", F.lit(0)))
+    ruled = with_rules(features).join(worst_links(features, allowed, suffixes, id, first), id, "left").withColumn("n_scored", F.coalesce("n_scored", F.lit(0)))
     passed = F.coalesce(F.col("worst.score"), F.lit(0.0)) * PASSED_ON
     out = ruled.withColumn("risk_score", F.round(F.least(F.greatest(F.col("rule_score"), passed, F.lit(0.0)), F.lit(1.0)), 4))
     note = lambda when, title, reason, weight: F.when(when, F.struct(F.lit(title).alias("title"), F.lit(reason).alias("reason"), weight.alias("weight")))
