@@ -2,6 +2,8 @@
 
 import duckdb
 
+from vigil.functions import pages as P
+
 BAD = "http://togel-emas88.com"
 
 
@@ -19,3 +21,32 @@ def test_all_links_of_a_message_are_scored(spark, tmp_path):
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
     want = con.execute(f"SELECT {', '.join(rolled.columns)} FROM ({oracle_sql()['email_link_rollup']})").fetchall()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in rolled.collect())
+
+
+def _agrees(spark, folder, name, pages):
+    """The rows of the query and of its SQL over made pages; both the same."""
+    from __spark_entry__ import oracle_sql, queries
+
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    got = queries()[name](spark, str(folder))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{folder}/pages.parquet/*.parquet')")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
+    return {r[0]: r for r in got.collect()}
+
+
+def test_a_page_is_read_to_its_end(spark, tmp_path):
+    filler = "<p>some words &amp; more</p>\n" * 20_000
+    pages = [(k, "http://a.com/", f"<title>{'t' * 50 * k}</title>{filler}<b>password judi</b>") for k in range(12)]
+    got = _agrees(spark, tmp_path, "page_evidence", pages)
+    assert all(got[k].credential_words >= 1 and got[k].gambling_words >= 1 and len(got[k].title) == 50 * k for k in range(12))
+
+
+def test_scripts_are_read_to_their_end(spark):
+    late = "<script>" + "y = 1;\n" * 60_000 + "</script><script>eval(atob('x'))</script>"
+    long = ["<script>fromCharCode(" + "12, " * 150_000 + "3)</script>", "<script>'" + r"\x41" * 150_000 + "'</script>"]
+    short = ["<script>fromCharCode(" + "1," * 11 + "1)</script>", "<script>fromCharCode(" + "1 , " * 12 + "1)</script>", "<script>" + r"\x41" * 25 + "</script>", "<script>" + r"\x41" * 26 + "</script>"]
+    rows = spark.createDataFrame(list(enumerate([late, *short, *long])), "k int, html string")
+    got = {r.k: r.scrambled for r in P.with_page_features(rows).select("k", "scrambled").collect()}
+    assert got == dict(enumerate([True, False, True, False, True, True, True]))

@@ -23,8 +23,7 @@ from vigil.operators.rules import Rule
 
 # Words that ask for credentials; patterns of scrambled scripts.
 CREDENTIAL_WORDS = ["password", "kata sandi", "katasandi", "sandi", "pin", "otp", "verifikasi", "verification", "login", "masuk", "sign in", "username", "nama pengguna", "no rekening", "nomor rekening", "cvv", "atm", "mpin", "token"]
-SCRAMBLED = [r"(?i)eval\s*\(\s*(atob|unescape|decodeURIComponent)", r"(?i)document\.write\s*\(\s*unescape", r"(?i)fromCharCode\s*\((\s*[0-9]+\s*,){12,}", r"(?i)\\x[0-9a-f]{2}(\\x[0-9a-f]{2}){25,}"]
-LONGEST_TITLE, LONGEST_TEXT, LONGEST_SCRIPT = 200, 200_000, 300_000
+SCRAMBLED = [r"(?i)eval\s*\(\s*(atob|unescape|decodeURIComponent)", r"(?i)document\.write\s*\(\s*unescape", r"(?i)fromCharCode\s*\((\s*[0-9]+\s*,){12}", r"(?i)\\x[0-9a-f]{2}(\\x[0-9a-f]{2}){25}"]
 INSIDE = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["']){0,1000}+"""
 TOKEN = rf"(?is)<!--.*?(?:-->|\z)|<(script|style)(?=[\s/>]){INSIDE}(?<!/)>.*?(?:</\1(?=[\s/>])[^>]*+>?|\z)|<[!?][^>]*+>?|</[^>]*+>|<[a-z][^\s/>]*+{INSIDE}>|[^<]++|<"
 ATTRIBUTE = r"""(?s)(?<=['"\s/])[^\s/>][^\s/=>]*+(?:\s*+=+\s*+(?:'[^']*+'|"[^"]*+"|(?!['"])[^>\s]*+))?"""
@@ -95,26 +94,26 @@ def with_tokens(pages: DataFrame) -> DataFrame:
 
 
 def visible() -> Column:
-    """The text shown: pieces between tags, stripped and joined by one blank, in lower case, the first LONGEST_TEXT characters."""
+    """The text shown: pieces between tags, stripped and joined by one blank, in lower case."""
     text = F.col("__marked")
     for _ in range(4):  # elements without shown text within such elements
         text = F.regexp_replace(text, f"{OPENED}[^{OPENED}{SHUT}]*+{SHUT}", CUT)
     text = F.regexp_replace(text, rf"{OPENED}[^{SHUT}]*+\z", CUT)
     pieces = F.filter(F.transform(F.split(text, f"[{CUT}-{TITLED}]"), lambda x: stripped(decoded(x))), lambda x: x != "")
-    return F.left(F.lower(F.array_join(pieces, " ")), F.lit(LONGEST_TEXT))
+    return F.lower(F.array_join(pieces, " "))
 
 
 def title() -> Column:
     """The text of the first title, if it holds nothing but text."""
     found = F.regexp_extract("__marked", rf"(?s)^[^{TITLE}]*+{TITLE}([^{CUT}-{TITLED}]*+)(?:{TITLED}|\z)", 1)
-    return F.left(stripped(decoded(found)), F.lit(LONGEST_TITLE))
+    return stripped(decoded(found))
 
 
 def scripts() -> Column:
-    """The text of all scripts, the first LONGEST_SCRIPT characters."""
+    """The text of all scripts."""
     own = F.filter("__tokens", lambda t: t.rlike(r"(?i)^<script[\s/>]"))
     inner = F.transform(own, lambda t: F.regexp_replace(F.regexp_replace(t, rf"(?is)^<script{INSIDE}>", ""), r"(?is)</script[\s/>][^>]*+>?\z", ""))
-    return F.left(F.array_join(inner, " "), F.lit(LONGEST_SCRIPT))
+    return F.array_join(inner, " ")
 
 
 def tags(name: str) -> Column:
