@@ -50,3 +50,9 @@ def test_scripts_are_read_to_their_end(spark):
     rows = spark.createDataFrame(list(enumerate([late, *short, *long])), "k int, html string")
     got = {r.k: r.scrambled for r in P.with_page_features(rows).select("k", "scrambled").collect()}
     assert got == dict(enumerate([True, False, True, False, True, True, True]))
+
+
+def test_brands_are_looked_for_to_the_end_of_a_page(spark, tmp_path):
+    filler = "<p>some words &amp; more</p>\n" * 20_000
+    got = _agrees(spark, tmp_path, "page_site_evidence", [(k, "http://shop.example.com/", filler) for k in range(14)])
+    assert got[6].brand == got[13].brand == "paypal" and got[0].brand is None
