@@ -47,11 +47,12 @@ def running(each: DataFrame, group: Sequence[str], order: str, sums: Sequence[st
 RANK_SHARDS = 12  # bits of a hash that cut each class for ranks
 
 
-def class_rank(rows: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+def class_rank(rows: DataFrame, label: str, key: str, seed: int, tasks: int | None = None) -> DataFrame:
     """Adds place, the position from 0 of a row within its class by a hash of its key, then the key: no task holds a class.
 
     The leading bits of the hash cut a class in even parts; counts of the parts run up,
     and ranks within a part are moved by them. Rows of equal keys are placed in any order.
+    With `tasks`, for few classes, rows move once, to so many tasks, and the counts are broadcast.
     """
     h = F.xxhash64(F.col(key), F.lit(seed))
     spread = rows.withColumns({"__h": h, "__part": F.shiftrightunsigned(h, 64 - RANK_SHARDS).cast("int")})
@@ -59,8 +60,9 @@ def class_rank(rows: DataFrame, label: str, key: str, seed: int) -> DataFrame:
     lower = W.partitionBy(label).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     before = counts.select(label, "__part", F.coalesce(F.sum("__n").over(lower), F.lit(0)).alias("__before"))
     own = W.partitionBy(label, "__part").orderBy(F.shiftleft("__h", RANK_SHARDS), "__h", key)
-    local = spread.withColumn("__own", F.row_number().over(own) - 1)
-    joined = local.join(before.withColumnsRenamed({label: "__label", "__part": "__at"}), F.col(label).eqNullSafe(F.col("__label")) & (F.col("__part") == F.col("__at")))
+    local = (spread if tasks is None else spread.repartition(tasks, "__part")).withColumn("__own", F.row_number().over(own) - 1)
+    named = before.withColumnsRenamed({label: "__label", "__part": "__at"})
+    joined = local.join(named if tasks is None else F.broadcast(named), F.col(label).eqNullSafe(F.col("__label")) & (F.col("__part") == F.col("__at")))
     return joined.withColumn("place", F.col("__own") + F.col("__before")).drop("__h", "__part", "__own", "__before", "__label", "__at")
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
@@ -18,6 +21,7 @@ from vigil.sources import scratch
 FOLDS, SEED = 5, 42
 SINGLE_LIMIT, SHALLOW_LIMIT = 0.85, 0.90
 ROWS_A_TASK, LEAST_TASKS = 250_000, 8
+UNITS = 2_000_000  # beyond so many rows, equal rows are drawn together
 
 
 def fold(key: str, folds: int = FOLDS, seed: int = SEED) -> Column:
@@ -25,15 +29,18 @@ def fold(key: str, folds: int = FOLDS, seed: int = SEED) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int")
 
 
-def stratified(rows: DataFrame, label: str, key: str, folds: int = FOLDS, seed: int = SEED) -> DataFrame:
+def stratified(rows: DataFrame, label: str, key: str, folds: int = FOLDS, seed: int = SEED, tasks: int | None = None) -> DataFrame:
     """Adds __fold, dealt out in turn within each class: class counts of folds differ by one at most. Keys are unique."""
-    return prefix.class_rank(rows, label, key, seed).withColumn("__fold", (F.col("place") % folds).cast("int")).drop("place")
+    return prefix.class_rank(rows, label, key, seed, tasks).withColumn("__fold", (F.col("place") % folds).cast("int")).drop("place")
+
+
+def parts(n: int) -> int:
+    return max(LEAST_TASKS, -(-n // ROWS_A_TASK))
 
 
 def dealt(rows: DataFrame, n: int, key: str, *columns: str) -> DataFrame:
     """The columns of the n rows, dealt out by key in parts of about ROWS_A_TASK rows and kept: learners go over their input many times, and each task holds its part."""
-    tasks = max(LEAST_TASKS, -(-n // ROWS_A_TASK))
-    return scratch.checkpoint(rows.select(key, *columns).repartition(tasks, key))
+    return scratch.checkpoint(rows.select(key, *columns).repartition(parts(n), key))
 
 
 def learners(trees: int = 200, depth: int = 6, step: float = 0.1) -> dict:
@@ -46,11 +53,15 @@ def evidence_learner(trees: int = 300, depth: int = 5, step: float = 0.05) -> GB
     return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=3, featuresCol="features", labelCol="y", seed=SEED)
 
 
-def assembled(rows: DataFrame, columns: list[str], label: str = "y") -> DataFrame:
-    """y and features; a missing or non-finite value counts as -1, a row without a label is left out."""
+def filled(rows: DataFrame, columns: list[str], label: str = "y") -> DataFrame:
+    """y and the columns as numbers; a missing or non-finite value counts as -1, a row without a label is left out."""
     value = lambda x: F.when(F.isnan(F.col(x).cast("double")), None).otherwise(F.col(x).cast("double"))
-    filled = rows.where(F.col(label).isNotNull()).withColumns({x: F.coalesce(value(x), F.lit(-1.0)) for x in columns}).withColumn("y", F.col(label).cast("double"))
-    return VectorAssembler(inputCols=columns, outputCol="features").transform(filled)
+    return rows.where(F.col(label).isNotNull()).withColumns({x: F.coalesce(value(x), F.lit(-1.0)) for x in columns}).withColumn("y", F.col(label).cast("double"))
+
+
+def assembled(rows: DataFrame, columns: list[str], label: str = "y") -> DataFrame:
+    """`filled`, and features."""
+    return VectorAssembler(inputCols=columns, outputCol="features").transform(filled(rows, columns, label))
 
 
 def scored(model, rows: DataFrame) -> DataFrame:
@@ -100,17 +111,55 @@ def best_candidate(rows: DataFrame, columns: list[str], key: str, label: str = "
     return Trained(best, fitted[best], metrics, columns)
 
 
-def out_of_fold(rows: DataFrame, columns: list[str], key: str, label: str, learner, folds: int = FOLDS) -> DataFrame:
-    """key, y, score: every row is scored by a model that did not see it."""
-    table = stratified(assembled(rows, columns, label), "y", key, folds)
-    table = dealt(table, rows.count(), key, "y", "features", "__fold")
-    parts = [scored(learner.fit(table.where(F.col("__fold") != k).select("features", "y")), table.where(F.col("__fold") == k).select(key, "y", "features")).drop("features") for k in range(folds)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def units(cells: DataFrame, rows: int, most: int) -> DataFrame:
+    """Adds __n, how many rows a unit stands for, and __unit: cells of equal rows (how many is in __count) cut as evenly as can be in units of at most 1 + (rows - 1) // most rows. Up to `most` rows each is a unit of its own."""
+    n, cut = F.col("__count"), F.ceil(F.col("__count") / F.lit(1 + (rows - 1) // most)).cast("long")
+    each = cells.select("*", F.explode(F.sequence(F.lit(1).cast("long"), cut)).alias("__unit"))
+    return each.withColumn("__n", (F.floor(n / cut) + F.when(F.col("__unit") <= n % cut, 1).otherwise(0)).cast("double")).drop("__count")
+
+
+def weighing(learner, rows: int, joint: bool):
+    """The learner over units of so many rows in all; where a unit stands for several, the least rows of a node are counted in rows all the same."""
+    out = learner.copy().setWeightCol("__n")
+    if joint:
+        share = max(out.getMinWeightFractionPerNode(), (out.getMinInstancesPerNode() - 0.5) / rows)
+        out = out.copy({out.minInstancesPerNode: 1, out.minWeightFractionPerNode: share})
     return out
 
 
+def out_of_fold(rows: DataFrame, columns: list[str], key: str, label: str, learner, folds: int = FOLDS) -> DataFrame:
+    """key, y, score: every row is scored by a model that did not see it.
+
+    Equal rows of a fold (a cell) are counted once: learners go over them many times. Beyond
+    UNITS rows they see units of equal rows with their number as weight, which subsampling
+    draws as one; each cell is scored once, and rows get the score of their cell.
+    """
+    n = rows.count()
+    numbers = filled(rows, columns, label).select(*dict.fromkeys([key, "y", *columns]))
+    table = scratch.checkpoint(stratified(numbers, "y", key, folds, tasks=parts(n)))
+    cell = ["__fold", "y", *columns]
+    cells = scratch.checkpoint(table.groupBy(*cell).agg(F.count("*").alias("__count")))
+    sizes = {r[0]: (r[1], r[2]) for r in cells.groupBy("__fold").agg(F.count("*"), F.sum("__count")).collect()}
+    n_cells, n = (sum(x[j] for x in sizes.values()) for j in (0, 1))
+    shown = units(cells, n, UNITS)
+    # ordered, so that the draws of a learner are the same on every run
+    shown = shown.repartition(parts(min(n, UNITS + n_cells)), *cell, "__unit").sortWithinPartitions(*cell, "__unit")
+    shown = scratch.checkpoint(VectorAssembler(inputCols=columns, outputCol="features").transform(shown).select("__fold", "y", "features", "__n"))
+    asked = VectorAssembler(inputCols=columns, outputCol="features").transform(cells)
+
+    def fitted(k: int):
+        weighed = weighing(learner, sum(x[1] for j, x in sizes.items() if j != k), n > UNITS)
+        return weighed.fit(shown.where(F.col("__fold") != k).select("features", "y", "__n"))
+
+    # folds of few units at once, as the jobs of their learners are short
+    with ThreadPool(folds if n_cells <= UNITS else 1) as pool:
+        models = pool.map(inheritable_thread_target(rows.sparkSession)(fitted), range(folds))
+    each = [scored(model, asked.where(F.col("__fold") == k)).select(*cell, "score") for k, model in enumerate(models)]
+    out = reduce(DataFrame.unionByName, each)
+    out = F.broadcast(out) if n_cells <= ROWS_A_TASK else out
+    return table.join(out, cell).select(key, "y", "score")
+
+
 def importances(trained: Trained, most: int = 15) -> DataFrame:
     """feature, importance, of the most telling columns; ties by name."""
     listed = sorted(((float(v), n) for n, v in zip(trained.columns, trained.model.featureImportances.toArray(), strict=True)), key=lambda x: (-x[0], x[1]))[:most]
