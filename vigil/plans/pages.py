@@ -60,7 +60,7 @@ def _piece(more: list[str]) -> Column:
 def page_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat("html", _piece([*SNIPPETS])).alias("html"))
     probes = spark.createDataFrame([(-1 - k, h) for k, h in enumerate(PROBES)], "page_id long, html string")
-    return P.with_page_features(pages.unionByName(probes)).select("page_id", *EVIDENCE)
+    return P.with_page_features(pages.unionByName(probes), longest=None).select("page_id", *EVIDENCE)
 
 
 _SHOWN = "<p>Your PayPal account</p>"
